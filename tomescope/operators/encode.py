@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomescope.functions.vectors import ZERO_NORM_GUARD, dense_from_entries
+from tomescope.functions.vectors import ZERO_NORM_GUARD
 
 TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
 
@@ -96,6 +96,27 @@ def _by_id():
     return Window.partitionBy("_id")
 
 
+def _densify_udf(dim: int):
+    """Arrow UDF: (bucket array, value array, norm) -> dense float vector of ``dim``.
+    One vectorised NumPy scatter per batch; no per-element SQL lambdas."""
+
+    @F.pandas_udf("array<float>")
+    def densify(buckets: pd.Series, values: pd.Series, norms: pd.Series) -> pd.Series:
+        n = len(buckets)
+        out = np.zeros((n, dim), dtype=np.float64)
+        lens = np.fromiter((len(b) for b in buckets), dtype=np.int64, count=n)
+        if lens.sum():
+            rows = np.repeat(np.arange(n), lens)
+            cols = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if len(b)])
+            vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in values if len(v)])
+            out[rows, cols] = vals
+        nrm = norms.to_numpy(dtype=np.float64)
+        nrm = np.where(nrm == 0, ZERO_NORM_GUARD, nrm)
+        return pd.Series(list((out / nrm[:, None]).astype(np.float32)))
+
+    return densify
+
+
 def encode_dense(
     docs: DataFrame,
     id_col: str,
@@ -105,6 +126,9 @@ def encode_dense(
     out_col: str = "vec",
 ) -> DataFrame:
     """(id, vec ARRAY<FLOAT>) unit vectors; texts without a token get the zero vector."""
+    from tomescope.session import ship_package
+
+    ship_package(docs.sparkSession)
     # texts without any token keep one null-bucket cell and come out as the zero vector
     cells = _cells(docs, id_col, text_col, dim, stats, keep_empty=True)
     present = F.col("bucket").isNotNull()
@@ -112,15 +136,9 @@ def encode_dense(
         F.collect_list(F.when(present, F.struct(F.col("bucket"), F.col("value")))).alias("_e"),
         F.sqrt(F.sum(F.when(present, F.col("value") * F.col("value")).otherwise(0.0))).alias("_n"),
     )
-    return packed.select(
-        F.col("_id").alias(id_col),
-        F.transform(
-            dense_from_entries("_e", dim),
-            lambda x: x / F.when(F.col("_n") == 0, F.lit(ZERO_NORM_GUARD)).otherwise(F.col("_n")),
-        )
-        .cast("array<float>")
-        .alias(out_col),
-    )
+    b = F.transform("_e", lambda e: e["bucket"])
+    v = F.transform("_e", lambda e: e["value"])
+    return packed.select(F.col("_id").alias(id_col), _densify_udf(dim)(b, v, F.col("_n")).alias(out_col))
 
 
 def encode_with_model(

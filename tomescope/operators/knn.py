@@ -42,6 +42,13 @@ SCORE_OFFSET = 1 << 24  # scores in (-16, 16) after * 1e6
 WORST = np.iinfo(np.int64).max
 
 
+def round_half_away(x, decimals: int = SCORE_DECIMALS):
+    """SQL ``round``: scale, round half away from zero, unscale (NumPy's round is half-even)."""
+    m = 10.0**decimals
+    v = np.asarray(x, dtype=np.float64) * m
+    return np.sign(v) * np.floor(np.abs(v) + 0.5) / m
+
+
 def _keys(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
     s = np.rint(scores * 1e6).astype(np.int64)
     return ((2 * SCORE_OFFSET - 1 - (s + SCORE_OFFSET)) << ID_BITS) | ids.astype(np.int64)[None, :]
@@ -86,7 +93,7 @@ class TopK:
         qi, col = np.nonzero(st != WORST)
         keys = st[qi, col]
         ids, scores = _decode(keys)
-        return pd.DataFrame({"q": qids[qi].astype(np.int64), "i": ids.astype(np.int64), "s": np.round(scores, SCORE_DECIMALS)})
+        return pd.DataFrame({"q": qids[qi].astype(np.int64), "i": ids.astype(np.int64), "s": scores})
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -145,7 +152,7 @@ def topk_scan(
             for rows, cols, scores in batch_fn(blk, pdf):
                 if scores.size == 0:
                     continue
-                keys = _keys(np.round(scores, SCORE_DECIMALS), ids[cols])
+                keys = _keys(round_half_away(scores), ids[cols])
                 if "_exclude_self" in blk:
                     qsel = blk["ids"] if rows is None else blk["ids"][rows]
                     keys[qsel[:, None] == ids[cols][None, :]] = WORST

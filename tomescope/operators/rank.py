@@ -25,9 +25,10 @@ SCORE_DECIMALS = 6
 
 @dataclass
 class Bm25Index:
-    """Corpus side of BM25: per-document length and term counts, per-token df."""
+    """Corpus side of BM25: postings (Id, token, tf), document lengths, per-token df."""
 
-    docs: DataFrame  # (Id, dl, tf MAP<STRING,BIGINT>)
+    postings: DataFrame  # (Id, token, tf)
+    lengths: DataFrame  # (Id, dl)
     df: DataFrame  # (token, df)
     n_docs: int
     avgdl: float
@@ -35,15 +36,13 @@ class Bm25Index:
 
 def fit_bm25(docs: DataFrame, id_col: str = "Id", text_col: str = "Description") -> Bm25Index:
     tc = term_counts(docs, id_col, text_col)
-    per_doc = tc.groupBy("_id").agg(
-        F.sum("tf").alias("dl"), F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("tf")
-    )
-    per_doc = per_doc.withColumnRenamed("_id", id_col)
-    df = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    postings = tc.select(F.col("_id").alias("Id"), "token", "tf")
+    lengths = postings.groupBy("Id").agg(F.sum("tf").alias("dl"))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     row = docs.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).first()
     n_docs = int(row["n"])
-    total = tc.agg(F.sum("tf").alias("t")).first()["t"] or 0
-    return Bm25Index(per_doc, df, n_docs, float(total) / n_docs if n_docs else 0.0)
+    total = postings.agg(F.sum("tf").alias("t")).first()["t"] or 0
+    return Bm25Index(postings, lengths, df, n_docs, float(total) / n_docs if n_docs else 0.0)
 
 
 def bm25_idf(df_col: Column, n_docs: int) -> Column:
@@ -52,23 +51,19 @@ def bm25_idf(df_col: Column, n_docs: int) -> Column:
     return F.log(F.lit(1.0) + (F.lit(float(n_docs)) - d + 0.5) / (d + 0.5))
 
 
-def query_term_weights(queries: DataFrame, index: Bm25Index, text_col: str = "query_text") -> DataFrame:
-    """(query_id, qterms MAP<token, idf>) over the distinct tokens of each query."""
+def query_term_weights(queries: DataFrame, index: Bm25Index, text_col: str = "query_text", inner: bool = False) -> DataFrame:
+    """(query_id, token, idf) over the distinct tokens of each query."""
     qt = term_counts(queries, "query_id", text_col).select(F.col("_id").alias("query_id"), "token")
-    qt = qt.join(index.df, "token", "left").withColumn("idf", bm25_idf(F.col("df"), index.n_docs))
-    return qt.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("qterms"))
+    qt = qt.join(index.df, "token", "inner" if inner else "left")
+    return qt.select("query_id", "token", bm25_idf(F.col("df"), index.n_docs).alias("idf"))
 
 
-def bm25_expr(qterms: Column, tf: Column, dl: Column, index: Bm25Index, params: Params = DEFAULT) -> Column:
+def bm25_term(idf: Column, tf: Column, dl: Column, index: Bm25Index, params: Params = DEFAULT) -> Column:
     k1, b = params.bm25_k1, params.bm25_b
     avgdl = index.avgdl if index.avgdl > 0 else 1.0
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.coalesce(dl, F.lit(0)).cast("double") / F.lit(avgdl))
-
-    def add(acc, e):
-        t = F.coalesce(F.element_at(tf, e["key"]), F.lit(0)).cast("double")
-        return acc + e["value"] * t * F.lit(k1 + 1) / (t + norm)
-
-    return F.aggregate(F.coalesce(F.map_entries(qterms), F.array()), F.lit(0.0), add)
+    t = tf.cast("double")
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl.cast("double") / F.lit(avgdl))
+    return idf * t * F.lit(k1 + 1) / (t + norm)
 
 
 def bm25_pairs(
@@ -76,31 +71,26 @@ def bm25_pairs(
 ) -> DataFrame:
     """Score every (query_id, Id) pair of ``pairs`` against its query text: adds ``bm25``.
 
-    Joins: pairs x query weights on ``query_id`` (one row per query) and pairs x
-    document statistics on ``Id``. Pairs are the <= k_filtered candidates per query."""
-    qw = query_term_weights(queries, index, text_col)
-    j = pairs.join(qw, "query_id", "left").join(index.docs, "Id", "left")
-    return j.withColumn("bm25", bm25_expr(F.col("qterms"), F.col("tf"), F.col("dl"), index, params)).drop(
-        "qterms", "tf", "dl"
-    )
+    Relational form: pairs x query tokens (on query_id) -> postings (on Id, token) ->
+    sum per pair. Pairs are the <= k_filtered candidates per query, so the probe side is
+    bounded by |Q| * k_filtered * query length; the runtime bloom filter built from it
+    prunes the postings before their shuffle."""
+    qw = query_term_weights(queries, index, text_col, inner=True)
+    keys = pairs.select("query_id", "Id")
+    x = keys.join(qw, "query_id").join(index.postings, ["Id", "token"]).join(index.lengths, "Id")
+    contrib = x.select("query_id", "Id", bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), index, params).alias("c"))
+    sums = contrib.groupBy("query_id", "Id").agg(F.sum("c").alias("bm25"))
+    return pairs.join(sums, ["query_id", "Id"], "left").withColumn("bm25", F.coalesce(F.col("bm25"), F.lit(0.0)))
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, k: int, params: Params = DEFAULT, text_col: str = "query_text") -> DataFrame:
     """Top-k documents per query by BM25 over the whole corpus (postings join on token).
 
-    The query-token side is small and joins the postings on ``token``; contributions are
-    summed per (query, document) with map-side partial aggregation, so a frequent token
-    never moves its postings more than once."""
-    k1, b = params.bm25_k1, params.bm25_b
-    avgdl = index.avgdl if index.avgdl > 0 else 1.0
-    qt = term_counts(queries, "query_id", text_col).select(F.col("_id").alias("query_id"), "token")
-    qt = qt.join(index.df, "token").withColumn("idf", bm25_idf(F.col("df"), index.n_docs)).drop("df")
-    postings = index.docs.select("Id", "dl", F.explode("tf").alias("token", "tf"))
-    t = F.col("tf").cast("double")
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl").cast("double") / F.lit(avgdl))
-    contrib = qt.join(postings, "token").select(
-        "query_id", "Id", (F.col("idf") * t * F.lit(k1 + 1) / (t + norm)).alias("c")
-    )
+    Contributions are summed per (query, document) with map-side partial aggregation;
+    AQE splits the partition of a very frequent token (skew join)."""
+    qw = query_term_weights(queries, index, text_col, inner=True)
+    x = qw.join(index.postings, "token").join(index.lengths, "Id")
+    contrib = x.select("query_id", "Id", bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), index, params).alias("c"))
     scored = contrib.groupBy("query_id", "Id").agg(F.round(F.sum("c"), SCORE_DECIMALS).alias("bm25"))
     return top_per_query(scored, "bm25", k, "bm25_rank")
 

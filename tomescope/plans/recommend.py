@@ -52,8 +52,15 @@ def build_index(books: DataFrame, params: Params = DEFAULT, materialize: bool =
     dstats = TokenStats(df=bm.df, n_docs=bm.n_docs)
     dvec = encode_dense(description_texts(books), "Id", "text", params.dim, dstats)
     if materialize:
-        svec, dvec = cut_lineage(svec), cut_lineage(dvec)
-        bm = rank.Bm25Index(cut_lineage(bm.docs), bm.df, bm.n_docs, bm.avgdl)
+        svec, dvec = cut_lineage(svec, "vec_stitched"), cut_lineage(dvec, "vec_description")
+        sstats = TokenStats(cut_lineage(sstats.df, "df_stitched"), sstats.n_docs)
+        bm = rank.Bm25Index(
+            cut_lineage(bm.postings, "bm25_postings"),
+            cut_lineage(bm.lengths, "bm25_lengths"),
+            cut_lineage(bm.df, "bm25_df"),
+            bm.n_docs,
+            bm.avgdl,
+        )
     return Index(books, svec, dvec, sstats, bm)
 
 
@@ -77,7 +84,7 @@ def encode_queries(prepared: DataFrame, index: Index, params: Params = DEFAULT)
 
 def retrieve(prepared: DataFrame, index: Index, params: Params = DEFAULT) -> DataFrame:
     """(query_id, Id, retrieval_score, retrieval_rank): exact top-k_retrieve."""
-    qvec = cut_lineage(encode_queries(prepared, index, params))
+    qvec = cut_lineage(encode_queries(prepared, index, params), "query_vectors")
     hits = knn_join(qvec, index.stitched, params.k_retrieve, "query_id", "qvec", "Id", "vec", params=params)
     return hits.withColumnRenamed("score", "retrieval_score").withColumnRenamed("rank", "retrieval_rank")
 

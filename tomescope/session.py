@@ -22,6 +22,8 @@ SESSION_CONF = {
     # top-k per query up to the first cut (5,000) plans as partial + final WindowGroupLimit
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.session.timeZone": "UTC",
+    # prune the big side of a join with a bloom filter built from the small side
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -97,7 +99,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared folder and read it back.
+
+    Computes the input once (``checkpoint()`` on an unpersisted frame computes it twice),
+    survives the loss of any executor, and the re-read gets file splits, column pruning
+    and filter pushdown. Never ``localCheckpoint``."""
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
