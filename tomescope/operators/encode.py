@@ -82,7 +82,10 @@ def encode_sparse(
 
 
 def _cells(docs, id_col, text_col, dim, stats, keep_empty):
-    tc = term_counts(docs, id_col, text_col, keep_empty)
+    return _cells_from_counts(term_counts(docs, id_col, text_col, keep_empty), dim, stats)
+
+
+def _cells_from_counts(tc: DataFrame, dim: int, stats: TokenStats | None) -> DataFrame:
     if stats is not None:
         tc = tc.join(stats.df, "token", "left").withColumn("w", F.col("tf") * stats.idf(F.col("df")))
     else:
@@ -126,11 +129,16 @@ def encode_dense(
     out_col: str = "vec",
 ) -> DataFrame:
     """(id, vec ARRAY<FLOAT>) unit vectors; texts without a token get the zero vector."""
+    return dense_from_counts(term_counts(docs, id_col, text_col, keep_empty=True), id_col, dim, stats, out_col)
+
+
+def dense_from_counts(tc: DataFrame, id_col: str, dim: int, stats: TokenStats | None = None, out_col: str = "vec") -> DataFrame:
+    """Dense unit vectors from term counts (_id, token, tf) made with ``keep_empty``:
+    a text without any token keeps one null-token row and comes out as the zero vector."""
     from tomescope.session import ship_package
 
-    ship_package(docs.sparkSession)
-    # texts without any token keep one null-bucket cell and come out as the zero vector
-    cells = _cells(docs, id_col, text_col, dim, stats, keep_empty=True)
+    ship_package(tc.sparkSession)
+    cells = _cells_from_counts(tc, dim, stats)
     present = F.col("bucket").isNotNull()
     packed = cells.groupBy("_id").agg(
         F.collect_list(F.when(present, F.struct(F.col("bucket"), F.col("value")))).alias("_e"),

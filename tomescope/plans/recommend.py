@@ -17,7 +17,8 @@ from tomescope.config import DEFAULT, Params
 from tomescope.functions import text as T
 from tomescope.operators import filters, rank
 from tomescope.operators.diversify import mmr
-from tomescope.operators.encode import TokenStats, encode_dense, fit_token_stats
+from tomescope.operators.encode import TokenStats, dense_from_counts, encode_dense, term_counts
+from tomescope.operators.joins import bounded_broadcast
 from tomescope.operators.knn import knn_join
 from tomescope.operators.present import attach_covers, cards
 from tomescope.session import cut_lineage
@@ -43,24 +44,24 @@ def description_texts(books: DataFrame) -> DataFrame:
 def build_index(books: DataFrame, params: Params = DEFAULT, materialize: bool = True) -> Index:
     """Encode the catalogue in both spaces and fit the BM25 statistics.
 
-    With ``materialize`` the vectors and per-document statistics are checkpointed into
-    the shared folder, so recommend reads them instead of recomputing the lineage."""
-    st = stitched_texts(books)
-    sstats = fit_token_stats(st, "Id", "text")
-    svec = encode_dense(st, "Id", "text", params.dim, sstats)
-    bm = rank.fit_bm25(books, "Id", "Description")
-    dstats = TokenStats(df=bm.df, n_docs=bm.n_docs)
-    dvec = encode_dense(description_texts(books), "Id", "text", params.dim, dstats)
-    if materialize:
-        svec, dvec = cut_lineage(svec, "vec_stitched"), cut_lineage(dvec, "vec_description")
-        sstats = TokenStats(cut_lineage(sstats.df, "df_stitched"), sstats.n_docs)
-        bm = rank.Bm25Index(
-            cut_lineage(bm.postings, "bm25_postings"),
-            cut_lineage(bm.lengths, "bm25_lengths"),
-            cut_lineage(bm.df, "bm25_df"),
-            bm.n_docs,
-            bm.avgdl,
-        )
+    Each text column is tokenised once into written term counts (Id, token, tf); the
+    document frequencies, BM25 postings and lengths, and both vector tables are derived
+    from those. With ``materialize`` every part is a written table in the shared folder,
+    so recommend reads them instead of recomputing the lineage."""
+    cut = cut_lineage if materialize else (lambda df, name="": df)
+    n_docs = books.count()
+    tc_s = cut(term_counts(stitched_texts(books), "Id", "text", keep_empty=True), "tf_stitched")
+    df_s = cut(tc_s.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df_stitched")
+    sstats = TokenStats(df_s, n_docs)
+    svec = cut(dense_from_counts(tc_s, "Id", params.dim, sstats), "vec_stitched")
+
+    tc_d = cut(term_counts(books, "Id", "Description", keep_empty=True), "tf_description")
+    postings = tc_d.where(F.col("token").isNotNull()).select(F.col("_id").alias("Id"), "token", "tf")
+    lengths = cut(postings.groupBy("Id").agg(F.sum("tf").alias("dl")), "bm25_lengths")
+    df_d = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "bm25_df")
+    total = lengths.agg(F.sum("dl").alias("t")).first()["t"] or 0
+    bm = rank.Bm25Index(postings, lengths, df_d, n_docs, float(total) / n_docs if n_docs else 0.0)
+    dvec = cut(dense_from_counts(tc_d, "Id", params.dim, TokenStats(df_d, n_docs)), "vec_description")
     return Index(books, svec, dvec, sstats, bm)
 
 
@@ -89,8 +90,15 @@ def retrieve(prepared: DataFrame, index: Index, params: Params = DEFAULT) -> Dat
     return hits.withColumnRenamed("score", "retrieval_score").withColumnRenamed("rank", "retrieval_rank")
 
 
-def filtered_candidates(prepared: DataFrame, hits: DataFrame, index: Index, params: Params = DEFAULT) -> DataFrame:
+def query_count(prepared: DataFrame) -> int:
+    return prepared.where("valid").count()
+
+
+def filtered_candidates(
+    prepared: DataFrame, hits: DataFrame, index: Index, params: Params = DEFAULT, n_queries: int = -1
+) -> DataFrame:
     settings = prepared.where("valid").select("query_id", "era", "max_pages", "acclaimed", "lambda")
+    settings = bounded_broadcast(settings, n_queries, 64, params)
     f = filters.filter_candidates(hits, settings, index.books, params)
     return rank.top_per_query(f, "retrieval_score", params.k_filtered, "cut_rank")
 
@@ -119,12 +127,15 @@ class Results:
 
 def recommend(queries: DataFrame, index: Index, covers: DataFrame, params: Params = DEFAULT) -> Results:
     prepared = prepare_queries(queries)
+    n_q = query_count(prepared)
     hits = retrieve(prepared, index, params)
-    cut = filtered_candidates(prepared, hits, index, params)
+    cut = filtered_candidates(prepared, hits, index, params, n_q)
     reranked = rerank_candidates(prepared, cut, index, params)
     picks = diversify(reranked, index, params)
     detail = reranked.select("query_id", "Id", "cross_score")
-    final = picks.join(detail, ["query_id", "Id"]).join(index.books, "Id")
+    # <= k_final picks per query: broadcast them into the catalogue scan, never shuffle the catalogue
+    small = bounded_broadcast(picks.join(detail, ["query_id", "Id"]), n_q * params.k_final, 64, params)
+    final = index.books.join(small, "Id")
     out = cards(attach_covers(final, covers))
     settings = prepared.where("valid").select("query_id", "query_text", "era", "max_pages", "acclaimed")
     return Results(
