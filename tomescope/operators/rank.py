@@ -27,7 +27,7 @@ SCORE_DECIMALS = 6
 class Bm25Index:
     """Corpus side of BM25: postings (Id, token, tf), document lengths, per-token df."""
 
-    postings: DataFrame  # (Id, token, tf)
+    postings: DataFrame  # (Id, token, tf, dl)
     lengths: DataFrame  # (Id, dl)
     df: DataFrame  # (token, df)
     n_docs: int
@@ -36,12 +36,13 @@ class Bm25Index:
 
 def fit_bm25(docs: DataFrame, id_col: str = "Id", text_col: str = "Description") -> Bm25Index:
     tc = term_counts(docs, id_col, text_col)
-    postings = tc.select(F.col("_id").alias("Id"), "token", "tf")
-    lengths = postings.groupBy("Id").agg(F.sum("tf").alias("dl"))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    terms = tc.select(F.col("_id").alias("Id"), "token", "tf")
+    lengths = terms.groupBy("Id").agg(F.sum("tf").alias("dl"))
+    postings = terms.join(lengths, "Id")
+    df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     row = docs.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).first()
     n_docs = int(row["n"])
-    total = postings.agg(F.sum("tf").alias("t")).first()["t"] or 0
+    total = terms.agg(F.sum("tf").alias("t")).first()["t"] or 0
     return Bm25Index(postings, lengths, df, n_docs, float(total) / n_docs if n_docs else 0.0)
 
 
@@ -77,7 +78,7 @@ def bm25_pairs(
     prunes the postings before their shuffle."""
     qw = query_term_weights(queries, index, text_col, inner=True)
     keys = pairs.select("query_id", "Id")
-    x = keys.join(qw, "query_id").join(index.postings, ["Id", "token"]).join(index.lengths, "Id")
+    x = keys.join(qw, "query_id").join(index.postings, ["Id", "token"])
     contrib = x.select("query_id", "Id", bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), index, params).alias("c"))
     sums = contrib.groupBy("query_id", "Id").agg(F.sum("c").alias("bm25"))
     return pairs.join(sums, ["query_id", "Id"], "left").withColumn("bm25", F.coalesce(F.col("bm25"), F.lit(0.0)))
@@ -89,7 +90,7 @@ def bm25_search(queries: DataFrame, index: Bm25Index, k: int, params: Params = D
     Contributions are summed per (query, document) with map-side partial aggregation;
     AQE splits the partition of a very frequent token (skew join)."""
     qw = query_term_weights(queries, index, text_col, inner=True)
-    x = qw.join(index.postings, "token").join(index.lengths, "Id")
+    x = qw.join(index.postings, "token")
     contrib = x.select("query_id", "Id", bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), index, params).alias("c"))
     scored = contrib.groupBy("query_id", "Id").agg(F.round(F.sum("c"), SCORE_DECIMALS).alias("bm25"))
     return top_per_query(scored, "bm25", k, "bm25_rank")

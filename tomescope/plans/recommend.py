@@ -56,9 +56,11 @@ def build_index(books: DataFrame, params: Params = DEFAULT, materialize: bool =
     svec = cut(dense_from_counts(tc_s, "Id", params.dim, sstats), "vec_stitched")
 
     tc_d = cut(term_counts(books, "Id", "Description", keep_empty=True), "tf_description")
-    postings = tc_d.where(F.col("token").isNotNull()).select(F.col("_id").alias("Id"), "token", "tf")
-    lengths = cut(postings.groupBy("Id").agg(F.sum("tf").alias("dl")), "bm25_lengths")
-    df_d = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "bm25_df")
+    terms = tc_d.where(F.col("token").isNotNull()).select(F.col("_id").alias("Id"), "token", "tf")
+    lengths = cut(terms.groupBy("Id").agg(F.sum("tf").alias("dl")), "bm25_lengths")
+    df_d = cut(terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "bm25_df")
+    # postings carry their document length, so scoring needs no join on lengths
+    postings = cut(terms.join(lengths, "Id"), "bm25_postings")
     total = lengths.agg(F.sum("dl").alias("t")).first()["t"] or 0
     bm = rank.Bm25Index(postings, lengths, df_d, n_docs, float(total) / n_docs if n_docs else 0.0)
     dvec = cut(dense_from_counts(tc_d, "Id", params.dim, TokenStats(df_d, n_docs)), "vec_description")
