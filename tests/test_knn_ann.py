@@ -105,3 +105,18 @@ def test_train_sample_exact_size(spark):
     s2 = ann.train_sample(df, "Id", 40, 7)
     assert s1.count() == 40 and sorted(r.Id for r in s1.collect()) == sorted(r.Id for r in s2.collect())
     assert ann.train_sample(df, "Id", 1000, 7).count() == 150
+
+
+def test_tree_merge_equals_flat(spark):
+    from tomescope.operators import knn as K
+
+    df, _ = fixture(spark, n=300)
+    q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
+    flat = as_lists(knn_join(q, df.select("Id", "vec"), 9, exclude_self=True))
+    old = K.MERGE_FANIN
+    try:
+        K.MERGE_FANIN = 2
+        tree = as_lists(knn_join(q, df.select("Id", "vec").repartition(7), 9, exclude_self=True))
+    finally:
+        K.MERGE_FANIN = old
+    assert flat == tree

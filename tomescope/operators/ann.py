@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
-from tomescope.operators.knn import blocked, collect_block, final_topk, round_half_away, topk_scan
+from tomescope.operators.knn import blocked, collect_block, final_topk, n_tasks, round_half_away, topk_scan
 from tomescope.session import ship_package
 
 
@@ -197,7 +197,7 @@ def ivf_search(
         blk["P"] = probe_matrix(blk["Q"], C, nprobe) if len(blk["ids"]) else np.zeros((0, C.shape[0]), bool)
         probed = np.flatnonzero(blk["P"].any(axis=0)).tolist()
         scan = corpus.where(F.col("cluster").isin(probed)) if len(probed) < C.shape[0] else corpus
-        return final_topk(topk_scan(scan, blk, k, q_id, c_id, batch_fn), k, q_id, c_id)
+        return final_topk(topk_scan(scan, blk, k, q_id, c_id, batch_fn), k, q_id, c_id, n_tasks=n_tasks(scan))
 
     return blocked(queries, q_id, q_vec, k, params, run_block)
 
@@ -322,7 +322,7 @@ def pq_search(
         blk["P"] = probe_matrix(blk["Q"], C, nprobe) if len(blk["ids"]) else np.zeros((0, C.shape[0]), bool)
         probed = np.flatnonzero(blk["P"].any(axis=0)).tolist()
         scan = corpus.where(F.col("cluster").isin(probed)) if len(probed) < C.shape[0] else corpus
-        return final_topk(topk_scan(scan, blk, k, q_id, c_id, batch_fn), k, q_id, c_id)
+        return final_topk(topk_scan(scan, blk, k, q_id, c_id, batch_fn), k, q_id, c_id, n_tasks=n_tasks(scan))
 
     return blocked(queries, q_id, q_vec, k, params, run_block)
 

@@ -165,9 +165,32 @@ def topk_scan(
     return corpus.mapInPandas(run, schema)
 
 
-def final_topk(partial: DataFrame, k: int, q_id: str, c_id: str, rank_col: str = "rank") -> DataFrame:
-    w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(c_id).asc())
-    return partial.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+MERGE_FANIN = 32  # scan tasks merged per window partition at each level
+
+
+def final_topk(partial: DataFrame, k: int, q_id: str, c_id: str, rank_col: str = "rank", n_tasks: int = 1) -> DataFrame:
+    """Merge per-task winners into the top-k per query. With many scan tasks the merge is
+    a tree: top-k per (query, group of <= MERGE_FANIN tasks), then per query, so no
+    window partition holds more than MERGE_FANIN * k rows, however large the corpus."""
+    order = [F.col("score").desc(), F.col(c_id).asc()]
+    cur = partial.withColumn("_task", F.spark_partition_id())
+    width = max(1, n_tasks)
+    while width > MERGE_FANIN:
+        width = math.ceil(width / MERGE_FANIN)
+        g = (F.col("_task") % F.lit(width)).alias("_task")
+        cur = cur.select(q_id, c_id, "score", g)
+        w = Window.partitionBy(q_id, "_task").orderBy(*order)
+        cur = cur.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    w = Window.partitionBy(q_id).orderBy(*order)
+    return cur.drop("_task").withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def n_tasks(df: DataFrame) -> int:
+    """Scan tasks of ``df`` (file splits; planning only, no job)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover
+        return 1
 
 
 def blocked(
@@ -226,7 +249,7 @@ def knn_join(
         if len(blk["ids"]) == 0:
             return _empty(corpus, q_id, c_id)
         part = topk_scan(corpus, blk, k, q_id, c_id, batch_fn)
-        return final_topk(part, k, q_id, c_id)
+        return final_topk(part, k, q_id, c_id, n_tasks=n_tasks(corpus))
 
     return blocked(queries, q_id, q_vec, k, params, run_block)
 

@@ -131,8 +131,9 @@ def recommend(queries: DataFrame, index: Index, covers: DataFrame, params: Param
     prepared = prepare_queries(queries)
     n_q = query_count(prepared)
     hits = retrieve(prepared, index, params)
-    cut = filtered_candidates(prepared, hits, index, params, n_q)
-    reranked = rerank_candidates(prepared, cut, index, params)
+    # <= k_filtered and <= k_dedup rows per query: written once, read by every later branch
+    cut = cut_lineage(filtered_candidates(prepared, hits, index, params, n_q), "candidates_cut")
+    reranked = cut_lineage(rerank_candidates(prepared, cut, index, params), "candidates_reranked")
     picks = diversify(reranked, index, params)
     detail = reranked.select("query_id", "Id", "cross_score")
     # <= k_final picks per query: broadcast them into the catalogue scan, never shuffle the catalogue
