@@ -21,7 +21,7 @@ from tomescope.operators.encode import TokenStats, dense_from_counts, encode_den
 from tomescope.operators.joins import bounded_broadcast
 from tomescope.operators.knn import knn_join
 from tomescope.operators.present import attach_covers, cards
-from tomescope.session import cut_lineage
+from tomescope.session import apply_session_conf, cut_lineage
 
 
 @dataclass
@@ -128,6 +128,7 @@ class Results:
 
 
 def recommend(queries: DataFrame, index: Index, covers: DataFrame, params: Params = DEFAULT) -> Results:
+    apply_session_conf(queries.sparkSession)
     prepared = prepare_queries(queries)
     n_q = query_count(prepared)
     hits = retrieve(prepared, index, params)

@@ -46,6 +46,9 @@ def apply_session_conf(spark: SparkSession) -> None:
     for k in (
         "spark.sql.optimizer.windowGroupLimitThreshold",
         "spark.sql.execution.arrow.pyspark.enabled",
+        "spark.sql.adaptive.enabled",
+        "spark.sql.adaptive.skewJoin.enabled",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled",
     ):
         try:
             spark.conf.set(k, SESSION_CONF[k])
