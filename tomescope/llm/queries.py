@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomescope.llm import packing, token_files
+from tomescope.llm import classifier, html_text, packing, quality_rules, token_files, topk
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": html_text.op1_html_text,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op5_topk": topk.op5_topk,
         "op7_token_files": token_files.op7_token_files,
         "op8_packing": packing.op8_packing,
+        "op9_classifier": classifier.op9_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk": topk.ORACLE}
