@@ -52,7 +52,7 @@ def _pack(name: str, end_id: int, max_len: int):
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat))))
                 return pa.RecordBatch.from_arrays(arrays, names=names)
 
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                 ids = np.append(ids, np.int32(end_id))
                 at = 0
                 for n in piece_lengths(len(ids), max_len):

@@ -45,7 +45,7 @@ def _encode_sorted(name: str, end_id: int):
         part, seen = TaskContext.get().partitionId(), 0
         enc = encoder(name)
         for b in batches:
-            ids = enc.encode(b.column("text").to_pylist())
+            ids = enc.encode(b.column("text"))
             end = np.array([end_id], dtype=np.int32)
             ids = [np.concatenate((x, end)) for x in ids]
             sizes = np.array([len(x) for x in ids], dtype=np.int64)
