@@ -9,6 +9,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import xxhash
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -22,6 +23,11 @@ def stable_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
 
 
+def strong_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit number per word, the same in every process, for comparing sets of words or shingles."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 def mixed(*parts: np.ndarray) -> np.ndarray:
     """One 64-bit number for each tuple of neighbours."""
     with np.errstate(over="ignore"):
