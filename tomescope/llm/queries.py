@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomescope.llm import classifier, html_text, near_dups, packing, quality_rules, token_files, topk
+from tomescope.llm import classifier, html_text, near_dups, packing, quality_rules, span_dups, token_files, topk
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": html_text.op1_html_text,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_span_dedup": span_dups.op3_span_dedup,
         "op4_near_dups": near_dups.op4_near_dups,
         "op5_topk": topk.op5_topk,
         "op7_token_files": token_files.op7_token_files,
