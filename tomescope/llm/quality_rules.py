@@ -1,7 +1,9 @@
 """Operator 2: quality rules by hashed n-gram log-likelihood ratio.
 
-Word 1- and 2-grams are hashed into ``2**BITS`` buckets. Two smoothed multinomials are counted over
-all rows: the trusted target (documents labelled quality 1) and the raw corpus (every document).
+Word 1- and 2-grams are hashed into ``2**BITS`` buckets. Two multinomials are counted over all rows:
+the trusted target (documents labelled quality 1) and the raw corpus (every document). A bucket's ratio
+is log((target + s) / (expected + s)), expected being the target's count if it were like the corpus; the
+smoothing s draws rare buckets, of which the counts say little, towards 0.
 A document's score is the mean of log(target / raw) over its n-grams, so length cancels; it is
 kept where the score is at least ``THRESHOLD`` and no base rule fails. The threshold is a constant,
 so the same document and the same counts always give the same verdict.
@@ -27,8 +29,8 @@ from tomescope.llm.common import id_text, table
 from tomescope.llm.words import M1, M2, M3, buckets, ngrams, split_words, stable_hashes
 
 BITS = 16
-SMOOTHING = 1.0
-THRESHOLD = -0.1
+SMOOTHING = 30.0
+THRESHOLD = -0.08
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SPACE = " \t\n\x0b\x0c\r"
@@ -95,10 +97,8 @@ def log_ratios(counts: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
     if not target.sum():
         return np.zeros(1 << bits, dtype=np.float32)
-    # smoothing towards the raw corpus: a bucket the target has not seen is as rare as smoothing allows
-    share = (raw + smoothing) / (raw.sum() + smoothing * len(raw))
-    prior = smoothing * len(raw)
-    return np.log((target + prior * share) / (target.sum() + prior) / share).astype(np.float32)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + smoothing) / (expected + smoothing)).astype(np.float32)
 
 
 def score(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
