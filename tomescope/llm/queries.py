@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomescope.llm import classifier, html_text, near_dups, packing, quality_rules, span_dups, token_files, topk
+from tomescope.llm import classifier, html_text, near_dups, packing, quality_rules, span_dups, suffix_dups, token_files, topk
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_files": token_files.op7_token_files,
         "op8_packing": packing.op8_packing,
         "op9_classifier": classifier.op9_classifier,
+        "op10_suffix_dedup": suffix_dups.op10_suffix_dedup,
     }
 
 
