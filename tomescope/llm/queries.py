@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomescope.llm import classifier, html_text, near_dups, packing, quality_rules, span_dups, suffix_dups, token_files, topk
+from tomescope.llm import classifier, html_text, near_dups, packing, quality_rules, sentence_pieces, span_dups, suffix_dups, token_files, topk
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_span_dedup": span_dups.op3_span_dedup,
         "op4_near_dups": near_dups.op4_near_dups,
         "op5_topk": topk.op5_topk,
+        "op6_sentence_pieces": sentence_pieces.op6_sentence_pieces,
         "op7_token_files": token_files.op7_token_files,
         "op8_packing": packing.op8_packing,
         "op9_classifier": classifier.op9_classifier,

@@ -208,9 +208,19 @@ class BatchEncoder:
         cut[off[:-1][np.diff(off) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        doc = np.searchsorted(off, starts, side="right") - 1
+        out = self._encode_pieces(data, off, starts, ends, plain)
         if plain.any():
-            keep = ~plain[doc]
+            rows = np.flatnonzero(plain)
+            for k, ids in zip(rows.tolist(), self._plain([col[int(k)].as_py() for k in rows]), strict=True):
+                out[k] = ids
+        return out
+
+    def _encode_pieces(self, data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, left_out: np.ndarray | None = None) -> list[np.ndarray]:
+        """Ids per document (``off``: its bounds) from the bounds of the pieces; none for those left out."""
+        n = len(off) - 1
+        doc = np.searchsorted(off, starts, side="right") - 1
+        if left_out is not None and left_out.any():
+            keep = ~left_out[doc]
             starts, ends, doc = starts[keep], ends[keep], doc[keep]
         flat, sizes, i = [], [], 0
         while i < len(starts):
@@ -219,11 +229,7 @@ class BatchEncoder:
             flat.append(ids)
             sizes.append(size)
             i = j
-        tokens = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
-        per_doc = np.bincount(doc, weights=np.concatenate(sizes), minlength=n).astype(np.int64) if flat else np.zeros(n, dtype=np.int64)
-        out = np.split(tokens, np.cumsum(per_doc)[:-1])
-        if plain.any():
-            rows = np.flatnonzero(plain)
-            for k, ids in zip(rows.tolist(), self._plain([col[int(k)].as_py() for k in rows]), strict=True):
-                out[k] = ids
-        return out
+        if not flat:
+            return [np.zeros(0, dtype=np.int32)] * n
+        per_doc = np.bincount(doc, weights=np.concatenate(sizes), minlength=n).astype(np.int64)
+        return np.split(np.concatenate(flat), np.cumsum(per_doc)[:-1])
