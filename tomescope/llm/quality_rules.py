@@ -8,8 +8,9 @@ A document's score is the mean of log(target / raw) over its n-grams, so length
 kept where the score is at least ``THRESHOLD`` and no base rule fails. The threshold is a constant,
 so the same document and the same counts always give the same verdict.
 
-Plan: documents are joined with the target's ids once to count (bucket sums are added up in each
-task before they are shuffled: at most ``2**BITS`` rows a task), and scanned again to score. What
+Plan: documents are joined with the target's ids once to count (the ids are broadcast while their counted
+rows fit the broadcast budget, else both sides are shuffled; bucket sums are added up in each task
+before they are shuffled: at most ``2**BITS`` rows a task), and scanned again to score. What
 goes through the driver is the table of bucket ratios, ``2**BITS`` floats whatever the input.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept. Without labelled
@@ -25,8 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomescope.config import DEFAULT
 from tomescope.llm.common import id_text, table
 from tomescope.llm.words import M1, M2, M3, buckets, ngrams, split_words, stable_hashes
+from tomescope.operators.joins import bounded_broadcast
+from tomescope.session import cut_lineage
 
 BITS = 16
 SMOOTHING = 30.0
@@ -72,7 +76,8 @@ def hashed_ngrams(words: list[bytes], bits: int = BITS) -> np.ndarray:
 def count_ngrams(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
     """``bucket, raw, target``: n-gram counts over all documents and over those labelled quality 1."""
     trusted = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = id_text(docs).join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    trusted = cut_lineage(trusted.withColumn("trusted", F.lit(True)), "trusted")
+    rows = id_text(docs).join(bounded_broadcast(trusted, trusted.count(), 32, DEFAULT), "doc_id", "left")
 
     def run(batches):
         counts = np.zeros((2, 1 << bits), dtype=np.int64)
