@@ -201,7 +201,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = K, id_col: str = "vec_
     for width in WIDTHS:
         counts = now.crossJoin(c).mapInArrow(_histogram(k, width), "block string, row int, bin long, n long")
         state = cut_lineage(_narrow(counts, state, k, width), f"topk-bins-{width}")
-        now = _attach(q, state, k)
+        now = cut_lineage(_attach(q, state, k), "topk-limits")  # few files again, so few pairs of partitions meet
     found = now.crossJoin(c).mapInArrow(_winners, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
