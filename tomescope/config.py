@@ -36,9 +36,12 @@ class Params:
     pq_m: int = 96
     pq_bits: int = 8
     nprobe: int = 256
-    train_max: int = 100_000
     kmeans_iter: int = 20
     seed: int = 42
+    # --- search path of recommend: "exact" or "ivfpq" ---
+    search: str = "exact"
+    # Scores are ranked as they are; a number rounds them first (SQL comparison: 6).
+    score_decimals: int | None = None
     # --- physical knobs ---
     # Largest query block (bytes of query vectors) shipped to executors in one broadcast.
     # Query tables above it are processed in several blocks.

@@ -7,6 +7,10 @@ Where Spark's built-in differs from the Python semantics the engine must keep
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,19 +164,30 @@ def clean_title(c: Column | str) -> Column:
 
 # --- HTML (B1) --------------------------------------------------------------
 
-# The entities decoded after tag stripping, '&amp;' last.
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-
 def strip_tags(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), "<[^>]+>", " ")
 
 
+ENTITY = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def decode_entity(ref: str) -> str:
+    """One complete reference, named or numeric, as HTML 5 names them; an unknown one stays."""
+    if ref[1] == "#":
+        n = int(ref[3:-1], 16) if ref[2] in "xX" else int(ref[2:-1])
+        return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else "\ufffd"
+    return html5.get(ref[1:], ref)
+
+
 def decode_entities(c: Column | str) -> Column:
-    out = _c(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Every named and numeric reference, once (``&amp;lt;`` becomes ``&lt;``). Arrow batches: the table of names is
+    far too long for an expression."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or "&" not in t else re.sub(ENTITY, lambda m: decode_entity(m[0]), t))
+
+    return decode(_c(c))
 
 
 def collapse_ws(c: Column | str) -> Column:

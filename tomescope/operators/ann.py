@@ -2,15 +2,15 @@
 
 Tables (all ordinary Parquet):
   ivf_centroids(cluster INT, centroid ARRAY<DOUBLE>)      nlist rows
-  pq_codebooks(m INT, code INT, sub ARRAY<DOUBLE>)         m * 2^bits rows
-  ivfpq_codes(Id LONG, cluster INT, codes ARRAY<INT>)     one row per vector
-
-Centroids and codebooks are bounded by the index parameters (nlist x dim and
-m x 2^bits x dim/m numbers), never by the corpus, so they are the only things shipped to
-executors whole. Assignment and encoding are narrow ``mapInPandas`` passes over the
-vectors; search reuses the broadcast-query-block scan of ``knn`` with a per-query probe
-mask, so a hot list never lands in one task: the scan follows file splits.
-Training runs on a sample of bounded size (``Params.train_max``).
+  pq_codebooks(m INT, code INT, sub ARRAY<DOUBLE>)        m * 2^bits rows
+  ivfpq_codes(Id LONG, codes BINARY, cluster INT)         one row per vector, partitioned by cluster
+
+Training runs over all vectors: Lloyd steps whose assignment is an Arrow pass with the current model broadcast
+(its size is a parameter and is checked) and whose means are sums per task, added up by ``groupBy``. The
+starting rows are those with the smallest md5(id | seed). Centroids and codebooks are bounded by the index
+parameters, never by the corpus, and are the only things that reach the driver. Encoding is one pass: list, residual and
+codes together, a sub-space at a time, so a batch needs rows x 2^bits floats.
+Search packs queries and codes into blocks like ``knn`` and builds a query block's look-up tables once.
 """
 
 from __future__ import annotations
@@ -19,41 +19,58 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
-from tomescope.operators.knn import blocked, collect_block, final_topk, n_tasks, round_half_away, topk_scan
-from tomescope.session import ship_package
+from tomescope.operators.knn import CORPUS_BLOCK, bounded_scan, final_topk, pack_queries, query_block_rows, round_half_away, vectors_of
+from tomescope.session import cut_lineage, new_table_path, ship_package
+
+DECIMALS = 6
+LUT_BYTES = 64 * 1024 * 1024  # look-up tables of one query block
 
 
 @dataclass
 class IvfPq:
     centroids: DataFrame  # (cluster, centroid)
     codebooks: DataFrame  # (m, code, sub)
-    codes: DataFrame  # (Id, cluster, codes)
+    codes: DataFrame  # (Id, codes, cluster), partitioned by cluster
     m: int
     ksub: int
     dim: int
+    path: str = ""
 
 
 # --- small tables to NumPy (bounded by index parameters) ---------------------------
 
 
-def centroid_matrix(centroids: DataFrame) -> np.ndarray:
-    pdf = centroids.select("cluster", "centroid").orderBy("cluster").toPandas()
-    if len(pdf) and not np.array_equal(pdf["cluster"].to_numpy(), np.arange(len(pdf))):
+def _checked(rows: int, dim: int, params: Params) -> None:
+    if rows * max(dim, 1) * 8 > params.max_broadcast_bytes * 8:
+        raise ValueError(f"a model of {rows} x {dim} numbers is above the broadcast budget")
+
+
+def centroid_matrix(centroids: DataFrame, params: Params = DEFAULT) -> np.ndarray:
+    rows = centroids.select("cluster", "centroid").orderBy("cluster").collect()
+    if [r["cluster"] for r in rows] != list(range(len(rows))):
         raise ValueError("clusters must be numbered 0..nlist-1")
-    return np.stack([np.asarray(v, dtype=np.float64) for v in pdf["centroid"]]) if len(pdf) else np.zeros((0, 0))
+    out = np.array([r["centroid"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    _checked(*out.shape, params)
+    return out
 
 
-def codebook_tensor(codebooks: DataFrame) -> np.ndarray:
+def codebook_tensor(codebooks: DataFrame, params: Params = DEFAULT) -> np.ndarray:
     """(m, ksub, dsub) array from the codebook table."""
-    pdf = codebooks.select("m", "code", "sub").orderBy("m", "code").toPandas()
-    m, ksub = int(pdf["m"].max()) + 1, int(pdf["code"].max()) + 1
-    subs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["sub"]])
-    return subs.reshape(m, ksub, subs.shape[1])
+    rows = codebooks.select("m", "code", "sub").orderBy("m", "code").collect()
+    m, ksub = rows[-1]["m"] + 1, rows[-1]["code"] + 1
+    out = np.array([r["sub"] for r in rows], dtype=np.float64).reshape(m, ksub, -1)
+    _checked(m * ksub, out.shape[2], params)
+    return out
+
+
+def _broadcast(df: DataFrame, value):
+    ship_package(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(value)
 
 
 # --- I7: repeatable exact-size sample ----------------------------------------------
@@ -64,14 +81,22 @@ def sample_key(id_col: str, seed: int) -> F.Column:
 
 
 def train_sample(df: DataFrame, id_col: str, n_max: int, seed: int) -> DataFrame:
-    """min(n_max, n) rows chosen by md5(id | seed): the n-th smallest key is found on one
-    8-byte-per-row column (bounded by n_max), then the sample is a distributed filter."""
-    keyed = df.withColumn("_skey", sample_key(id_col, seed))
-    top = keyed.select("_skey").orderBy("_skey").limit(n_max)
-    row = top.agg(F.max("_skey").alias("t"), F.count(F.lit(1)).alias("n")).first()
-    if row["t"] is None:
-        return keyed.limit(0).drop("_skey")
-    return keyed.where(F.col("_skey") <= F.lit(row["t"])).drop("_skey")
+    """min(n_max, n) rows with the smallest md5(id | seed), found by halving a threshold on the key's first 32
+    bits (a count per step), then cut exactly among the few rows of the last value."""
+    keyed = df.withColumn("_k", sample_key(id_col, seed)).withColumn("_h", F.conv(F.substring("_k", 1, 8), 16, 10).cast("long"))
+    low, high = -1, 2**32 - 1  # rows with _h <= low: too few or just enough; <= high: enough
+    if keyed.count() <= n_max:
+        return df
+    below = 0
+    while high - low > 1:
+        mid = (low + high) // 2
+        n = keyed.where(F.col("_h") <= mid).count()
+        if n <= n_max:
+            low, below = mid, n
+        else:
+            high = mid
+    rest = keyed.where(F.col("_h") == high).orderBy("_k").limit(n_max - below)
+    return keyed.where(F.col("_h") <= low).unionByName(rest).drop("_k", "_h")
 
 
 # --- F8: coarse centroids ------------------------------------------------------------
@@ -86,245 +111,287 @@ def centroids_by_label(vectors: DataFrame, label_col: str, vec_col: str) -> Data
     ).select(F.col("cluster").cast("int").alias("cluster"), "centroid")
 
 
-def train_kmeans(sample: DataFrame, vec_col: str, k: int, iters: int, seed: int) -> DataFrame:
-    """Spherical k-means on the sample with Spark ML (cosine distance): (cluster, centroid)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _start_rows(vectors: DataFrame, k: int, seed: int, id_col: str, vec_col: str) -> np.ndarray:
+    rows = vectors.select(sample_key(id_col, seed).alias("_k"), F.col(vec_col).cast("array<double>").alias("v")).orderBy("_k").limit(k).collect()
+    return np.array([r["v"] for r in rows], dtype=np.float64)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1.0, n)
+
+
+def nearest_list(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Centroid of largest inner product (ties: smallest cluster)."""
+    return np.argmax(round_half_away(x @ c.T, DECIMALS), axis=1)
+
+
+def _means(df: DataFrame, parts, keys: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums per key of ``parts`` (an Arrow function: key, n, s per task): at most ``keys`` rows are fetched."""
+    summed = df.mapInArrow(parts, "key long, n long, s array<double>")
+    flat = summed.select("key", "n", F.posexplode("s").alias("p", "x")).groupBy("key", "p").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    rows = flat.groupBy("key").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda z: z["x"]).alias("s")).collect()
+    n, s = np.zeros(keys, dtype=np.int64), np.zeros((keys, dim))
+    for r in rows:
+        n[r["key"]], s[r["key"]] = r["n"], r["s"]
+    return n, s
+
+
+def _per_task(keys: int, dim: int, add):
+    """An Arrow function that adds up (key, vector) pairs of all batches of a task."""
 
-    data = sample.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, maxIter=iters, seed=seed, distanceMeasure="cosine", featuresCol="features").fit(data)
-    centers = model.clusterCenters()
-    spark = sample.sparkSession
-    rows = [(i, [float(x) for x in (c / (np.linalg.norm(c) or 1.0))]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(rows, "cluster int, centroid array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(keys, dtype=np.int64), np.zeros((keys, dim))
+        for b in batches:
+            add(b, n, s)
+        at = np.flatnonzero(n)
+        offsets = np.arange(0, (len(at) + 1) * dim, max(dim, 1))[: len(at) + 1].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[at].reshape(-1)))], names=["key", "n", "s"])
+
+    return run
+
+
+def train_kmeans(vectors: DataFrame, vec_col: str, k: int, iters: int, seed: int, id_col: str = "Id") -> DataFrame:
+    """Spherical k-means over all vectors: (cluster, centroid), unit centroids; a list left empty keeps its centroid."""
+    c = unit_rows(_start_rows(vectors, k, seed, id_col, vec_col))
+    data = vectors.select(vec_col)
+    for _ in range(iters):
+        model = _broadcast(vectors, c)
+
+        def add(b, n, s, model=model):
+            x = vectors_of(b.column(vec_col))
+            a = nearest_list(x, model.value)
+            n += np.bincount(a, minlength=len(n))
+            np.add.at(s, a, x)
+
+        n, s = _means(data, _per_task(len(c), c.shape[1], add), len(c), c.shape[1])
+        mean = unit_rows(s / np.maximum(n, 1)[:, None])
+        c = np.where((n > 0)[:, None], mean, c)
+        model.unpersist()
+    return vectors.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(c)], "cluster int, centroid array<double>")
 
 
 # --- E4: assignment and probing ------------------------------------------------------
 
 
-def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "Id", vec_col: str = "vec") -> DataFrame:
-    """(Id, cluster): the centroid of largest inner product (ties: smallest cluster)."""
-    ship_package(vectors.sparkSession)
-    C = centroid_matrix(centroids)
-    bc = vectors.sparkSession.sparkContext.broadcast(C)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        Cm = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            s = round_half_away(X @ Cm.T)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(dtype=np.int64), "cluster": np.argmax(s, axis=1).astype(np.int32)})
-
-    return vectors.select(id_col, vec_col).mapInPandas(run, f"`{id_col}` long, cluster int")
-
-
-def probe_matrix(Q: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
-    """Boolean (nq, nlist): the nprobe centroids of largest inner product per query
-    (ties: smaller cluster)."""
-    s = round_half_away(Q @ C.T)
-    order = np.lexsort((np.broadcast_to(np.arange(C.shape[0]), s.shape), -s), axis=1)[:, :nprobe]
-    P = np.zeros(s.shape, dtype=bool)
-    np.put_along_axis(P, order, True, axis=1)
-    return P
-
-
-def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, q_id: str = "query_id", q_vec: str = "qvec") -> DataFrame:
-    """(query_id, cluster, probe_rank) for the nprobe best lists of every query."""
-    ship_package(queries.sparkSession)
-    C = centroid_matrix(centroids)
-    bc = queries.sparkSession.sparkContext.broadcast(C)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        Cm = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            Q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[q_vec]])
-            s = round_half_away(Q @ Cm.T)
-            order = np.lexsort((np.broadcast_to(np.arange(Cm.shape[0]), s.shape), -s), axis=1)[:, :nprobe]
-            n, p = order.shape
-            yield pd.DataFrame(
-                {
-                    q_id: np.repeat(pdf[q_id].to_numpy(dtype=np.int64), p),
-                    "cluster": order.reshape(-1).astype(np.int32),
-                    "probe_rank": np.tile(np.arange(1, p + 1, dtype=np.int32), n),
-                }
-            )
-
-    return queries.select(q_id, q_vec).mapInPandas(run, f"`{q_id}` long, cluster int, probe_rank int")
-
-
-def _group_by_cluster(clusters: np.ndarray):
+def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "Id", vec_col: str = "vec", carry: bool = False) -> DataFrame:
+    """(Id, cluster): the centroid of largest inner product (ties: smallest cluster); ``carry`` keeps the vector."""
+    model = _broadcast(vectors, centroid_matrix(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = nearest_list(vectors_of(b.column(vec_col)), model.value).astype(np.int32) if b.num_rows else np.zeros(0, np.int32)
+            cols = [b.column(id_col), pa.array(a)] + ([b.column(vec_col)] if carry else [])
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "cluster"] + ([vec_col] if carry else []))
+
+    kind = f", `{vec_col}` {vectors.schema[vec_col].dataType.simpleString()}" if carry else ""
+    return vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(run, f"`{id_col}` long, cluster int" + kind)
+
+
+def probe_matrix(q: np.ndarray, c: np.ndarray, nprobe: int) -> np.ndarray:
+    """Boolean (nq, nlist): the nprobe centroids of largest inner product per query (ties: smaller cluster)."""
+    s = round_half_away(q @ c.T, DECIMALS)
+    order = np.lexsort((np.broadcast_to(np.arange(c.shape[0]), s.shape), -s), axis=1)[:, :nprobe]
+    p = np.zeros(s.shape, dtype=bool)
+    np.put_along_axis(p, order, True, axis=1)
+    return p
+
+
+def _probing_blocks(queries: DataFrame, q_id: str, q_vec: str, c: np.ndarray, nprobe: int, rows: int) -> DataFrame:
+    """Written query blocks with their probe matrix (``q_probe``, one byte per query and list)."""
+    model = _broadcast(queries, c)
+    extra = lambda part: {"q_probe": probe_matrix(part, model.value, nprobe).astype(np.uint8).tobytes()}
+    return cut_lineage(pack_queries(queries, q_id, q_vec, rows, extra, ", q_probe binary"), "query_blocks")
+
+
+def _probed(q_blocks: DataFrame, nlist: int) -> list[int]:
+    """Lists probed by any query; at most ``nlist`` bytes a block are combined in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = np.zeros(nlist, dtype=bool)
+        for b in batches:
+            for raw in b.column("q_probe").to_pylist():
+                hit |= np.frombuffer(raw, np.uint8).reshape(-1, nlist).any(axis=0)
+        yield pa.RecordBatch.from_pydict({"cluster": np.flatnonzero(hit).astype(np.int32)})
+
+    return sorted(r["cluster"] for r in q_blocks.select("q_probe").mapInArrow(run, "cluster int").distinct().collect())
+
+
+def _by_list(clusters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(clusters, kind="stable")
-    cs = clusters[order]
-    cuts = np.flatnonzero(np.diff(cs)) + 1
-    for grp in np.split(order, cuts):
-        if len(grp):
-            yield int(clusters[grp[0]]), grp
+    for g in np.split(order, np.flatnonzero(np.diff(clusters[order])) + 1):
+        if len(g):
+            yield int(clusters[g[0]]), g
+
+
+def _list_blocks(lists: DataFrame, c_id: str, payload: str, to_matrix) -> DataFrame:
+    """Blocks of (id, list, payload) rows: ``cblock, c_ids, c_lists, c_vals``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids, cl, vals = b.column(c_id).to_numpy().astype("<i8"), b.column("cluster").to_numpy().astype("<i4"), to_matrix(b.column(payload))
+            for lo in range(0, len(ids), CORPUS_BLOCK):
+                at = slice(lo, lo + CORPUS_BLOCK)
+                cols = {"cblock": f"{task}-{n}", "c_ids": ids[at].tobytes(), "c_lists": cl[at].tobytes(), "c_vals": vals[at].tobytes()}
+                yield pa.RecordBatch.from_pydict({k: [v] for k, v in cols.items()})
+                n += 1
+
+    return lists.select(c_id, "cluster", payload).mapInArrow(run, "cblock string, c_ids binary, c_lists binary, c_vals binary")
 
 
 def ivf_search(
-    queries: DataFrame,
-    lists: DataFrame,
-    centroids: DataFrame,
-    nprobe: int,
-    k: int,
-    q_id: str = "query_id",
-    q_vec: str = "qvec",
-    c_id: str = "Id",
-    c_vec: str = "vec",
-    exclude_self: bool = False,
-    params: Params = DEFAULT,
-) -> DataFrame:
+    queries: DataFrame, lists: DataFrame, centroids: DataFrame, nprobe: int, k: int, q_id: str = "query_id", q_vec: str = "qvec",
+    c_id: str = "Id", c_vec: str = "vec", exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None,
+) -> DataFrame:
     """Exact scores inside the probed lists only. ``lists`` = (Id, cluster, vec)."""
-    C = centroid_matrix(centroids)
-    corpus = lists.select(c_id, "cluster", c_vec)
-
-    def batch_fn(blk: dict, pdf: pd.DataFrame):
-        P = blk["P"]
-        X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[c_vec]])
-        for c, cols in _group_by_cluster(pdf["cluster"].to_numpy()):
-            rows = np.flatnonzero(P[:, c])
+    c = centroid_matrix(centroids)
+    q_blocks = _probing_blocks(queries, q_id, q_vec, c, nprobe, query_block_rows(c.shape[1], params))
+    probed, nlist = _probed(q_blocks, len(c)), len(c)
+    scan = lists.where(F.col("cluster").isin(probed)) if len(probed) < nlist else lists
+    blocks = _list_blocks(scan.withColumn(c_vec, F.col(c_vec).cast("array<float>")), c_id, c_vec, lambda col: vectors_of(col).astype("<f4"))
+
+    def score(r: dict):
+        n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
+        q, x = np.frombuffer(r["q_vals"], "<f8").reshape(n, -1), np.frombuffer(r["c_vals"], "<f4").reshape(m, -1)
+        probe = np.frombuffer(r["q_probe"], np.uint8).reshape(n, nlist).astype(bool)
+        for cl, cols in _by_list(np.frombuffer(r["c_lists"], "<i4")):
+            rows = np.flatnonzero(probe[:, cl])
             if len(rows):
-                yield rows, cols, blk["Q"][rows] @ X[cols].T
+                yield rows, cols, q[rows] @ x[cols].astype(np.float64).T
 
-    def run_block(qblock: DataFrame) -> DataFrame:
-        blk = collect_block(qblock, q_id, q_vec)
-        if exclude_self:
-            blk["_exclude_self"] = True
-        blk["P"] = probe_matrix(blk["Q"], C, nprobe) if len(blk["ids"]) else np.zeros((0, C.shape[0]), bool)
-        probed = np.flatnonzero(blk["P"].any(axis=0)).tolist()
-        scan = corpus.where(F.col("cluster").isin(probed)) if len(probed) < C.shape[0] else corpus
-        return final_topk(topk_scan(scan, blk, k, q_id, c_id, batch_fn), k, q_id, c_id, n_tasks=n_tasks(scan))
-
-    return blocked(queries, q_id, q_vec, k, params, run_block)
+    return final_topk(bounded_scan(q_blocks, blocks, k, q_id, c_id, score, exclude_self, decimals), k, q_id, c_id)
 
 
 # --- K3 / F9: product quantisation -------------------------------------------------------
 
 
-def residuals(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame, id_col="Id", vec_col="vec") -> DataFrame:
-    """(Id, cluster, res ARRAY<DOUBLE>) = vector minus its list centroid."""
-    j = vectors.select(id_col, vec_col).join(assigned, id_col).join(F.broadcast(centroids), "cluster")
-    return j.select(
-        id_col, "cluster", F.zip_with(F.col(vec_col).cast("array<double>"), "centroid", lambda x, c: x - c).alias("res")
-    )
+def sub_size(dim: int, m: int) -> int:
+    if m < 1 or dim % m:
+        raise ValueError(f"{dim} dimensions do not split into {m} sub-spaces of one size")
+    return dim // m
+
+
+def nearest_codes(res: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """Nearest code per sub-space (ties: smallest code), a sub-space at a time. res (n, dim); cb (m, ksub, dsub)."""
+    m, _, d = cb.shape
+    out = np.empty((len(res), m), dtype=np.int64)
+    for j in range(m):
+        x, c = res[:, j * d : (j + 1) * d], cb[j]
+        dist = (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
+        out[:, j] = np.argmin(round_half_away(dist, DECIMALS), axis=1)
+    return out
+
+
+def train_pq(vectors: DataFrame, centroids: DataFrame, m: int, ksub: int, iters: int, seed: int, id_col: str = "Id", vec_col: str = "vec") -> DataFrame:
+    """Codebooks (m, code, sub): Lloyd steps in every sub-space over the residuals of all vectors. They start at
+    the residuals of the rows with the smallest md5(id | seed); a code left empty keeps its place."""
+    c = centroid_matrix(centroids)
+    d = sub_size(c.shape[1], m)
+    first = _start_rows(vectors, ksub, seed, id_col, vec_col)
+    first = first - c[nearest_list(first, c)]
+    if len(first) < ksub:  # fewer vectors than codes: the last code again
+        first = np.vstack([first, np.repeat(first[-1:], ksub - len(first), axis=0)])
+    cb = first.reshape(ksub, m, d).transpose(1, 0, 2).copy()
+    data = vectors.select(vec_col)
+    for _ in range(iters):
+        model = _broadcast(vectors, (c, cb))
+
+        def add(b, n, s, model=model):
+            cc, books = model.value
+            x = vectors_of(b.column(vec_col))
+            res = x - cc[nearest_list(x, cc)]
+            codes = nearest_codes(res, books)
+            for j in range(m):
+                key = j * ksub + codes[:, j]
+                n += np.bincount(key, minlength=len(n))
+                np.add.at(s, key, res[:, j * d : (j + 1) * d])
 
+        n, s = _means(data, _per_task(m * ksub, d, add), m * ksub, d)
+        cb = np.where((n > 0)[:, None], s / np.maximum(n, 1)[:, None], cb.reshape(m * ksub, d)).reshape(m, ksub, d)
+        model.unpersist()
+    rows = [(j, k, [float(x) for x in cb[j, k]]) for j in range(m) for k in range(ksub)]
+    return vectors.sparkSession.createDataFrame(rows, "m int, code int, sub array<double>")
 
-def pq_codebooks_fixed(res: DataFrame, m: int, ksub: int, dim: int, id_col: str = "Id") -> DataFrame:
-    """Fixed-codebook mode: code j of sub-space s is sub-vector s of the residual of the
-    vector with the (j+1)-th smallest id (a deterministic, SQL-checkable codebook)."""
-    dsub = dim // m
-    first = res.orderBy(id_col).limit(ksub)
-    first = first.withColumn("code", (F.row_number().over(Window.orderBy(id_col)) - 1).cast("int"))
-    subs = first.select(
-        "code", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("m"), "res"
-    ).select(F.col("m").cast("int").alias("m"), "code", F.slice("res", F.col("m") * dsub + 1, dsub).alias("sub"))
-    return subs
-
-
-def _pq_assign(R: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    """Nearest code per sub-space (ties: smallest code). R (n, dim); cb (m, ksub, dsub)."""
-    m, ksub, dsub = cb.shape
-    Rs = R.reshape(R.shape[0], m, dsub)
-    d = ((Rs[:, :, None, :] - cb[None, :, :, :]) ** 2).sum(axis=3)  # (n, m, ksub)
-    return np.argmin(round_half_away(d), axis=2).astype(np.int32)
-
-
-def pq_encode(res: DataFrame, codebooks: DataFrame, id_col: str = "Id") -> DataFrame:
-    """(Id, cluster, codes ARRAY<INT>) from the residual table."""
-    ship_package(res.sparkSession)
-    cb = codebook_tensor(codebooks)
-    bc = res.sparkSession.sparkContext.broadcast(cb)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cbv = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            R = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["res"]])
-            codes = _pq_assign(R, cbv)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(dtype=np.int64), "cluster": pdf["cluster"].to_numpy(dtype=np.int32), "codes": list(codes)})
-
-    return res.select(id_col, "cluster", "res").mapInPandas(run, f"`{id_col}` long, cluster int, codes array<int>")
-
-
-def pq_train(res: DataFrame, m: int, ksub: int, iters: int, seed: int) -> DataFrame:
-    """Learn the codebooks: one Lloyd k-means per sub-space, sub-spaces in parallel
-    (``groupBy('m').applyInPandas``). Input is the residual table of the (bounded) sample."""
-    ship_package(res.sparkSession)
-    dim = len(res.select("res").first()["res"])
-    dsub = dim // m
-    subs = res.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("m"), "res").select(
-        F.col("m").cast("int").alias("m"), F.slice("res", F.col("m") * dsub + 1, dsub).alias("x")
-    )
 
-    def lloyd(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"]])
-        rng = np.random.default_rng(seed + int(pdf["m"].iloc[0]))
-        k = min(ksub, len(X))
-        C = X[rng.choice(len(X), size=k, replace=False)].copy()
-        for _ in range(iters):
-            a = np.argmin(((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2), axis=1)
-            for j in range(k):
-                sel = X[a == j]
-                if len(sel):
-                    C[j] = sel.mean(axis=0)
-        if k < ksub:  # fewer points than codes: repeat the last code
-            C = np.vstack([C, np.repeat(C[-1:], ksub - k, axis=0)])
-        return pd.DataFrame({"m": int(pdf["m"].iloc[0]), "code": np.arange(ksub, dtype=np.int32), "sub": list(C)})
+def pq_encode(vectors: DataFrame, centroids: DataFrame, codebooks: DataFrame, id_col: str = "Id", vec_col: str = "vec") -> DataFrame:
+    """(Id, codes BINARY, cluster) in one pass: list, residual and codes. One byte a code up to 256 codes, else two."""
+    c, cb = centroid_matrix(centroids), codebook_tensor(codebooks)
+    sub_size(c.shape[1], cb.shape[0])
+    model = _broadcast(vectors, (c, cb))
+    kind = code_type(cb.shape[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cc, books = model.value
+        for b in batches:
+            x = vectors_of(b.column(vec_col))
+            a = nearest_list(x, cc) if len(x) else np.zeros(0, np.int64)
+            codes = nearest_codes(x - cc[a], books).astype(kind) if len(x) else np.zeros((0, 1), kind)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(a.astype(np.int32))], names=[id_col, "codes", "cluster"])
+
+    return vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(run, f"`{id_col}` long, codes binary, cluster int")
+
+
+def code_type(ksub: int) -> str:
+    return "<u1" if ksub <= 256 else "<u2"
+
 
-    return subs.groupBy("m").applyInPandas(lloyd, "m int, code int, sub array<double>")
+def compress_index(vectors: DataFrame, nlist: int, m: int, bits: int, iters: int, seed: int, id_col: str = "Id", vec_col: str = "vec", centroids: DataFrame | None = None) -> IvfPq:
+    """Train on all vectors, encode and store: codes partitioned by ``cluster``, centroids and codebooks beside them."""
+    spark = vectors.sparkSession
+    cents = cut_lineage(centroids if centroids is not None else train_kmeans(vectors, vec_col, nlist, iters, seed, id_col), "ivf_centroids")
+    books = cut_lineage(train_pq(vectors, cents, m, 1 << bits, iters, seed, id_col, vec_col), "pq_codebooks")
+    path = new_table_path(spark, "ivfpq_codes")
+    coded = pq_encode(vectors, cents, books, id_col, vec_col)
+    coded.write.mode("overwrite").option("compression", "zstd").partitionBy("cluster").parquet(path)
+    return IvfPq(cents, books, read_codes(spark, path), m, 1 << bits, len(cents.first()["centroid"]), path)
+
+
+def read_codes(spark, path: str, clusters: list[int] | None = None) -> DataFrame:
+    """Stored codes; only the folders of the named lists are read."""
+    df = spark.read.schema("Id long, codes binary, cluster int").parquet(path)
+    return df if clusters is None else df.where(F.col("cluster").isin(clusters))
 
 
 # --- K4: IVF-PQ search -----------------------------------------------------------------
 
 
 def pq_search(
-    queries: DataFrame,
-    index: IvfPq,
-    nprobe: int,
-    k: int,
-    q_id: str = "query_id",
-    q_vec: str = "qvec",
-    c_id: str = "Id",
-    exclude_self: bool = False,
-    params: Params = DEFAULT,
-) -> DataFrame:
+    queries: DataFrame, index: IvfPq, nprobe: int, k: int, q_id: str = "query_id", q_vec: str = "qvec", c_id: str = "Id",
+    exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None,
+) -> DataFrame:
     """score = q . centroid(list) + sum_m LUT_q[m, code_m], LUT_q[m, j] = q_m . codebook[m, j]."""
-    C = centroid_matrix(index.centroids)
-    cb = codebook_tensor(index.codebooks)
-    m, ksub, dsub = cb.shape
-    corpus = index.codes.select(c_id, "cluster", "codes")
-
-    def batch_fn(blk: dict, pdf: pd.DataFrame):
-        P, Q = blk["P"], blk["Q"]
-        codes = np.stack([np.asarray(v, dtype=np.int64) for v in pdf["codes"]])
-        for c, cols in _group_by_cluster(pdf["cluster"].to_numpy()):
-            rows = np.flatnonzero(P[:, c])
-            if not len(rows):
-                continue
-            Qr = Q[rows]
-            lut = np.einsum("qmd,mkd->qmk", Qr.reshape(len(rows), m, dsub), cb)  # (q, m, ksub)
-            cc = codes[cols]  # (n, m)
-            s = Qr @ C[c]
-            acc = np.repeat(s[:, None], len(cols), axis=1)
-            for j in range(m):
-                acc = acc + lut[:, j, cc[:, j]]
-            yield rows, cols, acc
-
-    def run_block(qblock: DataFrame) -> DataFrame:
-        blk = collect_block(qblock, q_id, q_vec)
-        if exclude_self:
-            blk["_exclude_self"] = True
-        blk["P"] = probe_matrix(blk["Q"], C, nprobe) if len(blk["ids"]) else np.zeros((0, C.shape[0]), bool)
-        probed = np.flatnonzero(blk["P"].any(axis=0)).tolist()
-        scan = corpus.where(F.col("cluster").isin(probed)) if len(probed) < C.shape[0] else corpus
-        return final_topk(topk_scan(scan, blk, k, q_id, c_id, batch_fn), k, q_id, c_id, n_tasks=n_tasks(scan))
+    c, cb = centroid_matrix(index.centroids), codebook_tensor(index.codebooks)
+    m, ksub, d = cb.shape
+    nlist = len(c)
+    rows_per = max(1, min(query_block_rows(c.shape[1], params), LUT_BYTES // (m * ksub * 8)))
+    q_blocks = _probing_blocks(queries, q_id, q_vec, c, nprobe, rows_per)
+    probed = _probed(q_blocks, nlist)
+    scan = index.codes.where(F.col("cluster").isin(probed)) if len(probed) < nlist else index.codes
+    kind, model = code_type(ksub), _broadcast(queries, (c, cb))
+    to_matrix = lambda col: np.frombuffer(b"".join(col.to_pylist()), dtype=kind).reshape(len(col), m) if len(col) else np.zeros((0, m), kind)
+    blocks = _list_blocks(scan, c_id, "codes", to_matrix)
+    held: dict = {}
+
+    def score(r: dict):
+        cc, books = model.value
+        n, size = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
+        if held.get("key") != (r["qblock"], r["q_ids"]):
+            q = np.frombuffer(r["q_vals"], "<f8").reshape(n, -1)
+            lut = np.stack([q[:, j * d : (j + 1) * d] @ books[j].T for j in range(m)])  # (m, n, ksub)
+            held.update(key=(r["qblock"], r["q_ids"]), lut=lut, coarse=q @ cc.T, probe=np.frombuffer(r["q_probe"], np.uint8).reshape(n, nlist).astype(bool))
+        codes = np.frombuffer(r["c_vals"], kind).reshape(size, m).astype(np.int64)
+        for cl, cols in _by_list(np.frombuffer(r["c_lists"], "<i4")):
+            rows = np.flatnonzero(held["probe"][:, cl])
+            if len(rows):
+                s = np.repeat(held["coarse"][rows, cl][:, None], len(cols), axis=1)
+                for j in range(m):
+                    s += held["lut"][j][rows][:, codes[cols, j]]
+                yield rows, cols, s
 
-    return blocked(queries, q_id, q_vec, k, params, run_block)
+    return final_topk(bounded_scan(q_blocks, blocks, k, q_id, c_id, score, exclude_self, decimals), k, q_id, c_id)
 
 
 # --- F10 / J1 / A12: evaluation ------------------------------------------------------------
@@ -342,21 +409,14 @@ def recall_at_k(exact: DataFrame, approx: DataFrame, k: int, q_id: str = "query_
     )
 
 
-def index_report(vectors: DataFrame, index: IvfPq, bits: int, id_bytes: int = 8) -> DataFrame:
-    """Vector count, exact-store bytes (n * dim * 4) against compressed bytes
-    (packed codes + ids + centroids + codebooks) and the reduction in percent."""
-    nlist = index.centroids.count()
-    n_codebook = index.codebooks.count()
-    dim, dsub = index.dim, index.dim // index.m
-    code_bytes = -(-index.m * bits // 8)  # bytes per vector, codes packed
-    fixed = nlist * dim * 4 + n_codebook * dsub * 4
-    n = F.count(F.lit(1))
-    flat = n * F.lit(dim * 4)
-    pq = index.codes.agg(F.count(F.lit(1)).alias("nc")).first()["nc"] * (code_bytes + id_bytes) + fixed
-    return vectors.agg(
-        n.alias("n_vectors"),
-        F.lit(dim).alias("dim"),
-        flat.cast("long").alias("flat_bytes"),
-        F.lit(int(pq)).cast("long").alias("ivfpq_bytes"),
-        F.round((F.lit(1.0) - F.lit(float(pq)) / flat) * 100, 1).alias("reduction_pct"),
-    )
+def index_report(index: IvfPq, id_bytes: int = 8) -> DataFrame:
+    """From the stored tables in one aggregate: vectors, exact-store bytes (n * dim * 4) against the bytes of
+    codes, ids, centroids and codebooks (float32), and the reduction in percent."""
+    fixed = index.centroids.agg(F.sum(F.size("centroid")).alias("a")).crossJoin(index.codebooks.agg(F.sum(F.size("sub")).alias("b")))
+    codes = index.codes.agg(F.count(F.lit(1)).alias("n_vectors"), F.sum(F.length("codes")).alias("code_bytes"))
+    flat = F.col("n_vectors") * F.lit(index.dim * 4)
+    both = codes.crossJoin(fixed).withColumn("ivfpq_bytes", (F.coalesce("code_bytes", F.lit(0)) + F.col("n_vectors") * id_bytes + (F.col("a") + F.col("b")) * 4).cast("long"))
+    return both.select(
+        "n_vectors", F.lit(index.dim).alias("dim"), flat.cast("long").alias("flat_bytes"), "ivfpq_bytes",
+        F.round((F.lit(1.0) - F.col("ivfpq_bytes") / flat) * 100, 1).alias("reduction_pct"),
+    )

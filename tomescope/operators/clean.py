@@ -1,8 +1,8 @@
 """Cleaning job (B1-B3, H1): raw records -> clean catalogue.
 
-Dedup keeps the best row per key with an aggregate (``min`` of a sort struct), not a
-window: the hash aggregate combines map-side, so a key holding a third of all rows
-still leaves each task one row per key instead of one task sorting the whole group.
+Dedup keeps the best row per key with an aggregate (``min`` of a narrow sort struct), not a window: the
+aggregate combines in the task, so a key holding a third of all rows leaves each task as one row instead of
+one task sorting the whole group.
 """
 
 from __future__ import annotations
@@ -36,26 +36,20 @@ def dedup_key(name: str = "Name") -> Column:
     return F.lower(T.py_strip(F.col(name)))
 
 
-def dedup_best(df: DataFrame, keys: list[Column], order: list[tuple[Column, bool]], keep: list[str]) -> DataFrame:
-    """One row per key: the first by ``order`` ((expr, descending) pairs; nulls last).
+def dedup_best(df: DataFrame, keys: list[Column], order: list[tuple[Column, bool]], id_col: str) -> DataFrame:
+    """One row per key: the first by ``order`` ((numeric expr, descending) pairs; nulls last), then by ``id_col``.
 
-    ``min(struct(...))`` orders field by field, so each (expr, desc) pair becomes a
-    (null flag, signed value) pair in the struct."""
+    Only the key, the order columns and the id are aggregated and shuffled; the rows themselves are picked by
+    a semi join on the id."""
     fields = []
     for i, (e, desc) in enumerate(order):
         fields.append(e.isNull().alias(f"_n{i}"))
         fields.append((-e if desc else e).alias(f"_v{i}"))
-    fields += [F.col(c).alias(c) for c in keep]
-    keyed = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*fields).alias("_s"))
+    keyed = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*fields, F.col(id_col).alias("_id")).alias("_s"))
     best = keyed.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_s").alias("_s"))
-    return best.select(*[F.col(f"_s.{c}").alias(c) for c in keep])
+    return df.join(best.select(F.col("_s._id").alias(id_col)), id_col, "left_semi")
 
 
 def dedup_books(books: DataFrame) -> DataFrame:
     """Default dedup: key (lower(strip(Name)), Authors); best Rating first, then Id."""
-    return dedup_best(
-        books,
-        [dedup_key("Name"), F.col("Authors")],
-        [(F.col("Rating"), True), (F.col("Id"), False)],
-        books.columns,
-    )
+    return dedup_best(books, [dedup_key("Name"), F.col("Authors")], [(F.col("Rating"), True)], "Id")

@@ -2,7 +2,7 @@
 
 The default encoder is deterministic and Spark-native: tokens are hashed into ``dim``
 buckets and weighted by ``idf = ln(1 + N / df)`` over the corpus it was fitted on.
-A plug-in neural encoder can replace it through :func:`encode_with_model`.
+A model can replace it: :func:`model_encoder` makes an encoder that ``build_index`` and ``recommend`` take.
 
 Plan shape (corpus side): one explode + partial aggregation to (Id, token, tf), one
 equi-join with the token statistics on ``token`` (AQE splits hot tokens), one
@@ -149,24 +149,70 @@ def dense_from_counts(tc: DataFrame, id_col: str, dim: int, stats: TokenStats |
     return packed.select(F.col("_id").alias(id_col), _densify_udf(dim)(b, v, F.col("_n")).alias(out_col))
 
 
-def encode_with_model(
-    docs: DataFrame, id_col: str, text_col: str, model_factory: Callable, out_col: str = "vec", batch_size: int = 256
-) -> DataFrame:
-    """Plug-in encoder: ``model_factory()`` returns an object with
-    ``encode(list[str], normalize_embeddings=True) -> ndarray``. The model is built once
-    per Python worker and fed Arrow batches; no row-at-a-time UDF."""
-    cache: dict = {}
+_MODELS: dict = {}  # one entry per factory and Python worker
 
-    @F.pandas_udf("array<float>")
-    def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            if "m" not in cache:
-                cache["m"] = model_factory()
-            texts = s.fillna("").tolist()
-            out = []
-            for i in range(0, len(texts), batch_size):
-                out.append(np.asarray(cache["m"].encode(texts[i : i + batch_size], normalize_embeddings=True), dtype="float32"))
-            mat = np.vstack(out) if out else np.zeros((0, 0), dtype="float32")
-            yield pd.Series(list(mat))
-
-    return docs.select(id_col, _enc(F.col(text_col)).alias(out_col))
+
+def worker_model(factory: Callable):
+    """The factory's model, built once per Python worker (``factory`` must be importable by name)."""
+    key = (factory.__module__, factory.__qualname__)
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+    return _MODELS[key]
+
+
+def model_encoder(factory: Callable, batch_size: int = 256) -> Callable[[DataFrame, str, str, str], DataFrame]:
+    """An encoder ``(docs, id_col, text_col, out_col) -> (id, vector)`` from ``factory()``, an object with
+    ``encode(list[str], normalize_embeddings=True) -> ndarray``. Texts come in Arrow batches; null is ''."""
+
+    def encode(docs: DataFrame, id_col: str, text_col: str, out_col: str = "vec") -> DataFrame:
+        from tomescope.session import ship_package
+
+        ship_package(docs.sparkSession)
+
+        @F.pandas_udf("array<float>")
+        def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = worker_model(factory)
+            for s in batches:
+                texts = s.fillna("").tolist()
+                parts = [model.encode(texts[i : i + batch_size], normalize_embeddings=True) for i in range(0, len(texts), batch_size)]
+                yield pd.Series([np.asarray(v, dtype="float32") for p in parts for v in p])
+
+        return docs.select(id_col, enc(F.col(text_col)).alias(out_col))
+
+    return encode
+
+
+def model_pair_scorer(factory: Callable, batch_size: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """A pair scorer from ``factory()``, an object with ``predict(list[[query, text]]) -> scores``. It takes pairs with
+    ``query_text`` and ``Description`` and adds ``semantic``."""
+
+    def scorer(pairs: DataFrame) -> DataFrame:
+        from tomescope.session import ship_package
+
+        ship_package(pairs.sparkSession)
+
+        @F.pandas_udf("double")
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = worker_model(factory)
+            for q, d in batches:
+                both = [list(x) for x in zip(q.fillna(""), d.fillna(""), strict=True)]
+                parts = [model.predict(both[i : i + batch_size]) for i in range(0, len(both), batch_size)]
+                yield pd.Series([float(v) for p in parts for v in p], dtype="float64")
+
+        return pairs.withColumn("semantic", score(F.col("query_text"), F.col("Description")))
+
+    return scorer
+
+
+class LetterModel:
+    """A deterministic stand-in for a neural model: letter counts as vectors, shared length as pair score."""
+
+    LETTERS = "aeinorst"
+
+    def encode(self, texts, normalize_embeddings=True):
+        x = np.array([[t.count(c) for c in self.LETTERS] for t in texts], dtype=np.float64).reshape(len(texts), len(self.LETTERS))
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(n == 0, ZERO_NORM_GUARD, n) if normalize_embeddings else x
+
+    def predict(self, pairs):
+        return [min(len(q), len(d)) / max(len(q), len(d), 1) for q, d in pairs]

@@ -2,257 +2,195 @@
 
 Plan shape, for a query table Q and a corpus C of vectors:
 
-1. Q is cut into blocks whose vectors fit ``Params.max_broadcast_bytes`` and whose
-   per-task top-k state fits ``STATE_BUDGET``; each block is shipped once as a broadcast
-   variable (its size is checked before it is sent, never the corpus).
-2. C is scanned once per block by ``mapInPandas``: Arrow batches become NumPy matrices,
-   scores come from one block matmul (or a PQ table look-up), and every task keeps only
-   a running top-k per query. No (query, item) pair is ever a Spark row.
-3. The per-task winners (<= k rows per query per task) are cut to the final top-k per
-   query by a window ranked on (score desc, id asc): partial + final WindowGroupLimit
-   after one hash exchange on the query id.
-
-Corpus partitions follow the files (``spark.sql.files.maxPartitionBytes``), never a key,
-so a hot IVF list or author cannot skew the scan. Blocks beyond the first are written to
-the checkpoint folder before the next is sent, so the driver holds one block at a time.
-Scores are rounded to 6 decimals and ties broken by the smaller id: the same rule the
-SQL oracle uses, so both engines agree on every cut.
+1. Q is packed into blocks of a bounded number of vectors and written to the shared folder. Nothing of Q or C
+   goes through the driver.
+2. C is packed into blocks on the fly. Blocks of the two sides meet (one row per pair of blocks, never per pair
+   of vectors) and each pair is scored by one matrix product in an Arrow batch.
+3. Bounds pass: a fixed share of the corpus blocks is scored first; the k-th best score of a query there is a
+   lower limit of its k-th best score overall. The limits travel as one more column of the query blocks.
+4. Main pass: a pair of blocks emits only scores at or above the limit, and at most k per query. With a share
+   of 1/8 about 8 k rows per query reach the final top-k, whatever the number of tasks.
+5. Final cut: a window on the query id, ranked by (score desc, id asc), partial and final WindowGroupLimit.
+
+Ids are any 64-bit numbers and scores any finite doubles. ``decimals`` rounds scores before they are ranked (the SQL
+comparison uses 6); by default they are not rounded.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
 from tomescope.session import cut_lineage, ship_package
 
-STATE_BUDGET = 256 * 1024 * 1024  # bytes of running top-k state per task
 SCORE_DECIMALS = 6
+BOUND_SHARE = 8  # one corpus block in so many is scored in the bounds pass
+CORPUS_BLOCK = 2048
+MAX_QUERY_BLOCK = 512
+QUERY_BLOCK = "qblock string, q_ids binary, q_vals binary"
 
-# Composite int64 sort key: (negated score in micro-units) << ID_BITS | id. Smaller is better.
-ID_BITS = 38
-ID_LIMIT = 1 << ID_BITS
-SCORE_OFFSET = 1 << 24  # scores in (-16, 16) after * 1e6
-WORST = np.iinfo(np.int64).max
 
-
-def round_half_away(x, decimals: int = SCORE_DECIMALS):
-    """SQL ``round``: scale, round half away from zero, unscale (NumPy's round is half-even)."""
+def round_half_away(x, decimals: int | None = SCORE_DECIMALS):
+    """SQL ``round``: scale, round half away from zero, unscale (NumPy's round is half-even). None: as it is."""
+    if decimals is None:
+        return np.asarray(x, dtype=np.float64)
     m = 10.0**decimals
     v = np.asarray(x, dtype=np.float64) * m
     return np.sign(v) * np.floor(np.abs(v) + 0.5) / m
 
 
-def _keys(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    s = np.rint(scores * 1e6).astype(np.int64)
-    return ((2 * SCORE_OFFSET - 1 - (s + SCORE_OFFSET)) << ID_BITS) | ids.astype(np.int64)[None, :]
-
-
-def _decode(keys: np.ndarray):
-    ids = keys & (ID_LIMIT - 1)
-    s = (2 * SCORE_OFFSET - 1 - (keys >> ID_BITS)) - SCORE_OFFSET
-    return ids, s.astype(np.float64) / 1e6
-
-
-class TopK:
-    """Running top-k per query over int64 composite keys (smaller key = better)."""
-
-    def __init__(self, nq: int, k: int):
-        self.k = k
-        self.state = np.full((nq, 0), WORST, dtype=np.int64)
-
-    def update(self, rows: np.ndarray | None, keys: np.ndarray) -> None:
-        if rows is None:
-            cur = self.state
-        else:
-            cur = self.state[rows]
-        both = np.concatenate([cur, keys], axis=1) if cur.shape[1] else keys
-        if both.shape[1] > self.k:
-            both = np.partition(both, self.k - 1, axis=1)[:, : self.k]
-        if rows is None:
-            self.state = both
-        else:
-            if both.shape[1] > self.state.shape[1]:
-                pad = np.full((self.state.shape[0], both.shape[1] - self.state.shape[1]), WORST, dtype=np.int64)
-                self.state = np.concatenate([self.state, pad], axis=1)
-            if both.shape[1] < self.state.shape[1]:
-                pad = np.full((both.shape[0], self.state.shape[1] - both.shape[1]), WORST, dtype=np.int64)
-                both = np.concatenate([both, pad], axis=1)
-            self.state[rows] = both
-
-    def rows(self, qids: np.ndarray) -> pd.DataFrame:
-        st = self.state
-        if st.size == 0:
-            return pd.DataFrame({"q": np.array([], dtype=np.int64), "i": np.array([], dtype=np.int64), "s": np.array([], dtype=np.float64)})
-        qi, col = np.nonzero(st != WORST)
-        keys = st[qi, col]
-        ids, scores = _decode(keys)
-        return pd.DataFrame({"q": qids[qi].astype(np.int64), "i": ids.astype(np.int64), "s": scores})
-
-
-def _matrix(col: pd.Series) -> np.ndarray:
-    if len(col) == 0:
-        return np.zeros((0, 0))
-    return np.stack(col.to_numpy()).astype(np.float64)
-
-
-def collect_block(df: DataFrame, id_col: str, vec_col: str, extra: list[str] | None = None) -> dict:
-    """Bring one size-checked query block to the driver as NumPy arrays."""
-    cols = [id_col, vec_col] + list(extra or [])
-    tbl = df.select(*cols).toArrow()
-    ids = tbl.column(id_col).to_numpy().astype(np.int64)
-    vec = tbl.column(vec_col).combine_chunks()
-    n = len(ids)
-    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    dim = flat.size // n if n else 0
-    out = {"ids": ids, "Q": flat.reshape(n, dim) if n else np.zeros((0, 0))}
-    for c in extra or []:
-        out[c] = tbl.column(c)
-    return out
-
-
-def plan_blocks(n_queries: int, dim: int, k: int, params: Params) -> int:
-    per_query = max(dim * 8 + 8, 1)
-    by_bytes = max(1, params.max_broadcast_bytes // per_query)
-    by_state = max(1, STATE_BUDGET // (max(k, 1) * 8 * 2))
-    rows_per_block = max(1, min(by_bytes, by_state))
-    return max(1, math.ceil(n_queries / rows_per_block))
-
-
-def topk_scan(
-    corpus: DataFrame,
-    block: dict,
-    k: int,
-    q_id: str,
-    c_id: str,
-    batch_fn: Callable[[dict, pd.DataFrame], Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray]]],
-) -> DataFrame:
-    """Scan ``corpus`` once for one broadcast query block; ``batch_fn(block, pdf)`` yields
-    (query rows or None for all, corpus column positions, score matrix) per sub-block."""
+def vectors_of(col: pa.Array) -> np.ndarray:
+    """Arrow list column to a float64 matrix; all lists must have one length."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(col) and flat.size % len(col):
+        raise ValueError("vectors of different length")
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+def pack_queries(queries: DataFrame, q_id: str, q_vec: str, rows: int, extra: Callable[[np.ndarray], dict[str, bytes]] | None = None, extra_schema: str = "") -> DataFrame:
+    """Query blocks of at most ``rows`` vectors; ``extra`` adds binary columns made from a block's matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids, vals = b.column(q_id).to_numpy().astype("<i8"), vectors_of(b.column(q_vec))
+            for lo in range(0, len(ids), rows):
+                part = vals[lo : lo + rows]
+                cols = {"qblock": f"{task}-{n}", "q_ids": ids[lo : lo + rows].tobytes(), "q_vals": part.astype("<f8").tobytes()}
+                yield pa.RecordBatch.from_pydict({k: [v] for k, v in (cols | (extra(part) if extra else {})).items()})
+                n += 1
+
+    return queries.select(q_id, q_vec).mapInArrow(run, QUERY_BLOCK + extra_schema)
+
+
+def pack_corpus(corpus: DataFrame, c_id: str, c_vec: str) -> DataFrame:
+    """Corpus blocks: ``cblock, c_ids, c_vals``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids, vals = b.column(c_id).to_numpy().astype("<i8"), vectors_of(b.column(c_vec))
+            for lo in range(0, len(ids), CORPUS_BLOCK):
+                cols = {"cblock": f"{task}-{n}", "c_ids": ids[lo : lo + CORPUS_BLOCK].tobytes(), "c_vals": vals[lo : lo + CORPUS_BLOCK].astype("<f4").tobytes()}
+                yield pa.RecordBatch.from_pydict({k: [v] for k, v in cols.items()})
+                n += 1
+
+    return corpus.select(c_id, F.col(c_vec).cast("array<float>").alias(c_vec)).mapInArrow(run, "cblock string, c_ids binary, c_vals binary")
+
+
+def best_of_block(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, allowed: np.ndarray, k: int):
+    """Rows ``(query id, item id, score)`` of the allowed pairs, at most ``k`` per query by (score desc, id asc)."""
+    row, col = np.nonzero(allowed)
+    if len(row):
+        per = np.bincount(row, minlength=len(q_ids))
+        if per.max() > k:
+            order = np.lexsort((c_ids[col], -scores[row, col], row))
+            row, col = row[order], col[order]
+            first = np.cumsum(per) - per
+            keep = np.arange(len(row)) - first[row] < k
+            row, col = row[keep], col[keep]
+    return q_ids[row], c_ids[col], scores[row, col]
+
+
+def scan_pairs(
+    q_blocks: DataFrame, c_blocks: DataFrame, k: int, q_id: str, c_id: str,
+    score: Callable[[dict], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], exclude_self: bool, decimals: int | None,
+) -> DataFrame:
+    """Candidates ``(q_id, c_id, score)`` of all pairs of blocks; ``score(row)`` yields (query rows, item
+    rows, score matrix) of a pair of blocks. A ``q_low`` column holds the queries' lower limits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
+                low = np.frombuffer(r["q_low"], "<f8") if r.get("q_low") is not None else np.full(len(q_ids), -np.inf)
+                for rows, cols, s in score(r):
+                    s = round_half_away(s, decimals)
+                    ok = s >= low[rows][:, None]
+                    if exclude_self:
+                        ok &= q_ids[rows][:, None] != c_ids[cols][None, :]
+                    q, c, v = best_of_block(s, q_ids[rows], c_ids[cols], ok, k)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(v)], names=[q_id, c_id, "score"])
+
+    return q_blocks.crossJoin(c_blocks).mapInArrow(run, f"`{q_id}` long, `{c_id}` long, score double")
+
+
+def with_bounds(q_blocks: DataFrame, sampled: DataFrame, k: int, q_id: str, c_id: str) -> DataFrame:
+    """Adds ``q_low``, per query the k-th best score among ``sampled`` (-inf with fewer than k)."""
+    ranked = final_topk(sampled, k, q_id, c_id, "_r").where(F.col("_r") == k).select(F.col(q_id).alias("qid"), F.col("score").alias("low"))
+    names = q_blocks.columns
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw in zip(b.column("qblock").to_pylist(), b.column("q_ids").to_pylist(), strict=True):
+                q = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_pydict({"qblock": [block] * len(q), "pos": np.arange(len(q), dtype=np.int32), "qid": q})
+
+    places = q_blocks.select("qblock", "q_ids").mapInArrow(ids, "qblock string, pos int, qid long")
+    lows = places.join(ranked, "qid").groupBy("qblock").agg(F.collect_list(F.struct("pos", "low")).alias("lows"))
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw, found in zip(b.column("q_ids").to_pylist(), b.column("lows").to_pylist(), strict=True):
+                low = np.full(len(raw) // 8, -np.inf)
+                for x in found or []:
+                    low[x["pos"]] = x["low"]
+                out.append(low.astype("<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "q_low"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q_blocks.schema.fields) + ", q_low binary"
+    return q_blocks.join(lows, "qblock", "left").mapInArrow(attach, schema)
+
+
+def final_topk(partial: DataFrame, k: int, q_id: str, c_id: str, rank_col: str = "rank") -> DataFrame:
+    """Top-k per query of the candidates: partial and final WindowGroupLimit on the query id."""
+    w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(c_id).asc())
+    return partial.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def bounded_scan(q_blocks: DataFrame, c_blocks: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
+    """Bounds pass over a share of the corpus blocks, then the scan of all blocks above the limits."""
+    share = c_blocks.where(F.pmod(F.xxhash64("cblock"), F.lit(BOUND_SHARE)) == 0)
+    sampled = scan_pairs(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals)
+    limited = cut_lineage(with_bounds(q_blocks, sampled, k, q_id, c_id), "query_limits")
+    return scan_pairs(limited, c_blocks, k, q_id, c_id, score, exclude_self, decimals)
+
+
+def query_block_rows(dim: int, params: Params) -> int:
+    """Queries per block: its vectors fit the broadcast budget, and no more than ``MAX_QUERY_BLOCK``."""
+    return max(1, min(MAX_QUERY_BLOCK, params.max_broadcast_bytes // max(dim * 8 + 8, 1)))
+
+
+def knn_candidates(queries, corpus, k, q_id="query_id", q_vec="qvec", c_id="Id", c_vec="vec", exclude_self=False, params=DEFAULT, decimals=None) -> DataFrame:
+    """What reaches the final cut of ``knn_join``: a superset of the top-k of every query."""
     ship_package(corpus.sparkSession)
-    sc = corpus.sparkSession.sparkContext
-    b = sc.broadcast(block)
-    nq = len(block["ids"])
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blk = b.value
-        top = TopK(nq, k)
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            ids = pdf[c_id].to_numpy().astype(np.int64)
-            if ids.min() < 0 or ids.max() >= ID_LIMIT:
-                raise ValueError(f"ids must lie in [0, 2^{ID_BITS}) for the top-k key")
-            for rows, cols, scores in batch_fn(blk, pdf):
-                if scores.size == 0:
-                    continue
-                keys = _keys(round_half_away(scores), ids[cols])
-                if "_exclude_self" in blk:
-                    qsel = blk["ids"] if rows is None else blk["ids"][rows]
-                    keys[qsel[:, None] == ids[cols][None, :]] = WORST
-                top.update(rows, keys)
-        out = top.rows(blk["ids"])
-        if len(out):
-            yield out.rename(columns={"q": q_id, "i": c_id, "s": "score"})
-
-    schema = f"`{q_id}` long, `{c_id}` long, score double"
-    return corpus.mapInPandas(run, schema)
-
-
-MERGE_FANIN = 32  # scan tasks merged per window partition at each level
-
-
-def final_topk(partial: DataFrame, k: int, q_id: str, c_id: str, rank_col: str = "rank", n_tasks: int = 1) -> DataFrame:
-    """Merge per-task winners into the top-k per query. With many scan tasks the merge is
-    a tree: top-k per (query, group of <= MERGE_FANIN tasks), then per query, so no
-    window partition holds more than MERGE_FANIN * k rows, however large the corpus."""
-    order = [F.col("score").desc(), F.col(c_id).asc()]
-    cur = partial.withColumn("_task", F.spark_partition_id())
-    width = max(1, n_tasks)
-    while width > MERGE_FANIN:
-        width = math.ceil(width / MERGE_FANIN)
-        g = (F.col("_task") % F.lit(width)).alias("_task")
-        cur = cur.select(q_id, c_id, "score", g)
-        w = Window.partitionBy(q_id, "_task").orderBy(*order)
-        cur = cur.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-    w = Window.partitionBy(q_id).orderBy(*order)
-    return cur.drop("_task").withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
-
-
-def n_tasks(df: DataFrame) -> int:
-    """Scan tasks of ``df`` (file splits; planning only, no job)."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover
-        return 1
-
-
-def blocked(
-    queries: DataFrame,
-    q_id: str,
-    q_vec: str,
-    k: int,
-    params: Params,
-    run_block: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Run ``run_block`` on size-checked query blocks and union the (disjoint) results."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
-    n, dim = int(stats["n"] or 0), int(stats["d"] or 0)
-    nblocks = plan_blocks(n, dim, k, params)
-    if nblocks == 1:
-        return run_block(queries)
-    queries = cut_lineage(queries)
-    parts = []
-    for bno in range(nblocks):
-        sub = queries.where(F.pmod(F.xxhash64(F.col(q_id)), F.lit(nblocks)) == bno)
-        parts.append(cut_lineage(run_block(sub)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    q_blocks = cut_lineage(pack_queries(queries, q_id, q_vec, query_block_rows(params.dim, params)), "query_blocks")
+
+    def score(r: dict):
+        n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
+        q, c = np.frombuffer(r["q_vals"], "<f8").reshape(n, -1), np.frombuffer(r["c_vals"], "<f4").reshape(m, -1)
+        if q.shape[1] != c.shape[1]:
+            raise ValueError("queries and corpus have vectors of different length")
+        yield np.arange(n), np.arange(m), q @ c.astype(np.float64).T
+
+    return bounded_scan(q_blocks, pack_corpus(corpus, c_id, c_vec), k, q_id, c_id, score, exclude_self, decimals)
 
 
 def knn_join(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    q_id: str = "query_id",
-    q_vec: str = "qvec",
-    c_id: str = "Id",
-    c_vec: str = "vec",
-    exclude_self: bool = False,
-    params: Params = DEFAULT,
-) -> DataFrame:
+    queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "qvec", c_id: str = "Id", c_vec: str = "vec",
+    exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None,
+) -> DataFrame:
     """Exact top-k by inner product: (q_id, c_id, score, rank)."""
-    corpus = corpus.select(c_id, c_vec)
-
-    def batch_fn(blk: dict, pdf: pd.DataFrame):
-        X = _matrix(pdf[c_vec])
-        if X.shape[0] == 0:
-            return
-        Q = blk["Q"]
-        step = max(1, (16 * 1024 * 1024) // max(Q.shape[0], 1))
-        for lo in range(0, X.shape[0], step):
-            cols = np.arange(lo, min(lo + step, X.shape[0]))
-            yield None, cols, Q @ X[cols].T
-
-    def run_block(qblock: DataFrame) -> DataFrame:
-        blk = collect_block(qblock, q_id, q_vec)
-        if exclude_self:
-            blk["_exclude_self"] = True
-        if len(blk["ids"]) == 0:
-            return _empty(corpus, q_id, c_id)
-        part = topk_scan(corpus, blk, k, q_id, c_id, batch_fn)
-        return final_topk(part, k, q_id, c_id, n_tasks=n_tasks(corpus))
-
-    return blocked(queries, q_id, q_vec, k, params, run_block)
-
-
-def _empty(df: DataFrame, q_id: str, c_id: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], f"`{q_id}` long, `{c_id}` long, score double, rank int")
+    found = knn_candidates(queries, corpus, k, q_id, q_vec, c_id, c_vec, exclude_self, params, decimals)
+    return final_topk(found, k, q_id, c_id)

@@ -11,39 +11,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
 from tomescope.operators.encode import term_counts
-
-SCORE_DECIMALS = 6
-
+from tomescope.operators.knn import CORPUS_BLOCK, bounded_scan, final_topk
+from tomescope.session import cut_lineage, ship_package
 
 # --- BM25 -------------------------------------------------------------------
 
 
 @dataclass
 class Bm25Index:
-    """Corpus side of BM25: postings (Id, token, tf), document lengths, per-token df."""
+    """Corpus side of BM25: one row per document with its terms, and per-token document frequencies."""
 
-    postings: DataFrame  # (Id, token, tf, dl)
-    lengths: DataFrame  # (Id, dl)
+    docs: DataFrame  # (Id, dl, terms ARRAY<STRUCT<token, tf>>)
     df: DataFrame  # (token, df)
     n_docs: int
     avgdl: float
 
 
-def fit_bm25(docs: DataFrame, id_col: str = "Id", text_col: str = "Description") -> Bm25Index:
-    tc = term_counts(docs, id_col, text_col)
-    terms = tc.select(F.col("_id").alias("Id"), "token", "tf")
-    lengths = terms.groupBy("Id").agg(F.sum("tf").alias("dl"))
-    postings = terms.join(lengths, "Id")
-    df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    row = docs.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).first()
-    n_docs = int(row["n"])
-    total = terms.agg(F.sum("tf").alias("t")).first()["t"] or 0
-    return Bm25Index(postings, lengths, df, n_docs, float(total) / n_docs if n_docs else 0.0)
+def documents_of(terms: DataFrame) -> DataFrame:
+    """(Id, token, tf) -> one row per document; a document's terms are bounded by its own text."""
+    return terms.groupBy("Id").agg(F.sum("tf").alias("dl"), F.collect_list(F.struct("token", "tf")).alias("terms"))
 
 
 def bm25_idf(df_col: Column, n_docs: int) -> Column:
@@ -67,33 +60,107 @@ def bm25_term(idf: Column, tf: Column, dl: Column, index: Bm25Index, params: Par
     return idf * t * F.lit(k1 + 1) / (t + norm)
 
 
+def rounded(c: Column, params: Params) -> Column:
+    """Scores as they are, or rounded where ``params.score_decimals`` says so."""
+    return c if params.score_decimals is None else F.round(c, params.score_decimals)
+
+
 def bm25_pairs(
     pairs: DataFrame, queries: DataFrame, index: Bm25Index, params: Params = DEFAULT, text_col: str = "query_text"
 ) -> DataFrame:
     """Score every (query_id, Id) pair of ``pairs`` against its query text: adds ``bm25``.
 
-    Relational form: pairs x query tokens (on query_id) -> postings (on Id, token) ->
-    sum per pair. Pairs are the <= k_filtered candidates per query, so the probe side is
-    bounded by |Q| * k_filtered * query length; the runtime bloom filter built from it
-    prunes the postings before their shuffle."""
+    Only documents that are someone's candidate are opened into postings (semi join on the distinct ids, one row a
+    document), which then meet pairs x query tokens on (Id, token). Pairs are at most k_filtered per query."""
     qw = query_term_weights(queries, index, text_col, inner=True)
     keys = pairs.select("query_id", "Id")
-    x = keys.join(qw, "query_id").join(index.postings, ["Id", "token"])
+    opened = index.docs.join(keys.select("Id").distinct(), "Id", "left_semi")
+    postings = opened.select("Id", "dl", F.inline("terms"))
+    x = keys.join(qw, "query_id").join(postings, ["Id", "token"])
     contrib = x.select("query_id", "Id", bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), index, params).alias("c"))
     sums = contrib.groupBy("query_id", "Id").agg(F.sum("c").alias("bm25"))
     return pairs.join(sums, ["query_id", "Id"], "left").withColumn("bm25", F.coalesce(F.col("bm25"), F.lit(0.0)))
 
 
-def bm25_search(queries: DataFrame, index: Bm25Index, k: int, params: Params = DEFAULT, text_col: str = "query_text") -> DataFrame:
-    """Top-k documents per query by BM25 over the whole corpus (postings join on token).
+def _query_weight_blocks(weights: DataFrame, rows: int) -> DataFrame:
+    """Blocks of query weights: ``qblock, q_ids, q_row, q_tok, q_idf`` (one entry per query and token)."""
+    per = weights.groupBy("query_id").agg(F.collect_list(F.struct(F.xxhash64("token").alias("t"), "idf")).alias("w"))
 
-    Contributions are summed per (query, document) with map-side partial aggregation;
-    AQE splits the partition of a very frequent token (skew join)."""
-    qw = query_term_weights(queries, index, text_col, inner=True)
-    x = qw.join(index.postings, "token")
-    contrib = x.select("query_id", "Id", bm25_term(F.col("idf"), F.col("tf"), F.col("dl"), index, params).alias("c"))
-    scored = contrib.groupBy("query_id", "Id").agg(F.round(F.sum("c"), SCORE_DECIMALS).alias("bm25"))
-    return top_per_query(scored, "bm25", k, "bm25_rank")
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids, w = b.column("query_id").to_numpy().astype("<i8"), b.column("w")
+            for lo in range(0, len(ids), rows):
+                part = w.slice(lo, rows)
+                flat, size = part.flatten(), np.diff(part.offsets.to_numpy())
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "qblock": [f"{task}-{n}"], "q_ids": [ids[lo : lo + rows].tobytes()], "q_row": [np.repeat(np.arange(len(size)), size).astype("<i4").tobytes()],
+                        "q_tok": [flat.field("t").to_numpy().astype("<i8").tobytes()], "q_idf": [flat.field("idf").to_numpy().astype("<f8").tobytes()],
+                    }
+                )
+                n += 1
+
+    return per.mapInArrow(run, "qblock string, q_ids binary, q_row binary, q_tok binary, q_idf binary")
+
+
+def _document_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: ``cblock, c_ids, c_dl, c_size, c_tok, c_tf``."""
+    hashed = docs.select("Id", "dl", F.transform("terms", lambda x: F.struct(F.xxhash64(x["token"]).alias("t"), x["tf"].alias("tf"))).alias("w"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for lo in range(0, b.num_rows, CORPUS_BLOCK):
+                part = b.slice(lo, CORPUS_BLOCK)
+                w = part.column("w")
+                flat = w.flatten()
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "cblock": [f"{task}-{n}"], "c_ids": [part.column("Id").to_numpy().astype("<i8").tobytes()], "c_dl": [part.column("dl").to_numpy().astype("<f8").tobytes()],
+                        "c_size": [np.diff(w.offsets.to_numpy()).astype("<i8").tobytes()], "c_tok": [flat.field("t").to_numpy().astype("<i8").tobytes()],
+                        "c_tf": [flat.field("tf").to_numpy().astype("<f8").tobytes()],
+                    }
+                )
+                n += 1
+
+    return hashed.mapInArrow(run, "cblock string, c_ids binary, c_dl binary, c_size binary, c_tok binary, c_tf binary")
+
+
+def bm25_search(queries: DataFrame, index: Bm25Index, k: int, params: Params = DEFAULT, text_col: str = "query_text") -> DataFrame:
+    """Top-k documents per query by BM25 over the whole corpus: (query_id, Id, bm25, bm25_rank).
+
+    Documents and query weights meet in blocks (see ``knn``): the contributions of a pair of blocks are added up inside the
+    task and only each query's best k leave it, so a stop word costs arithmetic, not rows. Tokens are compared by
+    64-bit hashes. Documents without a token of the query are no results."""
+    ship_package(queries.sparkSession)
+    q_blocks = cut_lineage(_query_weight_blocks(query_term_weights(queries, index, text_col, inner=True), 256), "bm25_queries")
+    k1, b, avgdl = params.bm25_k1, params.bm25_b, index.avgdl if index.avgdl > 0 else 1.0
+
+    def score(r: dict):
+        n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
+        tok, row, idf = np.frombuffer(r["q_tok"], "<i8"), np.frombuffer(r["q_row"], "<i4"), np.frombuffer(r["q_idf"], "<f8")
+        order = np.argsort(tok, kind="stable")
+        tok, row, idf = tok[order], row[order], idf[order]
+        doc = np.repeat(np.arange(m), np.frombuffer(r["c_size"], "<i8"))
+        have, tf, dl = np.frombuffer(r["c_tok"], "<i8"), np.frombuffer(r["c_tf"], "<f8"), np.frombuffer(r["c_dl"], "<f8")
+        lo, hi = np.searchsorted(tok, have), np.searchsorted(tok, have, side="right")
+        hit = np.flatnonzero(hi > lo)
+        reps = (hi - lo)[hit]
+        at = np.arange(int(reps.sum())) + np.repeat(lo[hit] - (np.cumsum(reps) - reps), reps)
+        d, t = np.repeat(doc[hit], reps), np.repeat(tf[hit], reps)
+        part = idf[at] * t * (k1 + 1) / (t + k1 * (1 - b + b * dl[d] / avgdl))
+        cell = row[at].astype(np.int64) * m + d
+        s = np.bincount(cell, weights=part, minlength=n * m).reshape(n, m)
+        s[np.bincount(cell, minlength=n * m).reshape(n, m) == 0] = np.nan
+        yield np.arange(n), np.arange(m), s
+
+    found = bounded_scan(q_blocks, _document_blocks(index.docs), k, "query_id", "Id", score, False, params.score_decimals)
+    return final_topk(found, k, "query_id", "Id", "bm25_rank").withColumnRenamed("score", "bm25")
 
 
 # --- scaling, blend, cuts ---------------------------------------------------
@@ -107,9 +174,7 @@ def minmax(col: str, part: str = "query_id") -> Column:
 
 
 def blend(semantic: str, rating: str, params: Params = DEFAULT) -> Column:
-    return F.round(
-        minmax(semantic) * F.lit(params.w_semantic) + minmax(rating) * F.lit(params.w_rating), SCORE_DECIMALS
-    )
+    return rounded(minmax(semantic) * F.lit(params.w_semantic) + minmax(rating) * F.lit(params.w_rating), params)
 
 
 def top_per_query(df: DataFrame, score: str, k: int, rank_col: str, part: str = "query_id", id_col: str = "Id") -> DataFrame:

@@ -14,26 +14,24 @@ from pyspark.sql import functions as F
 from tomescope.config import DEFAULT, Params
 from tomescope.functions import text as T
 from tomescope.operators import clean, encode, filters, rank
-from tomescope.operators.knn import knn_join
+from tomescope.operators.knn import SCORE_DECIMALS, knn_join
 from tomescope.operators.present import attach_covers
 from tomescope.plans import recommend as R
-from tomescope.session import apply_session_conf
+from tomescope.session import apply_session_conf, cut_lineage
 from tomescope.sources import store, tables
 
-P = DEFAULT
-_INDEX_CACHE: dict = {}
+P = DEFAULT.with_(score_decimals=SCORE_DECIMALS)  # the SQL comparison rounds scores before it ranks them
+SMALL = P.with_(k_retrieve=200, k_filtered=100)  # cuts that cut at every table size
+IVFPQ = SMALL.with_(search="ivfpq", nlist=16, pq_m=32, pq_bits=4, kmeans_iter=2, nprobe=8)
 
 
 def _books(spark: SparkSession, sf: str) -> DataFrame:
     return tables.books(spark, sf)
 
 
-def _index(spark: SparkSession, sf: str, params: Params = P) -> R.Index:
+def _index(spark: SparkSession, sf: str, params: Params = P, encoder: R.Encoder | None = None) -> R.Index:
     apply_session_conf(spark)
-    key = (spark.sparkContext.applicationId, sf, params)
-    if key not in _INDEX_CACHE:
-        _INDEX_CACHE[key] = R.build_index(_books(spark, sf), params)
-    return _INDEX_CACHE[key]
+    return R.build_index(_books(spark, sf), params, encoder)
 
 
 def _prepared(spark: SparkSession, sf: str, params: Params = P) -> DataFrame:
@@ -55,8 +53,8 @@ def _stages(spark: SparkSession, sf: str, params: Params = P) -> dict:
 
 
 def scan_books(spark, sf):
-    """Pruned scan with the default form's literal filters."""
-    b = _books(spark, sf)
+    """Pruned scan of the stored catalogue with the default form's literal filters."""
+    b = cut_lineage(_books(spark, sf), "books")
     return b.where((F.col("Pages") <= P.max_pages_default) & (F.col("Rating") >= P.floor_default)).select(
         "Id", "Name", "Authors", "Pages", "PublishYear", "Rating", "Description"
     )
@@ -137,8 +135,7 @@ def escaped_titles(spark, sf):
 
 
 def stars(spark, sf):
-    b = _books(spark, sf).where(F.col("Rating").isNotNull())
-    return b.select("Id", T.display_rating("Rating").alias("rating"), T.stars("Rating").alias("stars"))
+    return _books(spark, sf).select("Id", T.display_rating("Rating").alias("rating"), T.stars("Rating").alias("stars"))
 
 
 def search_links(spark, sf):
@@ -159,7 +156,7 @@ def clean_titles(spark, sf):
 
 
 def cover_join(spark, sf):
-    b = _books(spark, sf).select("Id", "Name")
+    b = _books(spark, sf).select("Id", "Name", "Authors")
     return attach_covers(b, tables.covers(spark, sf)).select("Id", "cover_url")
 
 
@@ -188,15 +185,15 @@ def knn_exact_top10(spark, sf):
     emb = tables.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     c = emb.select(F.col("vec_id").alias("Id"), F.col("embedding").alias("vec"))
-    return knn_join(q, c, 10, exclude_self=True)
+    return knn_join(q, c, 10, exclude_self=True, decimals=SCORE_DECIMALS)
 
 
 def knn_books_top10(spark, sf):
     """Expanded queries, IDF-hashed, against the stitched catalogue vectors: top 10."""
     idx = _index(spark, sf)
     prep = _prepared(spark, sf)
-    qvec = R.encode_queries(prep, idx)
-    return knn_join(qvec, idx.stitched, 10, "query_id", "qvec", "Id", "vec")
+    qvec = R.encode_queries(prep, idx, P)
+    return knn_join(qvec, idx.stitched, 10, "query_id", "qvec", "Id", "vec", decimals=SCORE_DECIMALS)
 
 
 # --- D / E2 / I: candidates -----------------------------------------------------------
@@ -225,20 +222,20 @@ def bm25_scores(spark, sf):
     """Top 20 descriptions per query by BM25 over the whole catalogue."""
     idx = _index(spark, sf)
     q = _prepared(spark, sf).where("valid").select("query_id", "query_text")
-    return rank.bm25_search(q, idx.bm25, 20)
+    return rank.bm25_search(q, idx.bm25, 20, P)
 
 
 def _reranked(spark, sf):
     s = _stages(spark, sf)
-    return R.rerank_candidates(s["prepared"], s["cut"], s["index"])
+    return R.rerank_candidates(s["prepared"], s["cut"], s["index"], P)
 
 
 def minmax_blend(spark, sf):
     s = _stages(spark, sf)
     qtext = s["prepared"].where("valid").select("query_id", "query_text")
     pairs = s["cut"].select("query_id", "Id", "Rating")
-    scored = rank.bm25_pairs(pairs, qtext, s["index"].bm25).withColumn("semantic", F.round("bm25", 6))
-    return scored.select("query_id", "Id", "semantic", rank.blend("semantic", "Rating").alias("cross_score"))
+    scored = rank.bm25_pairs(pairs, qtext, s["index"].bm25, P).withColumn("semantic", rank.rounded(F.col("bm25"), P))
+    return scored.select("query_id", "Id", "semantic", rank.blend("semantic", "Rating", P).alias("cross_score"))
 
 
 def author_dedup(spark, sf):
@@ -247,14 +244,58 @@ def author_dedup(spark, sf):
 
 def mmr_top5(spark, sf):
     s = _stages(spark, sf)
-    return R.diversify(R.rerank_candidates(s["prepared"], s["cut"], s["index"]), s["index"])
+    return R.diversify(R.rerank_candidates(s["prepared"], s["cut"], s["index"], P), s["index"], P)
 
 
 def result_cards(spark, sf):
     """The flagship: a whole table of searches -> five cards each."""
     idx = _index(spark, sf)
-    res = R.recommend(tables.queries(spark, sf), idx, tables.covers(spark, sf))
-    return res.cards
+    return R.recommend(tables.queries(spark, sf), idx, tables.covers(spark, sf), P).cards
+
+
+def candidates_cut100(spark, sf):
+    """The first two cuts at sizes that cut at every table size."""
+    return _stages(spark, sf, SMALL)["cut"].select("query_id", "Id", "retrieval_score", "cut_rank")
+
+
+def _cards(spark, sf, params):
+    return R.recommend(tables.queries(spark, sf), _index(spark, sf, params), tables.covers(spark, sf), params).cards
+
+
+def result_cards_small(spark, sf):
+    """The funnel with cuts 200 / 100 / 50 / 30 / 5."""
+    return _cards(spark, sf, SMALL)
+
+
+def result_cards_ivfpq(spark, sf):
+    """The same funnel, retrieving from the trained and stored IVF-PQ index."""
+    return _cards(spark, sf, IVFPQ)
+
+
+def rejected_results(spark, sf):
+    """What recommend hands back as rejected."""
+    return R.recommend(tables.queries(spark, sf), _index(spark, sf, SMALL), tables.covers(spark, sf), SMALL).rejected
+
+
+# --- K1, K2: models ------------------------------------------------------------------
+
+
+def encode_model(spark, sf):
+    """K1: a model behind the encoder interface (letter counts stand in for a neural model)."""
+    enc = encode.model_encoder(encode.LetterModel)
+    out = enc(R.stitched_texts(_books(spark, sf)), "Id", "text", "vec")
+    return out.select("Id", F.posexplode("vec").alias("p", "x")).select("Id", "p", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def model_recommend(spark, sf):
+    """K1, K2: build_index and recommend with a model encoder and a model pair scorer; the scores of the rerank."""
+    enc, scorer = encode.model_encoder(encode.LetterModel), encode.model_pair_scorer(encode.LetterModel)
+    idx, prep = _index(spark, sf, SMALL, enc), _prepared(spark, sf, SMALL)
+    hits = R.retrieve(prep, idx, SMALL, enc)
+    cut = R.filtered_candidates(prep, hits, idx, SMALL)
+    qtext = prep.where("valid").select("query_id", "query_text")
+    pairs = cut.join(qtext, "query_id").join(idx.books.select("Id", "Description"), "Id")
+    return scorer(pairs).select("query_id", "Id", "retrieval_score", F.round("semantic", 6).alias("semantic"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -291,6 +332,12 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_titles": clean_titles,
         "cover_join": cover_join,
         "result_cards": result_cards,
+        "candidates_cut100": candidates_cut100,
+        "result_cards_small": result_cards_small,
+        "result_cards_ivfpq": result_cards_ivfpq,
+        "rejected_results": rejected_results,
+        "encode_model": encode_model,
+        "model_recommend": model_recommend,
     }
     reg.update(ann_queries.registry())
     return reg

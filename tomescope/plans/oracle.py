@@ -8,7 +8,8 @@ double, scores are rounded to 6 decimals, and every ranking breaks ties by the s
 
 from __future__ import annotations
 
-from tomescope.config import DEFAULT as P
+from html.entities import html5
+
 from tomescope.functions.text import (
     EXPANSION_SEPARATOR,
     FALLBACK_COVER,
@@ -21,6 +22,8 @@ from tomescope.functions.text import (
     STAR_EMPTY,
     STAR_FULL,
 )
+from tomescope.operators.encode import LetterModel
+from tomescope.plans.catalog import IVFPQ, SMALL, P
 from tomescope.sources.tables import CONV_QUERY_BASE, ERAS
 
 DIM = P.dim
@@ -53,25 +56,35 @@ def rating_text(r: str) -> str:
 
 BOOKS = """books_v AS (
   SELECT doc_id AS Id,
-    CASE WHEN doc_id % 97 = 0 THEN NULL ELSE split_part(text, '.', 1) END AS Name,
-    CASE WHEN doc_id % 53 = 0 THEN NULL ELSE concat(source, '-', CAST(doc_id % 7 AS VARCHAR)) END AS Authors,
+    CASE WHEN doc_id % 97 = 0 THEN NULL
+      WHEN doc_id % 11 = 3 THEN split_part(text, '.', 1) || ' (Vol. ' || CAST(doc_id % 5 AS VARCHAR) || ')'
+      WHEN doc_id % 13 = 5 THEN '"' || split_part(text, '.', 1) || '" <no. ' || CAST(doc_id AS VARCHAR) || '>'
+      ELSE split_part(text, '.', 1) END AS Name,
+    CASE WHEN doc_id % 53 = 0 THEN NULL
+      WHEN doc_id % 17 = 2 THEN '"' || source || '-' || CAST(doc_id % 7 AS VARCHAR) || '" <ed>'
+      ELSE source || '-' || CAST(doc_id % 7 AS VARCHAR) END AS Authors,
     CAST(20 + floor(CAST(n_chars AS DOUBLE) / 10) AS INTEGER) AS Pages,
     CAST(1850 + (doc_id * 37) % 175 AS INTEGER) AS PublishYear,
     CASE WHEN doc_id % 41 = 0 THEN NULL ELSE CAST(25 + (doc_id * 7919) % 26 AS DOUBLE) / 10 END AS Rating,
-    CASE WHEN doc_id % 89 = 0 THEN NULL ELSE text END AS Description
+    CASE WHEN doc_id % 89 = 0 THEN NULL WHEN doc_id % 19 = 4 THEN '<i>Note</i> A <b>first</b> line. ' || text ELSE text END AS Description
   FROM documents)"""
 
 _eras = ", ".join(q(e) for e in ERAS)
+_keywords = ", ".join(q(kw) for kw, _ in QUERY_EXPANSIONS)
 QUERIES = f"""qraw AS (
   SELECT item_id AS query_id, text AS query_text FROM benchmark
   UNION ALL
   SELECT {CONV_QUERY_BASE} + conv_id * 1000 + turn AS query_id, text AS query_text FROM conversations WHERE role = 'user'),
 qset AS (
-  SELECT query_id, query_text,
+  SELECT query_id,
+    CASE WHEN query_id % 29 = 3 THEN ' ab '
+      WHEN query_id % 7 = 1 THEN 'A ' || upper(([{_keywords}])[CAST(query_id % 10 AS INTEGER) + 1]) || ' tale'
+      WHEN query_id % 7 = 2 THEN chr(9) || '  ' || query_text || '  ' || chr(10)
+      ELSE query_text END AS query_text,
     ([{_eras}])[CAST(query_id % 4 AS INTEGER) + 1] AS era,
-    CAST(100 + 50 * ((query_id * 7) % 39) AS INTEGER) AS max_pages,
+    CAST(CASE WHEN query_id % 31 = 0 THEN 1 ELSE 100 + 50 * ((query_id * 7) % 39) END AS INTEGER) AS max_pages,
     (query_id % 3 = 0) AS acclaimed,
-    CAST({P.mmr_lambda} AS DOUBLE) AS "lambda"
+    CAST(511301 + 93107 * (query_id % 6) AS DOUBLE) / 1000000 AS "lambda"
   FROM qraw),
 qs1 AS (SELECT *, {strip('query_text')} AS stripped FROM qset),
 qs2 AS (SELECT *, coalesce(length(stripped) > 3, false) AS valid,
@@ -160,10 +173,12 @@ FILTERED = f"""filtered AS (
     AND b.Pages <= coalesce(q.max_pages, {P.max_pages_default})
     AND b.Rating >= CASE WHEN coalesce(q.acclaimed, false) THEN {P.floor_acclaimed} ELSE {P.floor_default} END)"""
 
-CUT = f"""cut AS (
+def cut(k: int) -> str:
+    return f"""cut AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_score DESC, Id) AS cut_rank FROM filtered)
-  WHERE cut_rank <= {P.k_filtered})"""
+  WHERE cut_rank <= {k})"""
+
 
 K1, B = P.bm25_k1, P.bm25_b
 BM25_STATS = [
@@ -273,9 +288,22 @@ def clean_title(t: str) -> str:
 
 
 COVERS = f"""covers_v AS (
-  SELECT page_id AS cover_id, lower({clean_title("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS clean_title, url AS cover_url
-  FROM pages),
-cover1 AS (SELECT clean_title, arg_min(cover_url, cover_id) AS cover_url FROM covers_v WHERE clean_title <> '' GROUP BY clean_title)"""
+  SELECT page_id AS cover_id, lower({clean_title("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS clean_title, NULL AS author, url AS cover_url
+  FROM pages
+  UNION ALL
+  SELECT Id, lower({clean_title("Name")}), Authors, 'https://covers.example.org/' || CAST(Id AS VARCHAR) || '.jpg'
+  FROM books_v WHERE Id % 3 = 0 AND Name IS NOT NULL AND Authors IS NOT NULL),
+cover1 AS (SELECT clean_title, arg_min(cover_url, cover_id) AS url1 FROM covers_v WHERE clean_title <> '' AND author IS NULL GROUP BY clean_title),
+cover2 AS (SELECT clean_title, author, arg_min(cover_url, cover_id) AS url2 FROM covers_v WHERE clean_title <> '' AND author IS NOT NULL GROUP BY clean_title, author)"""
+COVER_JOIN = f"""LEFT JOIN cover1 c1 ON c1.clean_title = lower({clean_title("b.Name")})
+LEFT JOIN cover2 c2 ON c2.clean_title = lower({clean_title("b.Name")}) AND c2.author = b.Authors"""
+COVER_URL = f"coalesce(c2.url2, c1.url1, {q(FALLBACK_COVER)}) AS cover_url"
+
+
+def entity_map() -> str:
+    """Named character references as a map literal, built from Python's table."""
+    names = [n for n in html5 if n.endswith(";")]
+    return "MAP([" + ", ".join(q("&" + n) for n in names) + "], [" + ", ".join(q(html5[n]) for n in names) + "])"
 
 
 def card_select(alias: str = "b") -> str:
@@ -298,11 +326,17 @@ def _sql() -> dict[str, str]:
     )
     s["csv_zstd_roundtrip"] = with_(BOOKS) + "SELECT * FROM books_v"
     stripped = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-    decoded = stripped
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
-        decoded = f"replace({decoded}, {q(ent)}, {q(ch)})"
+    pattern = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+    number = "CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN CAST('0x' || substr(r, 4, length(r) - 4) AS INTEGER) ELSE CAST(substr(r, 3, length(r) - 3) AS INTEGER) END"
+    named = f"SELECT page_id, html, {stripped} AS stripped, regexp_extract_all({stripped}, '{pattern}') AS refs, regexp_split_to_array({stripped}, '{pattern}') AS parts FROM pages"
+    one = f"CASE WHEN substr(r, 2, 1) = '#' THEN chr({number}) ELSE coalesce(m.m[r], r) END"
+    decoded_cte = f"""WITH m AS MATERIALIZED (SELECT {entity_map()} AS m), s AS ({named}),
+d AS (SELECT page_id, stripped, array_to_string(list_transform(range(1, len(parts) + 1), lambda i:
+    parts[i] || coalesce(list_transform(refs[i:i], lambda r: {one})[1], '')), '') AS decoded FROM s, m)
+"""
+    decoded = "decoded"
     clean_text = strip(f"regexp_replace({decoded}, '{PY_WS}+', ' ', 'g')")
-    s["strip_html"] = f"SELECT page_id, {stripped} AS stripped, {decoded} AS decoded, {clean_text} AS clean_text FROM pages"
+    s["strip_html"] = decoded_cte + f"SELECT page_id, stripped, decoded, {clean_text} AS clean_text FROM d"
     s["outlier_filter"] = with_(BOOKS) + "SELECT * FROM books_v WHERE Pages BETWEEN 1 AND 2000"
     s["dedup_books"] = with_(BOOKS) + (
         "SELECT Id, Name, Authors, Rating FROM ("
@@ -321,16 +355,13 @@ def _sql() -> dict[str, str]:
         f"SELECT Id, {escape_name('coalesce(Name, ' + q('Unknown') + ')')} AS title, "
         f"{escape_name('coalesce(Authors, ' + q('Unknown') + ')')} AS author FROM books_v"
     )
-    s["stars"] = with_(BOOKS) + f"SELECT Id, round(Rating, 1) AS rating, {stars('Rating')} AS stars FROM books_v WHERE Rating IS NOT NULL"
+    s["stars"] = with_(BOOKS) + f"SELECT Id, round(Rating, 1) AS rating, {stars('Rating')} AS stars FROM books_v"
     s["search_links"] = with_(BOOKS) + (
         f"SELECT Id, {search_link('coalesce(Name, ' + q('Unknown') + ')', 'coalesce(Authors, ' + q('Unknown') + ')')} AS search_link FROM books_v"
     )
     s["part_links"] = f"SELECT p_partkey, {search_link('p_name', 'p_brand')} AS search_link FROM part"
     s["clean_titles"] = with_(BOOKS) + f"SELECT Id, {clean_title('Name')} AS clean_title FROM books_v"
-    s["cover_join"] = with_(BOOKS, COVERS) + (
-        f"SELECT b.Id, coalesce(c.cover_url, {q(FALLBACK_COVER)}) AS cover_url FROM books_v b "
-        f"LEFT JOIN cover1 c ON c.clean_title = lower({clean_title('coalesce(b.Name, ' + q('Unknown') + ')')})"
-    )
+    s["cover_join"] = with_(BOOKS, COVERS) + f"SELECT b.Id, {COVER_URL} FROM books_v b {COVER_JOIN}"
     enc_base = [BOOKS, STITCHED, term_freq("s", "s_text", "Id", "text"), doc_freq("s", "books_v")]
     s["encode_hashed"] = with_(*enc_base, cells("e", "s", None)) + (
         "SELECT c.id AS Id, c.bucket, round(c.value / n.norm, 6) AS value FROM e_cell c JOIN e_norm n USING (id)"
@@ -350,10 +381,13 @@ def _sql() -> dict[str, str]:
         "SELECT query_id, Id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, Id) AS rank FROM scores) "
         "WHERE rank <= 10"
     )
-    chain = RETRIEVAL + [hits(P.k_retrieve), FILTERED, CUT]
+    chain = RETRIEVAL + [hits(P.k_retrieve), FILTERED, cut(P.k_filtered)]
+    small = RETRIEVAL + [hits(SMALL.k_retrieve), FILTERED, cut(SMALL.k_filtered)]
     s["candidates_filtered"] = with_(*chain) + "SELECT query_id, Id, retrieval_score, retrieval_rank FROM filtered"
     s["candidates_cut300"] = with_(*chain) + "SELECT query_id, Id, retrieval_score, cut_rank FROM cut"
+    s["candidates_cut100"] = with_(*small) + "SELECT query_id, Id, retrieval_score, cut_rank FROM cut"
     s["no_match_queries"] = with_(*chain) + "SELECT query_id FROM qvalid WHERE query_id NOT IN (SELECT query_id FROM cut)"
+    s["rejected_results"] = s["rejected_queries"]
     s["bm25_scores"] = with_(BOOKS, QUERIES, *BM25_STATS) + (
         "SELECT query_id, Id, bm25, bm25_rank FROM ("
         "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, Id) AS bm25_rank FROM ("
@@ -361,16 +395,46 @@ def _sql() -> dict[str, str]:
         "FROM q_w w JOIN d_tf t ON t.token = w.token JOIN d_len l ON l.id = t.id GROUP BY w.query_id, t.id)) "
         "WHERE bm25_rank <= 20"
     )
-    rer = chain + BM25_STATS + [PAIR_BM25, BLEND]
-    s["minmax_blend"] = with_(*rer) + "SELECT query_id, Id, semantic, cross_score FROM blend"
-    s["author_dedup"] = with_(*rer, DEDUP) + "SELECT query_id, Id, Authors, cross_score, dedup_rank FROM dedup"
+    rer = BM25_STATS + [PAIR_BM25, BLEND]
+    s["minmax_blend"] = with_(*chain, *rer) + "SELECT query_id, Id, semantic, cross_score FROM blend"
+    s["author_dedup"] = with_(*chain, *rer, DEDUP) + "SELECT query_id, Id, Authors, cross_score, dedup_rank FROM dedup"
     full = rer + [DEDUP] + mmr_ctes()
-    s["mmr_top5"] = with_(*full) + "SELECT query_id, Id, mmr_rank, mmr_score FROM picks"
-    s["result_cards"] = with_(*full, COVERS) + (
-        f"SELECT p.query_id, p.mmr_rank AS rank, p.Id, {card_select('b')}, "
-        f"coalesce(c.cover_url, {q(FALLBACK_COVER)}) AS cover_url, d.cross_score, p.mmr_score "
-        "FROM picks p JOIN dedup d ON d.query_id = p.query_id AND d.Id = p.Id JOIN books_v b ON b.Id = p.Id "
-        f"LEFT JOIN cover1 c ON c.clean_title = lower({clean_title('coalesce(b.Name, ' + q('Unknown') + ')')})"
+    s["mmr_top5"] = with_(*chain, *full) + "SELECT query_id, Id, mmr_rank, mmr_score FROM picks"
+    card_rows = (
+        f"SELECT p.query_id, p.mmr_rank AS rank, p.Id, {card_select('b')}, {COVER_URL}, d.cross_score, p.mmr_score "
+        f"FROM picks p JOIN dedup d ON d.query_id = p.query_id AND d.Id = p.Id JOIN books_v b ON b.Id = p.Id {COVER_JOIN}"
+    )
+    s["result_cards"] = with_(*chain, *full, COVERS) + card_rows
+    s["result_cards_small"] = with_(*small, *full, COVERS) + card_rows
+    from tomescope.plans import ann_oracle
+
+    coded = RETRIEVAL[:-1] + [
+        "ev AS (SELECT id AS Id, vec FROM sv_dense),\nev_rows AS MATERIALIZED (SELECT Id, unnest(range(len(vec))) AS p, unnest(vec) AS x FROM ev)",
+        "eq AS (SELECT id AS Id, vec FROM qv_dense),\neq_rows AS MATERIALIZED (SELECT Id, unnest(range(len(vec))) AS p, unnest(vec) AS x FROM eq)",
+        ann_oracle.kmeans("ev", "ev_rows", IVFPQ.nlist, IVFPQ.kmeans_iter),
+        ann_oracle.product_quantiser("ev", "ev_rows", IVFPQ.pq_m, 1 << IVFPQ.pq_bits, IVFPQ.kmeans_iter),
+        ann_oracle.pq_scores("eq", "eq_rows", IVFPQ.nprobe, IVFPQ.k_retrieve, False),
+        "hits AS (SELECT query_id, Id, score AS retrieval_score, rank AS retrieval_rank FROM approx)",
+        FILTERED,
+        cut(IVFPQ.k_filtered),
+    ]
+    s["result_cards_ivfpq"] = with_(*coded, *full, COVERS) + card_rows
+    letters = [f"CAST(length(t) - length(replace(t, {q(c)}, '')) AS DOUBLE)" for c in LetterModel.LETTERS]
+
+    def letter_vectors(name: str, src: str, id_col: str, text: str) -> str:
+        return f"""{name}_l AS (SELECT id, [{", ".join(letters)}] AS v FROM (SELECT {id_col} AS id, coalesce({text}, '') AS t FROM {src})),
+{name}_dense AS (SELECT id, list_transform(v, lambda x: CAST(CAST(x / CASE WHEN n = 0 THEN 1e-9 ELSE n END AS FLOAT) AS DOUBLE)) AS vec
+  FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM {name}_l))"""
+
+    base = [BOOKS, STITCHED, letter_vectors("sv", "s_text", "Id", "text")]
+    s["encode_model"] = with_(*base) + (
+        f"SELECT id AS Id, CAST(unnest(range({len(letters)})) AS INTEGER) AS p, round(unnest(vec), 6) AS x FROM sv_dense"
+    )
+    model = [BOOKS, QUERIES, STITCHED, *base[2:], letter_vectors("qv", "qvalid", "query_id", "expanded"), RETRIEVAL[-1]]
+    s["model_recommend"] = with_(*model, hits(SMALL.k_retrieve), FILTERED, cut(SMALL.k_filtered)) + (
+        "SELECT c.query_id, c.Id, c.retrieval_score, "
+        "round(CAST(least(length(qv.query_text), length(coalesce(b.Description, ''))) AS DOUBLE) / greatest(length(qv.query_text), length(coalesce(b.Description, '')), 1), 6) AS semantic "
+        "FROM cut c JOIN qvalid qv USING (query_id) JOIN books_v b ON b.Id = c.Id"
     )
     from tomescope.plans import ann_oracle
 

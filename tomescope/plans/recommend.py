@@ -1,21 +1,22 @@
 """The two jobs: ``build_index`` (offline) and ``recommend`` (a whole table of searches).
 
-recommend: queries -> strip / validate / expand -> encode -> exact or IVF top-k ->
-join catalogue + per-query filters -> cut 300 -> BM25 rerank -> min-max blend -> cut 50 ->
-best per author -> cut 30 -> MMR 5 -> cards. One lazy DataFrame chain; the only driver
-round-trips are the size checks of the broadcast query blocks and two corpus scalars.
+recommend: queries -> strip / validate / expand -> encode -> exact or IVF-PQ top-k (``Params.search``) ->
+join catalogue + per-query filters -> cut 300 -> pair scores (BM25 or a model) -> min-max blend -> cut 50 ->
+best per author -> cut 30 -> MMR 5 -> cards. The driver sees the number of searches, corpus scalars and, with
+IVF-PQ, centroids and codebooks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
 from tomescope.functions import text as T
-from tomescope.operators import filters, rank
+from tomescope.operators import ann, filters, rank
 from tomescope.operators.diversify import mmr
 from tomescope.operators.encode import TokenStats, dense_from_counts, encode_dense, term_counts
 from tomescope.operators.joins import bounded_broadcast
@@ -23,14 +24,18 @@ from tomescope.operators.knn import knn_join
 from tomescope.operators.present import attach_covers, cards
 from tomescope.session import apply_session_conf, cut_lineage
 
+Encoder = Callable[[DataFrame, str, str, str], DataFrame]  # (docs, id column, text column, vector column)
+PairScorer = Callable[[DataFrame], DataFrame]  # pairs with query_text and Description -> with semantic
+
 
 @dataclass
 class Index:
-    books: DataFrame  # Id, Name, Authors, Pages, PublishYear, Rating, Description
+    books: DataFrame  # written: Id, Name, Authors, Pages, PublishYear, Rating, Description
     stitched: DataFrame  # Id, vec : retrieval space (title + author + rating words + summary)
     described: DataFrame  # Id, vec : diversity space (description only)
-    stitched_stats: TokenStats  # IDF statistics the queries are encoded with
+    stitched_stats: TokenStats | None  # IDF statistics the queries are encoded with (None: a model encodes)
     bm25: rank.Bm25Index  # pair scorer statistics over descriptions
+    compressed: ann.IvfPq | None = None  # the stitched vectors as IVF-PQ codes
 
 
 def stitched_texts(books: DataFrame) -> DataFrame:
@@ -41,30 +46,38 @@ def description_texts(books: DataFrame) -> DataFrame:
     return books.select("Id", F.coalesce(F.col("Description"), F.lit("")).alias("text"))
 
 
-def build_index(books: DataFrame, params: Params = DEFAULT, materialize: bool = True) -> Index:
-    """Encode the catalogue in both spaces and fit the BM25 statistics.
+def build_index(books: DataFrame, params: Params = DEFAULT, encoder: Encoder | None = None) -> Index:
+    """Encode the catalogue in both spaces, fit the BM25 statistics and, for ``search="ivfpq"``, train and store the
+    compressed index. Every part is a written table in the shared folder.
 
-    Each text column is tokenised once into written term counts (Id, token, tf); the
-    document frequencies, BM25 postings and lengths, and both vector tables are derived
-    from those. With ``materialize`` every part is a written table in the shared folder,
-    so recommend reads them instead of recomputing the lineage."""
-    cut = cut_lineage if materialize else (lambda df, name="": df)
+    The default encoder tokenises each text column once into written term counts; document frequencies, BM25
+    documents and both vector tables come from those. ``encoder`` replaces the vectors (see ``encode.model_encoder``)."""
+    books = cut_lineage(books, "books")
     n_docs = books.count()
-    tc_s = cut(term_counts(stitched_texts(books), "Id", "text", keep_empty=True), "tf_stitched")
-    df_s = cut(tc_s.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df_stitched")
-    sstats = TokenStats(df_s, n_docs)
-    svec = cut(dense_from_counts(tc_s, "Id", params.dim, sstats), "vec_stitched")
-
-    tc_d = cut(term_counts(books, "Id", "Description", keep_empty=True), "tf_description")
+    tc_d = cut_lineage(term_counts(books, "Id", "Description", keep_empty=True), "tf_description")
     terms = tc_d.where(F.col("token").isNotNull()).select(F.col("_id").alias("Id"), "token", "tf")
-    lengths = cut(terms.groupBy("Id").agg(F.sum("tf").alias("dl")), "bm25_lengths")
-    df_d = cut(terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "bm25_df")
-    # postings carry their document length, so scoring needs no join on lengths
-    postings = cut(terms.join(lengths, "Id"), "bm25_postings")
-    total = lengths.agg(F.sum("dl").alias("t")).first()["t"] or 0
-    bm = rank.Bm25Index(postings, lengths, df_d, n_docs, float(total) / n_docs if n_docs else 0.0)
-    dvec = cut(dense_from_counts(tc_d, "Id", params.dim, TokenStats(df_d, n_docs)), "vec_description")
-    return Index(books, svec, dvec, sstats, bm)
+    docs = cut_lineage(rank.documents_of(terms), "bm25_docs")
+    df_d = cut_lineage(terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "bm25_df")
+    total = docs.agg(F.sum("dl").alias("t")).first()["t"] or 0
+    bm = rank.Bm25Index(docs, df_d, n_docs, float(total) / n_docs if n_docs else 0.0)
+    if encoder is None:
+        tc_s = cut_lineage(term_counts(stitched_texts(books), "Id", "text", keep_empty=True), "tf_stitched")
+        df_s = cut_lineage(tc_s.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df_stitched")
+        stats = TokenStats(df_s, n_docs)
+        svec = cut_lineage(dense_from_counts(tc_s, "Id", params.dim, stats), "vec_stitched")
+        dvec = cut_lineage(dense_from_counts(tc_d, "Id", params.dim, TokenStats(df_d, n_docs)), "vec_description")
+    else:
+        stats = None
+        svec = cut_lineage(encoder(stitched_texts(books), "Id", "text", "vec"), "vec_stitched")
+        dvec = cut_lineage(encoder(description_texts(books), "Id", "text", "vec"), "vec_description")
+    index = Index(books, svec, dvec, stats, bm)
+    return compress(index, params) if params.search == "ivfpq" else index
+
+
+def compress(index: Index, params: Params = DEFAULT) -> Index:
+    """The index with its stitched vectors also as a trained and stored IVF-PQ index."""
+    coded = ann.compress_index(index.stitched, params.nlist, params.pq_m, params.pq_bits, params.kmeans_iter, params.seed)
+    return replace(index, compressed=coded)
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -79,16 +92,25 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def encode_queries(prepared: DataFrame, index: Index, params: Params = DEFAULT) -> DataFrame:
-    """(query_id, qvec) for the valid queries, encoded on the expanded text."""
+def encode_queries(prepared: DataFrame, index: Index, params: Params = DEFAULT, encoder: Encoder | None = None) -> DataFrame:
+    """(query_id, qvec) for the valid queries, encoded on the expanded text like the catalogue."""
     src = prepared.where("valid").select("query_id", F.col("expanded").alias("text"))
+    if (encoder is None) != (index.stitched_stats is not None):
+        raise ValueError("queries and catalogue need the same encoder")
+    if encoder is not None:
+        return encoder(src, "query_id", "text", "qvec")
     return encode_dense(src, "query_id", "text", params.dim, index.stitched_stats, out_col="qvec")
 
 
-def retrieve(prepared: DataFrame, index: Index, params: Params = DEFAULT) -> DataFrame:
-    """(query_id, Id, retrieval_score, retrieval_rank): exact top-k_retrieve."""
-    qvec = cut_lineage(encode_queries(prepared, index, params), "query_vectors")
-    hits = knn_join(qvec, index.stitched, params.k_retrieve, "query_id", "qvec", "Id", "vec", params=params)
+def retrieve(prepared: DataFrame, index: Index, params: Params = DEFAULT, encoder: Encoder | None = None) -> DataFrame:
+    """(query_id, Id, retrieval_score, retrieval_rank): the top k_retrieve, exact or from the compressed index."""
+    qvec = cut_lineage(encode_queries(prepared, index, params, encoder), "query_vectors")
+    if params.search == "ivfpq":
+        if index.compressed is None:
+            raise ValueError("the index was built without its compressed form")
+        hits = ann.pq_search(qvec, index.compressed, params.nprobe, params.k_retrieve, params=params, decimals=params.score_decimals)
+    else:
+        hits = knn_join(qvec, index.stitched, params.k_retrieve, "query_id", "qvec", "Id", "vec", params=params, decimals=params.score_decimals)
     return hits.withColumnRenamed("score", "retrieval_score").withColumnRenamed("rank", "retrieval_rank")
 
 
@@ -105,12 +127,16 @@ def filtered_candidates(
     return rank.top_per_query(f, "retrieval_score", params.k_filtered, "cut_rank")
 
 
-def rerank_candidates(prepared: DataFrame, cut: DataFrame, index: Index, params: Params = DEFAULT) -> DataFrame:
-    """BM25 of the raw query text against the description (Q1), blend, cuts, dedup."""
+def rerank_candidates(
+    prepared: DataFrame, cut: DataFrame, index: Index, params: Params = DEFAULT, pair_scorer: PairScorer | None = None
+) -> DataFrame:
+    """Score of the raw query text against the description (Q1): BM25, or ``pair_scorer``; then blend, cuts, dedup."""
     qtext = prepared.where("valid").select("query_id", "query_text")
-    pairs = cut.select("query_id", "Id", "retrieval_score", "Rating", "lambda")
-    scored = rank.bm25_pairs(pairs, qtext, index.bm25, params).withColumn("semantic", F.round("bm25", 6))
-    scored = scored.join(index.books.select("Id", "Authors"), "Id")
+    pairs = cut.select("query_id", "Id", "Authors", "retrieval_score", "Rating", "lambda")
+    if pair_scorer is None:
+        scored = rank.bm25_pairs(pairs, qtext, index.bm25, params).withColumn("semantic", rank.rounded(F.col("bm25"), params))
+    else:
+        scored = pair_scorer(pairs.join(qtext, "query_id").join(index.books.select("Id", "Description"), "Id")).drop("Description", "query_text")
     return rank.rerank(scored, params)
 
 
@@ -127,14 +153,19 @@ class Results:
     rejected: DataFrame
 
 
-def recommend(queries: DataFrame, index: Index, covers: DataFrame, params: Params = DEFAULT) -> Results:
+def recommend(
+    queries: DataFrame, index: Index, covers: DataFrame, params: Params = DEFAULT,
+    encoder: Encoder | None = None, pair_scorer: PairScorer | None = None,
+) -> Results:
+    """Every search of ``queries`` through the funnel. ``session.written_tables`` around the call and the use of
+    its results removes the tables it leaves."""
     apply_session_conf(queries.sparkSession)
     prepared = prepare_queries(queries)
     n_q = query_count(prepared)
-    hits = retrieve(prepared, index, params)
+    hits = retrieve(prepared, index, params, encoder)
     # <= k_filtered and <= k_dedup rows per query: written once, read by every later branch
     cut = cut_lineage(filtered_candidates(prepared, hits, index, params, n_q), "candidates_cut")
-    reranked = cut_lineage(rerank_candidates(prepared, cut, index, params), "candidates_reranked")
+    reranked = cut_lineage(rerank_candidates(prepared, cut, index, params, pair_scorer), "candidates_reranked")
     picks = diversify(reranked, index, params)
     detail = reranked.select("query_id", "Id", "cross_score")
     # <= k_final picks per query: broadcast them into the catalogue scan, never shuffle the catalogue
