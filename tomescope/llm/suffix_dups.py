@@ -32,11 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomescope.config import DEFAULT
 from tomescope.llm.common import id_text, shuffle_parts, table
 from tomescope.llm.components import groups
 from tomescope.llm.words import M1, M2, M3
-from tomescope.operators.joins import bounded_broadcast
 from tomescope.session import cut_lineage
 
 LENGTH, GRAM, STEP = 400, 32, 50
@@ -305,9 +303,8 @@ def repeated_marks(rows: DataFrame, name: str = "suffix", hot: int = HOT) -> Dat
         F.when(F.col("kinds") > hot, F.pmod(F.xxhash64("sg"), parts)).otherwise(F.lit(0)).cast("int").alias("part"),
     )
     want = cut_lineage(want, f"{name}-want")
-    n = want.count()
     lists = want.groupBy("rk").agg(F.collect_list(F.struct("h", "part", "hot", "alone", "lo", "hi")).alias("want"))
-    one = rows.select("rk", "text").join(bounded_broadcast(lists, n, 96, DEFAULT), "rk")
+    one = rows.select("rk", "text").join(lists.hint("merge"), "rk")  # the lists grow with the input: one plan at all sizes
     schema = "h long, part int, hot boolean, alone boolean, rk long, lo long, seg binary"
     segments = one.mapInArrow(_cut_segments, schema).repartition(shuffle_parts(spark), "h", "part").sortWithinPartitions("h", "part")
     found = cut_lineage(segments.mapInArrow(_buckets, "kind int, w long, rk long, lo long, hi long"), f"{name}-found")
@@ -329,7 +326,6 @@ def remove_repeats(docs: DataFrame, name: str = "suffix", hot: int = HOT) -> Dat
     """``doc_id, n_bytes, n_removed, n_spans, kept, spans`` per row: the bytes left and the spans cut out."""
     rows = id_text(docs).withColumn("rk", F.xxhash64("doc_id", "text"))
     marks = cut_lineage(repeated_marks(rows, name, hot), f"{name}-marks")
-    n = marks.count()
     lists = marks.groupBy("rk").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
     def run(batches):
@@ -354,7 +350,7 @@ def remove_repeats(docs: DataFrame, name: str = "suffix", hot: int = HOT) -> Dat
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    joined = rows.join(bounded_broadcast(lists, n, 48, DEFAULT), "rk", "left").select("doc_id", "text", "marks")
+    joined = rows.join(lists.hint("merge"), "rk", "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
 
 
