@@ -167,6 +167,19 @@ def score(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def keep_good(docs: DataFrame, model: dict, cut: float = CUT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``cut``; one pass, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            z = np.array([m["a"] * margin(features(t or ""), m) + m["c"] for t in b.column(text_col).to_pylist()])
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -106,22 +106,24 @@ def log_ratios(counts: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING
     return np.log((target + smoothing) / (expected + smoothing)).astype(np.float32)
 
 
+def verdict(text: str, ratio: np.ndarray, threshold: float, bits: int) -> tuple:
+    """n_words, the four base counts, base_failed, llr, kept of one text."""
+    words = split_words(text)
+    n, stats = len(words), base_stats(text, words)
+    failed = n < MIN_WORDS or 100 * stats[3] > MAX_REPEAT_PERCENT * n
+    llr = float(ratio[hashed_ngrams(words, bits)].mean(dtype=np.float64)) if n else 0.0
+    return n, *stats, failed, llr, not failed and llr >= threshold
+
+
 def score(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, llr, kept."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**bits floats
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
     def run(batches):
-        ratio = shared.value
         for b in batches:
-            cols: list[list] = [[] for _ in names[1:]]
-            for text in b.column("text").to_pylist():
-                words = split_words(text)
-                n, stats = len(words), base_stats(text, words)
-                failed = n < MIN_WORDS or 100 * stats[3] > MAX_REPEAT_PERCENT * n
-                llr = float(ratio[hashed_ngrams(words, bits)].mean(dtype=np.float64)) if n else 0.0
-                for c, v in zip(cols, (n, *stats, failed, llr, not failed and llr >= threshold), strict=True):
-                    c.append(v)
+            rows = [verdict(t, shared.value, threshold, bits) for t in b.column("text").to_pylist()]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
 
@@ -132,6 +134,17 @@ def score(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, bit
     )
 
 
+def keep_good(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, bits: int = BITS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep; one pass, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([verdict(t or "", shared.value, threshold, bits)[-1] for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return score(docs, log_ratios(count_ngrams(docs, labels)), threshold)
 

@@ -98,7 +98,8 @@ def span_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) ->
     ``span_sentences`` and ``span_removed``, the sentences of the text and those removed."""
     later = later_runs(id_text(docs), span, min_words).select(F.col("doc_id").alias("span_id"), "later")
     kept = docs.drop("span_id", "later", "span_sentences", "span_removed")
-    rows = kept.join(later, kept["doc_id"].cast("long").eqNullSafe(later["span_id"]), "left").drop("span_id")
+    # the lists grow with the input: a merge join at all sizes
+    rows = kept.join(later.hint("merge"), kept["doc_id"].cast("long").eqNullSafe(later["span_id"]), "left").drop("span_id")
     names = kept.columns
     counts = [T.StructField(c, T.LongType()) for c in ("span_sentences", "span_removed")]
     schema = T.StructType([*counts, *kept.schema.fields])

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 JOIN = 4096
 
 _P = 0x9E3779B97F4A7C15
