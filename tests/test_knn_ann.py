@@ -2,12 +2,15 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT
 from tomescope.operators import ann
+from tomescope.operators import knn as K
 from tomescope.operators.knn import knn_join, round_half_away
 from tomescope.plans import ann_queries as AQ
+from tomescope.session import cut_lineage
 
 from conftest import SF_SMALL
 
@@ -39,7 +42,7 @@ def as_lists(df, q="query_id", c="Id"):
 def test_knn_matches_brute_force(spark):
     df, X = fixture(spark)
     q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
-    got = as_lists(knn_join(q, df.select("Id", "vec"), 7, exclude_self=True))
+    got = as_lists(knn_join(q, df.select("Id", "vec"), 7, exclude_self=True, decimals=6))
     want = brute_topk(X, list(range(len(X))), X, list(range(len(X))), 7, exclude_self=True)
     assert got == want
 
@@ -47,15 +50,43 @@ def test_knn_matches_brute_force(spark):
 def test_knn_blocks_equal_single_block(spark):
     df, _ = fixture(spark)
     q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
-    one = as_lists(knn_join(q, df.select("Id", "vec"), 5))
-    many = as_lists(knn_join(q, df.select("Id", "vec"), 5, params=DEFAULT.with_(max_broadcast_bytes=3000)))
+    one = as_lists(knn_join(q, df.select("Id", "vec"), 5, decimals=6))
+    many = as_lists(knn_join(q, df.select("Id", "vec"), 5, params=DEFAULT.with_(max_broadcast_bytes=30000), decimals=6))
     assert one == many
 
 
+def test_knn_takes_any_id_and_any_score(spark):
+    big = 2**62
+    rows = [(-5, [-20.0]), (2**38, [5.0]), (big, [1.0]), (7, [1000.0]), (-big, [1000.0])]
+    df = spark.createDataFrame(rows, "Id long, vec array<float>")
+    q = spark.createDataFrame([(2**50, [1.0]), (-1, [-1.0])], "query_id long, qvec array<float>")
+    got = {(r.query_id, r["rank"]): (r.Id, r.score) for r in knn_join(q, df, 3).collect()}
+    assert got == {
+        (2**50, 1): (-big, 1000.0), (2**50, 2): (7, 1000.0), (2**50, 3): (2**38, 5.0),
+        (-1, 1): (-5, 20.0), (-1, 2): (big, -1.0), (-1, 3): (2**38, -5.0),
+    }
+
+
+def test_bounds_keep_candidates_few(spark):
+    """What reaches the final cut is near k per query, not k per block; equal scores do not break that."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40 * 64)] + [(10**6 + i, [0.0] * 4) for i in range(64)]
+    df = spark.createDataFrame(rows, "Id long, vec array<float>").repartition(8)
+    q = df.where("Id % 100 = 0").select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
+    old = K.CORPUS_BLOCK
+    try:
+        K.CORPUS_BLOCK = 64
+        found = K.knn_candidates(q, cut_lineage(df), 5)
+        per = [r["count"] for r in found.groupBy("query_id").count().collect()]
+    finally:
+        K.CORPUS_BLOCK = old
+    assert max(per) < 30 * 5 and np.mean(per) < 60  # 48 blocks of 64 vectors
+
+
 def test_ivf_all_lists_equals_exact(spark):
     df, _ = fixture(spark)
     cents = ann.centroids_by_label(df, "label", "vec")
-    lists = df.join(ann.assign(df, cents), "Id")
+    lists = ann.assign(df, cents, carry=True)
     q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
     exact = as_lists(knn_join(q, df.select("Id", "vec"), 6, exclude_self=True))
     full = as_lists(ann.ivf_search(q, lists, cents, nprobe=6, k=6, exclude_self=True))
@@ -65,7 +96,7 @@ def test_ivf_all_lists_equals_exact(spark):
 def test_recall_grows_with_nprobe(spark):
     df, _ = fixture(spark, n=200)
     cents = ann.centroids_by_label(df, "label", "vec")
-    lists = df.join(ann.assign(df, cents), "Id")
+    lists = ann.assign(df, cents, carry=True)
     q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
     exact = knn_join(q, df.select("Id", "vec"), 10, exclude_self=True)
     rec = [
@@ -77,26 +108,42 @@ def test_recall_grows_with_nprobe(spark):
 
 def test_pq_search_scores_match_reconstruction(spark):
     """IVF-PQ score equals q . (centroid + decoded residual), computed by brute force."""
-    v, idx = AQ._fixed_index(spark, SF_SMALL)
+    v = AQ._vectors(spark, SF_SMALL)
+    idx = AQ.trained_index(v)
     pdf = v.toPandas()
     X = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
     ids = pdf["Id"].to_numpy()
-    C = ann.centroid_matrix(idx.centroids)
-    cb = ann.codebook_tensor(idx.codebooks)
+    C, cb = ann.centroid_matrix(idx.centroids), ann.codebook_tensor(idx.codebooks)
     codes = idx.codes.toPandas().set_index("Id")
     recon = np.stack([C[codes.loc[i, "cluster"]] + np.concatenate([cb[m, c] for m, c in enumerate(codes.loc[i, "codes"])]) for i in ids])
-    q = AQ._queries(v)
-    got = ann.pq_search(q, idx, nprobe=C.shape[0], k=5, exclude_self=True).toPandas()
-    S = round_half_away(X @ recon.T)
+    got = ann.pq_search(AQ._queries(v), idx, nprobe=C.shape[0], k=5, exclude_self=True).toPandas()
+    S = X @ recon.T
     pos = {i: n for n, i in enumerate(ids)}
+    assert len(got) == 5 * len(ids)
     for r in got.itertuples():
         assert abs(S[pos[r.query_id], pos[r.Id]] - r.score) <= 2e-6
 
 
-def test_pq_train_deterministic(spark):
-    a = AQ.pq_train(spark, SF_SMALL).orderBy("m", "code").collect()
-    b = AQ.pq_train(spark, SF_SMALL).orderBy("m", "code").collect()
-    assert a == b and len(a) == AQ.PQ_M * AQ.PQ_KSUB
+def test_index_is_stored_by_list_and_pruned(spark):
+    idx = AQ.trained_index(AQ._vectors(spark, SF_SMALL))
+    some = ann.read_codes(spark, idx.path, [1, 3])
+    assert "PartitionFilters: [cluster" in some._jdf.queryExecution().executedPlan().toString()
+    assert {r.cluster for r in some.collect()} <= {1, 3} and idx.codes.schema["codes"].dataType.simpleString() == "binary"
+
+
+def test_more_training_lowers_the_error(spark):
+    df, X = fixture(spark, n=200)
+    cents = ann.train_kmeans(df, "vec", 4, 3, 1)
+    C = ann.centroid_matrix(cents)
+    res = X - C[ann.nearest_list(X, C)]
+    errors = []
+    for steps in (0, 4):
+        cb = ann.codebook_tensor(ann.train_pq(df, cents, 4, 16, steps, 1))
+        codes = ann.nearest_codes(res, cb)
+        errors.append(((res - np.concatenate([cb[m][codes[:, m]] for m in range(4)], axis=1)) ** 2).sum())
+    assert errors[1] < errors[0]
+    with pytest.raises(ValueError):
+        ann.train_pq(df, cents, 5, 16, 1, 1)
 
 
 def test_train_sample_exact_size(spark):
@@ -105,18 +152,3 @@ def test_train_sample_exact_size(spark):
     s2 = ann.train_sample(df, "Id", 40, 7)
     assert s1.count() == 40 and sorted(r.Id for r in s1.collect()) == sorted(r.Id for r in s2.collect())
     assert ann.train_sample(df, "Id", 1000, 7).count() == 150
-
-
-def test_tree_merge_equals_flat(spark):
-    from tomescope.operators import knn as K
-
-    df, _ = fixture(spark, n=300)
-    q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
-    flat = as_lists(knn_join(q, df.select("Id", "vec"), 9, exclude_self=True))
-    old = K.MERGE_FANIN
-    try:
-        K.MERGE_FANIN = 2
-        tree = as_lists(knn_join(q, df.select("Id", "vec").repartition(7), 9, exclude_self=True))
-    finally:
-        K.MERGE_FANIN = old
-    assert flat == tree

@@ -34,6 +34,43 @@ def test_stored_books_scan_prunes_and_pushes(spark):
     assert "ReadSchema: struct<Id:bigint,Pages:int,Rating:double>" in txt
 
 
+def test_scan_books_pushes_its_filters(spark):
+    from tomescope.plans.catalog import scan_books
+
+    txt = plan(scan_books(spark, SF_SMALL))
+    assert "LessThanOrEqual(Pages,800)" in txt and "GreaterThanOrEqual(Rating,3.0)" in txt
+
+
+def test_dedup_does_not_sort_texts(spark):
+    from tomescope.operators.clean import dedup_books
+
+    path = new_table_path(spark, "books_dedup")
+    tables.books(spark, SF_SMALL).write.parquet(path)
+    txt = plan(dedup_books(spark.read.parquet(path)).select("Id", "Name"))
+    assert "Description" not in txt
+
+
+def test_bm25_reads_no_postings_by_token(spark):
+    from tomescope.plans import recommend as R
+
+    idx = R.build_index(tables.books(spark, SF_SMALL), DEFAULT)
+    prep = R.prepare_queries(tables.queries(spark, SF_SMALL)).where("valid")
+    txt = plan(rank.bm25_search(prep.select("query_id", "query_text"), idx.bm25, 20))
+    assert "token" not in txt.split("MapInArrow")[0]
+
+
+def test_written_tables_are_removed(spark):
+    import os
+
+    from tomescope.session import cut_lineage, written_tables
+
+    with written_tables(spark):
+        df = cut_lineage(spark.range(5))
+        where = df.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(where)
+    assert not os.path.exists(where)
+
+
 def test_recommend_plan_has_no_cartesian(spark):
     from tomescope.plans import recommend as R
 

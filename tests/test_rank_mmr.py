@@ -5,30 +5,50 @@ from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT
 from tomescope.operators import rank
-from tomescope.operators.diversify import mmr, mmr_select
+from tomescope.operators.diversify import mmr, mmr_batch
+
+
+def one(rel, vecs, picks, lam):
+    rel, vecs = np.asarray(rel, dtype=float)[None], np.asarray(vecs, dtype=float)[None]
+    at, value = mmr_batch(rel, vecs, np.ones(rel.shape, dtype=bool), np.array([lam]), picks, 6)
+    return [int(x) for x in at[0] if x >= 0], [float(v) for v in value[0] if np.isfinite(v)]
 
 
 def test_mmr_fixture_vectors():
-    rel = np.array([1.0, 0.9, 0.5])
-    vecs = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
-    assert mmr_select(rel, vecs, 2, 1.0)[0] == [0, 1]
-    picks, vals = mmr_select(rel, vecs, 2, 0.7)
+    rel, vecs = [1.0, 0.9, 0.5], [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]
+    assert one(rel, vecs, 2, 1.0)[0] == [0, 1]
+    picks, vals = one(rel, vecs, 2, 0.7)
     assert picks == [0, 2]
     assert vals[1] == 0.35
 
 
 def test_mmr_lambda_one_is_relevance_order():
     rng = np.random.default_rng(1)
-    rel = np.sort(rng.random(30))[::-1]
-    vecs = rng.normal(size=(30, 8))
-    assert mmr_select(rel, vecs, 5, 1.0)[0] == [0, 1, 2, 3, 4]
+    assert one(np.sort(rng.random(30))[::-1], rng.normal(size=(30, 8)), 5, 1.0)[0] == [0, 1, 2, 3, 4]
 
 
 def test_mmr_zero_vectors_and_small_groups():
-    picks, vals = mmr_select(np.array([0.2]), np.zeros((1, 4)), 5, 0.7)
+    picks, vals = one([0.2], np.zeros((1, 4)), 5, 0.7)
     assert picks == [0] and not np.isnan(vals).any()
 
 
+def test_mmr_batch_equals_one_query_at_a_time():
+    """Padding and batching do not change a query's picks; checked against a direct greedy search."""
+    rng = np.random.default_rng(4)
+    sizes, lam = [1, 4, 9, 12], np.array([0.3, 0.5, 0.7, 0.9])
+    rel, vecs, there = np.zeros((4, 12)), np.zeros((4, 12, 5)), np.zeros((4, 12), dtype=bool)
+    for k, n in enumerate(sizes):
+        rel[k, :n], vecs[k, :n], there[k, :n] = np.sort(rng.random(n))[::-1], rng.normal(size=(n, 5)), True
+    at, _ = mmr_batch(rel, vecs, there, lam, 5, None)
+    for k, n in enumerate(sizes):
+        cos = lambda a, b, k=k: vecs[k, a] @ vecs[k, b] / np.linalg.norm(vecs[k, a]) / np.linalg.norm(vecs[k, b])
+        want = [0]
+        while len(want) < min(5, n):
+            worth = {i: lam[k] * rel[k, i] - (1 - lam[k]) * max(cos(i, j) for j in want) for i in range(n) if i not in want}
+            want.append(max(worth, key=worth.get))
+        assert [x for x in at[k] if x >= 0] == want
+
+
 def test_mmr_grouped(spark):
     rows = [(1, 10, 1.0, [1.0, 0.0]), (1, 11, 0.9, [1.0, 0.0]), (1, 12, 0.5, [0.0, 1.0]), (2, 20, 0.3, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "query_id long, Id long, cross_score double, dvec array<float>")

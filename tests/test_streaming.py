@@ -20,5 +20,6 @@ def test_stream_equals_batch(spark):
     serve_queries(spark, src, idx, covers, out, params=p, max_files_per_trigger=1).awaitTermination(600)
     streamed = spark.read.parquet(out).drop("batch_id")
     batch = R.recommend(q, idx, covers, p).cards
+    assert spark.read.parquet(out + "_rejected").count() > 0
     cols = ["query_id", "rank", "Id", "mmr_score"]
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))

@@ -112,10 +112,12 @@ def scan_pairs(
         for b in batches:
             for r in b.to_pylist():
                 q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
-                low = np.frombuffer(r["q_low"], "<f8") if r.get("q_low") is not None else np.full(len(q_ids), -np.inf)
+                low, low_id = np.full(len(q_ids), -np.inf), np.full(len(q_ids), np.iinfo(np.int64).max)
+                if r.get("q_low") is not None:
+                    low, low_id = np.frombuffer(r["q_low"], "<f8"), np.frombuffer(r["q_low_id"], "<i8")
                 for rows, cols, s in score(r):
                     s = round_half_away(s, decimals)
-                    ok = s >= low[rows][:, None]
+                    ok = (s > low[rows][:, None]) | ((s == low[rows][:, None]) & (c_ids[cols][None, :] <= low_id[rows][:, None]))
                     if exclude_self:
                         ok &= q_ids[rows][:, None] != c_ids[cols][None, :]
                     q, c, v = best_of_block(s, q_ids[rows], c_ids[cols], ok, k)
@@ -126,30 +128,32 @@ def scan_pairs(
 
 
 def with_bounds(q_blocks: DataFrame, sampled: DataFrame, k: int, q_id: str, c_id: str) -> DataFrame:
-    """Adds ``q_low``, per query the k-th best score among ``sampled`` (-inf with fewer than k)."""
-    ranked = final_topk(sampled, k, q_id, c_id, "_r").where(F.col("_r") == k).select(F.col(q_id).alias("qid"), F.col("score").alias("low"))
+    """Adds ``q_low`` and ``q_low_id``, per query score and id of the k-th best among ``sampled`` (-inf with
+    fewer than k). What ranks behind it cannot be among the k best."""
+    ranked = final_topk(sampled, k, q_id, c_id, "_r").where(F.col("_r") == k).select(F.col(q_id).alias("qid"), F.col("score").alias("low"), F.col(c_id).alias("low_id"))
     names = q_blocks.columns
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, raw in zip(b.column("qblock").to_pylist(), b.column("q_ids").to_pylist(), strict=True):
                 q = np.frombuffer(raw, "<i8")
                 yield pa.RecordBatch.from_pydict({"qblock": [block] * len(q), "pos": np.arange(len(q), dtype=np.int32), "qid": q})
 
-    places = q_blocks.select("qblock", "q_ids").mapInArrow(ids, "qblock string, pos int, qid long")
-    lows = places.join(ranked, "qid").groupBy("qblock").agg(F.collect_list(F.struct("pos", "low")).alias("lows"))
+    places = q_blocks.select("qblock", "q_ids").mapInArrow(ids_of, "qblock string, pos int, qid long")
+    lows = places.join(ranked, "qid").groupBy("qblock").agg(F.collect_list(F.struct("pos", "low", "low_id")).alias("lows"))
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, ids = [], []
             for raw, found in zip(b.column("q_ids").to_pylist(), b.column("lows").to_pylist(), strict=True):
-                low = np.full(len(raw) // 8, -np.inf)
+                low, low_id = np.full(len(raw) // 8, -np.inf), np.full(len(raw) // 8, np.iinfo(np.int64).max)
                 for x in found or []:
-                    low[x["pos"]] = x["low"]
+                    low[x["pos"]], low_id[x["pos"]] = x["low"], x["low_id"]
                 out.append(low.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "q_low"])
+                ids.append(low_id.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary()), pa.array(ids, pa.binary())], names=[*names, "q_low", "q_low_id"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q_blocks.schema.fields) + ", q_low binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q_blocks.schema.fields) + ", q_low binary, q_low_id binary"
     return q_blocks.join(lows, "qblock", "left").mapInArrow(attach, schema)
 
 

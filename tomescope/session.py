@@ -8,9 +8,11 @@ machine-local folder would not survive the loss of an executor.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,6 @@ SESSION_CONF = {
     # top-k per query up to the first cut (5,000) plans as partial + final WindowGroupLimit
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.session.timeZone": "UTC",
-    # prune the big side of a join with a bloom filter built from the small side
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -48,7 +48,6 @@ def apply_session_conf(spark: SparkSession) -> None:
         "spark.sql.execution.arrow.pyspark.enabled",
         "spark.sql.adaptive.enabled",
         "spark.sql.adaptive.skewJoin.enabled",
-        "spark.sql.optimizer.runtime.bloomFilter.enabled",
     ):
         try:
             spark.conf.set(k, SESSION_CONF[k])
@@ -71,10 +70,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return str(sc.getCheckpointDir() or d)
 
 
+_WRITTEN: list[str] = []  # paths handed out by this driver, newest last
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the scratch folder for one written table."""
-    base = scratch_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def written_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes, on leaving, the tables written inside (through Spark's own file system, wherever the
+    scratch folder is). Use the results before leaving: they read these tables."""
+    mark = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+        for path in _WRITTEN[mark:]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        del _WRITTEN[mark:]
 
 
 _SHIPPED: set = set()

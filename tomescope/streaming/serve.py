@@ -1,6 +1,6 @@
 """Online recommend as a stream: new query files -> five cards per query.
 
-The reference answers one search at a time; here searches arrive as files in a folder
+Searches arrive as files in a folder
 (Parquet rows of the ``queries`` schema) and each micro-batch runs the same
 ``recommend`` plan against a built index. ``foreachBatch`` writes every batch to its
 own ``batch_id=`` folder in overwrite mode, so a replayed batch after a failure rewrites
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tomescope.config import DEFAULT, Params
-from tomescope.session import new_table_path
+from tomescope.session import new_table_path, written_tables
 
 QUERY_SCHEMA = "query_id long, query_text string, era string, max_pages int, acclaimed boolean, lambda double"
 
@@ -36,9 +36,10 @@ def serve_queries(
     stream = spark.readStream.schema(QUERY_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        res = recommend(batch, index, covers, params)
-        res.cards.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-        res.no_match.write.mode("overwrite").parquet(f"{out_dir}_no_match/batch_id={batch_id}")
+        with written_tables(batch.sparkSession):
+            res = recommend(batch, index, covers, params)
+            for name, part in (("", res.cards), ("_no_match", res.no_match), ("_rejected", res.rejected)):
+                part.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_dir}{name}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(handle).option(
         "checkpointLocation", checkpoint_location or new_table_path(spark, "serve_checkpoint")
