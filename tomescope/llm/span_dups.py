@@ -1,12 +1,14 @@
 """Operator 3: substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: after a mark of punctuation before white space, at line ends, and where a
-capital letter follows a word in small letters (a passage pasted into a sentence starts so). Every
+capital letter follows a word in small letters (a passage pasted into a sentence starts so). A sentence of more
+than ``LONG`` words is cut further, behind words whose hash is a multiple of ``EVERY``: the same words are
+cut alike wherever they stand, so a passage within a long sentence is found as well. Every
 run of ``SPAN`` consecutive sentences with ``MIN_WORDS`` words or more is hashed, white space apart. Of a
 run that comes more than once, the first is the one in the smallest doc_id, and there the one
 furthest to the front; sentences covered by any other are removed. What is left keeps its characters.
 
-Plan: each task sends a run once per document; counts and smallest doc_id are aggregated before and after the
+Plan: the runs of each document are written once (16 bytes a run); counts and smallest doc_id are aggregated before and after the
 shuffle, so a passage in a third of all rows is one row a task. Runs seen in two documents or more are
 joined back (skewed keys are split by the adaptive join) and each document gets the list of its
 runs that are not first. Repeats inside a document need no shuffle.
@@ -20,6 +22,7 @@ repeats of each other. Empty tables give no rows. Hashes have 64 bits.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,30 @@ from tomescope.session import cut_lineage
 
 SPAN = 3
 MIN_WORDS = 10
+LONG, EVERY = 12, 6
 _CUT = re.compile(r"(?<=[.!?;:,])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ])")
 
+_WORD = re.compile(r"(\S+)\s*")
+
 
 def sentences(text: str) -> list[str]:
     """Sentences with the white space after them; joined they are the text."""
     if not text:
         return []
     ends = [m.end() for m in _CUT.finditer(text) if 0 < m.start() and m.end() < len(text)]
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+    out = []
+    for a, b in zip([0, *ends], [*ends, len(text)], strict=True):
+        part = text[a:b]
+        if b - a > 3 * LONG and len(part.split()) > LONG:
+            out += _shorter(part)
+        else:
+            out.append(part)
+    return out
+
+
+def _shorter(part: str) -> list[str]:
+    cuts = [m.end() for m in _WORD.finditer(part) if zlib.crc32(m[1].encode("utf-8", "surrogatepass")) % EVERY == 0 and m.end() < len(part)]
+    return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
 
 
 def run_hashes(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +104,7 @@ def covered(n: int, at: np.ndarray, hashes: np.ndarray, later: set[int], span: i
 
 def later_runs(rows: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, later``: per document the hashes of its runs that come first in another document."""
-    runs = rows.mapInArrow(_runs(span, min_words), "doc_id long, h long")
+    runs = cut_lineage(rows.mapInArrow(_runs(span, min_words), "doc_id long, h long"), "span-runs")
     seen = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     seen = cut_lineage(seen.where((F.col("n") > 1) & F.col("first").isNotNull()).select("h", "first"), "span-repeats")
     hits = runs.join(seen, "h").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first")))
