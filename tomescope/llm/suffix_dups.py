@@ -13,8 +13,9 @@ The windows of one anchor are neighbours; their bytes make a segment of less tha
    interleave sorted by h symbols, read together with the preceding symbols, is dealt stably to the symbols'
    buckets and is then sorted by h + 1. No suffix is compared or sorted anew. Where neighbours
    part, their common prefix ends; runs with a common prefix of a whole window are the repeated intervals.
-4. An anchor with more than ``HOT`` kinds of segments is dealt to several such buckets; of each, one row per distinct
-   window goes on by its hash, and windows met in two buckets repeat as well.
+4. An anchor with more than ``HOT`` kinds of segments is dealt to several such buckets. Their distinct windows are
+   dealt once more by hash, to as many places as the anchor has buckets, packed into one row per bucket and place;
+   windows met in two buckets repeat as well. A place gathers about as much as a bucket, however common the anchor.
 5. Per document, the windows found are joined and their bytes cut out.
 
 Symbols, anchors and segments are compared by 64-bit hashes; repeated intervals of one bucket are
@@ -229,14 +230,16 @@ def repeated_windows(segments: list[bytes], shard: np.ndarray, length: int = LEN
 
 
 def _buckets(batches):
-    """Segments sorted by bucket to marks (kind 0: rk, first and last window) and, of hot
-    anchors, one row per distinct window (kind 1: its hash, and rk and place if it was met once)."""
-    names = ["kind", "w", "rk", "lo", "hi"]
+    """Segments sorted by bucket to marks (kind 0: rk, first and last window) and, of hot anchors, packed
+    rows (kind 1): the hashes of a bucket's distinct windows that belong to one place, with the key and
+    start of the row that holds a window if it was met once."""
+    names = ["kind", "h", "place", "rk", "lo", "hi", "packed"]
+    packing = np.dtype([("w", "<i8"), ("rk", "<i8"), ("lo", "<i8"), ("once", "<i1")])
 
     def work(tables):
         t = pa.concat_tables(tables)
         segments = t.column("seg").to_pylist()
-        rk, lo, hot, alone = (np.asarray(t.column(c)) for c in ("rk", "lo", "hot", "alone"))
+        rk, lo, h, parts, alone = (np.asarray(t.column(c)) for c in ("rk", "lo", "h", "parts", "alone"))
         seg, off, run, again = repeated_windows(segments, (rk.view(np.uint64) % np.uint64(SHARDS)).astype(np.int64))
         mark = again & alone[seg]
         cut = np.ones(len(seg) + 1, dtype=bool)
@@ -246,21 +249,28 @@ def _buckets(batches):
         keep = mark[a]
         a, b = a[keep], b[keep]
         if len(a):
+            none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(a), np.int32)), pa.nulls(len(a), pa.int64()), pa.array(rk[seg[a]]), pa.array(lo[seg[a]] + off[a]), pa.array(lo[seg[a]] + off[b])],
+                [pa.array(np.zeros(len(a), np.int32)), none, none, pa.array(rk[seg[a]]), pa.array(lo[seg[a]] + off[a]), pa.array(lo[seg[a]] + off[b]), pa.nulls(len(a), pa.binary())],
                 names=names,
             )
-        if hot.any():
-            rows = np.flatnonzero(hot[seg])
+        if (parts > 1).any():
+            rows = np.flatnonzero(parts[seg] > 1)
             rows = rows[np.unique(run[rows], return_index=True)[1]]
             data = np.frombuffer(b"".join(segments), dtype=np.uint8)
             size = np.array([len(s) for s in segments])
             place = (np.cumsum(size) - size)[seg[rows]] + off[rows]
-            w = Hashes(data).of(place, place + LENGTH).view(np.int64)
-            once = ~again[rows] & alone[seg[rows]]
-            known = pa.array(np.where(once, rk[seg[rows]], 0), mask=~once)
-            where = pa.array(lo[seg[rows]] + off[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), np.int32)), pa.array(w), known, where, where], names=names)
+            w = Hashes(data).of(place, place + LENGTH)
+            out = np.empty(len(rows), dtype=packing)
+            out["w"], out["rk"], out["lo"] = w.view(np.int64), rk[seg[rows]], lo[seg[rows]] + off[rows]
+            out["once"] = ~again[rows] & alone[seg[rows]]
+            to = (w % parts[seg[rows]].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((to, h[seg[rows]]))
+            out, to, key = out[order], to[order], h[seg[rows]][order]
+            cut = np.concatenate(([0], np.flatnonzero((to[1:] != to[:-1]) | (key[1:] != key[:-1])) + 1, [len(out)]))
+            first, none = cut[:-1], pa.nulls(len(cut) - 1, pa.int64())
+            packed = pa.array([out[x:y].tobytes() for x, y in zip(first.tolist(), cut[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), np.int32)), pa.array(key[first]), pa.array(to[first]), none, none, none, packed], names=names)
 
     held, size = [], 0
     for g in groups(batches, ["h", "part"]):
@@ -273,17 +283,29 @@ def _buckets(batches):
         yield from work(held)
 
 
+def _across(batches):
+    """Packed windows sorted by (anchor, place) to marks: windows met in two buckets, where they were met once in one."""
+    packing = np.dtype([("w", "<i8"), ("rk", "<i8"), ("lo", "<i8"), ("once", "<i1")])
+    for g in groups(batches, ["h", "place"]):
+        all_of = np.frombuffer(b"".join(g.column("packed").to_pylist()), dtype=packing)
+        _, back, n = np.unique(all_of["w"], return_inverse=True, return_counts=True)
+        hit = all_of[(n[back] > 1) & (all_of["once"] == 1)]
+        if len(hit):
+            lo = pa.array(hit["lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(hit["rk"]), lo, lo], names=["rk", "lo", "hi"])
+
+
 def _cut_segments(batches):
     """(text, list of wanted segments) to one row per segment with its bytes."""
-    names = ["h", "part", "hot", "alone", "rk", "lo", "seg"]
+    names = ["h", "part", "parts", "alone", "rk", "lo", "seg"]
     for b in batches:
         cols: list[list] = [[] for _ in names]
         for text, rk, want in zip(b.column("text").to_pylist(), b.column("rk").to_pylist(), b.column("want").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for w in want:
-                for c, v in zip(cols, (w["h"], w["part"], w["hot"], w["alone"], rk, w["lo"], raw[w["lo"] : w["hi"] + LENGTH]), strict=True):
+                for c, v in zip(cols, (w["h"], w["part"], w["parts"], w["alone"], rk, w["lo"], raw[w["lo"] : w["hi"] + LENGTH]), strict=True):
                     c.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -291,27 +313,26 @@ def repeated_marks(rows: DataFrame, name: str = "suffix", hot: int = HOT) -> Dat
     """``rk, lo, hi``: first and last start of neighbouring repeated windows, per row key."""
     spark = rows.sparkSession
     every = cut_lineage(rows.select("rk", "text").mapInArrow(_anchor_rows, "h long, sg long, rk long, lo long, hi long"), f"{name}-anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h")
+    # written, so that the joins below are plain shuffled joins, whose hot keys Spark can split
+    twice = cut_lineage(every.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"), f"{name}-twice")
     every = cut_lineage(every.join(twice, "h", "left_semi"), f"{name}-shared")
     kinds = every.groupBy("h", "sg").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     kinds = cut_lineage(kinds, f"{name}-kinds")
     marks = every.join(kinds.where(F.col("c") > 1).select("h", "sg"), ["h", "sg"], "left_semi").select("rk", "lo", "hi")
-    differ = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    parts = F.ceil(F.col("kinds") / F.lit(hot * 0.9))
+    differ = cut_lineage(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), f"{name}-differ")
+    parts = F.when(F.col("kinds") > hot, F.ceil(F.col("kinds") / F.lit(hot * 0.9))).otherwise(F.lit(1)).cast("int")
     want = kinds.join(differ, "h").select(
-        "rk", "h", "lo", "hi", (F.col("c") == 1).alias("alone"), (F.col("kinds") > hot).alias("hot"),
-        F.when(F.col("kinds") > hot, F.pmod(F.xxhash64("sg"), parts)).otherwise(F.lit(0)).cast("int").alias("part"),
+        "rk", "h", "lo", "hi", (F.col("c") == 1).alias("alone"), parts.alias("parts"), F.pmod(F.xxhash64("sg"), parts).cast("int").alias("part"),
     )
     want = cut_lineage(want, f"{name}-want")
-    lists = want.groupBy("rk").agg(F.collect_list(F.struct("h", "part", "hot", "alone", "lo", "hi")).alias("want"))
+    lists = want.groupBy("rk").agg(F.collect_list(F.struct("h", "part", "parts", "alone", "lo", "hi")).alias("want"))
     one = rows.select("rk", "text").join(lists.hint("merge"), "rk")  # the lists grow with the input: one plan at all sizes
-    schema = "h long, part int, hot boolean, alone boolean, rk long, lo long, seg binary"
+    schema = "h long, part int, parts int, alone boolean, rk long, lo long, seg binary"
     segments = one.mapInArrow(_cut_segments, schema).repartition(shuffle_parts(spark), "h", "part").sortWithinPartitions("h", "part")
-    found = cut_lineage(segments.mapInArrow(_buckets, "kind int, w long, rk long, lo long, hi long"), f"{name}-found")
+    found = cut_lineage(segments.mapInArrow(_buckets, "kind int, h long, place long, rk long, lo long, hi long, packed binary"), f"{name}-found")
     marks = marks.union(found.where(F.col("kind") == 0).select("rk", "lo", "hi"))
-    across = found.where(F.col("kind") == 1)
-    met = across.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("w")
-    return marks.union(across.where(F.col("rk").isNotNull()).join(met, "w", "left_semi").select("rk", "lo", "hi"))
+    across = found.where(F.col("kind") == 1).select("h", "place", "packed").repartition(shuffle_parts(spark), "h", "place")
+    return marks.union(across.sortWithinPartitions("h", "place").mapInArrow(_across, "rk long, lo long, hi long"))
 
 
 def _join_spans(spans: np.ndarray, length: int) -> np.ndarray:
