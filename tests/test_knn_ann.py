@@ -152,3 +152,19 @@ def test_train_sample_exact_size(spark):
     s2 = ann.train_sample(df, "Id", 40, 7)
     assert s1.count() == 40 and sorted(r.Id for r in s1.collect()) == sorted(r.Id for r in s2.collect())
     assert ann.train_sample(df, "Id", 1000, 7).count() == 150
+
+
+def test_encoding_at_full_settings_needs_little_memory():
+    """96 sub-spaces of 256 codes on 384 dimensions: one batch of 10,000 vectors, a sub-space at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x, cb = rng.normal(size=(10_000, 384)), rng.normal(size=(96, 256, 4))
+    tracemalloc.start()
+    codes = ann.nearest_codes(x, cb)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert codes.shape == (10_000, 96) and peak < 300 * 2**20
+    k = rng.integers(0, 10_000, 20)
+    want = ((x[k].reshape(20, 96, 1, 4) - cb[None]) ** 2).sum(axis=3).argmin(axis=2)
+    assert (codes[k] == want).all()
