@@ -51,7 +51,12 @@ def test_knn_blocks_equal_single_block(spark):
     df, _ = fixture(spark)
     q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
     one = as_lists(knn_join(q, df.select("Id", "vec"), 5, decimals=6))
-    many = as_lists(knn_join(q, df.select("Id", "vec"), 5, params=DEFAULT.with_(max_broadcast_bytes=30000), decimals=6))
+    old = K.ONE_PASS_BYTES
+    try:
+        K.ONE_PASS_BYTES = 0
+        many = as_lists(knn_join(q, df.select("Id", "vec"), 5, params=DEFAULT.with_(max_broadcast_bytes=30000), decimals=6))
+    finally:
+        K.ONE_PASS_BYTES = old
     assert one == many
 
 
@@ -73,13 +78,13 @@ def test_bounds_keep_candidates_few(spark):
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40 * 64)] + [(10**6 + i, [0.0] * 4) for i in range(64)]
     df = spark.createDataFrame(rows, "Id long, vec array<float>").repartition(8)
     q = df.where("Id % 100 = 0").select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
-    old = K.CORPUS_BLOCK
+    old, size = K.CORPUS_BLOCK, K.ONE_PASS_BYTES
     try:
-        K.CORPUS_BLOCK = 64
+        K.CORPUS_BLOCK, K.ONE_PASS_BYTES = 64, 0
         found = K.knn_candidates(q, cut_lineage(df), 5)
         per = [r["count"] for r in found.groupBy("query_id").count().collect()]
     finally:
-        K.CORPUS_BLOCK = old
+        K.CORPUS_BLOCK, K.ONE_PASS_BYTES = old, size
     assert max(per) < 30 * 5 and np.mean(per) < 60  # 48 blocks of 64 vectors
 
 

@@ -30,6 +30,7 @@ from tomescope.session import cut_lineage, ship_package
 
 SCORE_DECIMALS = 6
 BOUND_SHARE = 8  # one corpus block in so many is scored in the bounds pass
+ONE_PASS_BYTES = 32 * 1024 * 1024
 CORPUS_BLOCK = 2048
 MAX_QUERY_BLOCK = 512
 QUERY_BLOCK = "qblock string, q_ids binary, q_vals binary"
@@ -163,8 +164,16 @@ def final_topk(partial: DataFrame, k: int, q_id: str, c_id: str, rank_col: str =
     return partial.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size of ``df`` by the optimizer's statistics; no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def bounded_scan(q_blocks: DataFrame, c_blocks: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
-    """Bounds pass over a share of the corpus blocks, then the scan of all blocks above the limits."""
+    """Bounds pass over a share of the corpus blocks, then the scan of all blocks above the limits. A corpus that the
+    plan's statistics put below ``ONE_PASS_BYTES`` is a handful of blocks and is scanned once without limits."""
+    if planned_bytes(c_blocks) < ONE_PASS_BYTES:
+        return scan_pairs(q_blocks, c_blocks, k, q_id, c_id, score, exclude_self, decimals)
     share = c_blocks.where(F.pmod(F.xxhash64("cblock"), F.lit(BOUND_SHARE)) == 0)
     sampled = scan_pairs(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals)
     limited = cut_lineage(with_bounds(q_blocks, sampled, k, q_id, c_id), "query_limits")
