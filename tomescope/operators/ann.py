@@ -81,22 +81,25 @@ def sample_key(id_col: str, seed: int) -> F.Column:
 
 
 def train_sample(df: DataFrame, id_col: str, n_max: int, seed: int) -> DataFrame:
-    """min(n_max, n) rows with the smallest md5(id | seed), found by halving a threshold on the key's first 32
-    bits (a count per step), then cut exactly among the few rows of the last value."""
-    keyed = df.withColumn("_k", sample_key(id_col, seed)).withColumn("_h", F.conv(F.substring("_k", 1, 8), 16, 10).cast("long"))
-    low, high = -1, 2**32 - 1  # rows with _h <= low: too few or just enough; <= high: enough
-    if keyed.count() <= n_max:
-        return df
-    below = 0
-    while high - low > 1:
-        mid = (low + high) // 2
-        n = keyed.where(F.col("_h") <= mid).count()
-        if n <= n_max:
-            low, below = mid, n
+    """min(n_max, n) rows with the smallest md5(id | seed). The cut is found by counting keys by their first three
+    digits (4,096 counts), then by the next three within the digits found, until few rows share them; those few
+    are cut exactly. One or two scans of the ids find it, at any size."""
+    keyed = df.withColumn("_k", sample_key(id_col, seed))
+    prefix, below = "", 0
+    while True:
+        digits = F.substring("_k", 1, len(prefix) + 3)
+        counts = keyed.where(F.col("_k").startswith(prefix)).groupBy(digits.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(counts):
+            if below + r["n"] > n_max:
+                prefix, n = r["p"], r["n"]
+                break
+            below += r["n"]
         else:
-            high = mid
-    rest = keyed.where(F.col("_h") == high).orderBy("_k").limit(n_max - below)
-    return keyed.where(F.col("_h") <= low).unionByName(rest).drop("_k", "_h")
+            return df
+        if n <= 10_000 or len(prefix) >= 30:
+            break
+    rest = keyed.where(F.col("_k").startswith(prefix)).orderBy("_k").limit(n_max - below)
+    return keyed.where(F.col("_k") < prefix).unionByName(rest).drop("_k")
 
 
 # --- F8: coarse centroids ------------------------------------------------------------
