@@ -3,8 +3,9 @@
 A text is cut into sentences: after a mark of punctuation before white space, at line ends, and where a
 capital letter follows a word in small letters (a passage pasted into a sentence starts so). A sentence of more
 than ``LONG`` words is cut further, behind words whose hash is a multiple of ``EVERY``: the same words are
-cut alike wherever they stand, so a passage within a long sentence is found as well. Every
-run of ``SPAN`` consecutive sentences with ``MIN_WORDS`` words or more is hashed, white space apart. Of a
+cut alike wherever they stand, so a passage within a long sentence is found as well. From every
+sentence the shortest run of at least ``SPAN`` consecutive sentences that reaches ``MIN_WORDS`` words is hashed,
+white space apart: among short sentences (lists, verse, tables) runs are longer, none is skipped. Of a
 run that comes more than once, the first is the one in the smallest doc_id, and there the one
 furthest to the front; sentences covered by any other are removed. What is left keeps its characters.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomescope.llm.common import id_text, table
-from tomescope.llm.words import ngrams
+from tomescope.llm.words import mixed
 from tomescope.session import cut_lineage
 
 SPAN = 3
@@ -63,15 +64,21 @@ def _shorter(part: str) -> list[str]:
     return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
 
 
-def run_hashes(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash (as signed 64 bits) of every run that is long enough."""
+def run_hashes(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash (as signed 64 bits) of the run from every sentence that has one."""
     if len(parts) < span:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
     words = [p.split() for p in parts]
     h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), dtype=np.uint64, count=len(parts))
     total = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-    at = np.flatnonzero(total[span:] - total[:-span] >= min_words)
-    return at, ngrams(h, span)[at].view(np.int64)
+    ends = np.maximum(np.searchsorted(total, total[:-1] + min_words), np.arange(span, len(parts) + span))
+    at = np.flatnonzero(ends <= len(parts))
+    ends = ends[at]
+    out = np.zeros(len(at), dtype=np.uint64)
+    for n in np.unique(ends - at):
+        pick = np.flatnonzero(ends - at == n)
+        out[pick] = mixed(*(h[at[pick] + k] for k in range(n)))
+    return at, ends, out.view(np.int64)
 
 
 def _runs(span: int, min_words: int):
@@ -79,7 +86,7 @@ def _runs(span: int, min_words: int):
         for b in batches:
             docs, hashes = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                h = np.unique(run_hashes(sentences(text), span, min_words)[1])
+                h = np.unique(run_hashes(sentences(text), span, min_words)[2])
                 hashes.append(h)
                 docs.append(np.full(len(h), i, dtype=np.int64))
             ids = b.column("doc_id").take(pa.array(np.concatenate(docs)))
@@ -88,18 +95,16 @@ def _runs(span: int, min_words: int):
     return run
 
 
-def covered(n: int, at: np.ndarray, hashes: np.ndarray, later: set[int], span: int = SPAN) -> np.ndarray:
+def covered(n: int, at: np.ndarray, ends: np.ndarray, hashes: np.ndarray, later: set[int]) -> np.ndarray:
     """Which of ``n`` sentences lie in a run that is not the first of its kind."""
-    out = np.zeros(n, dtype=bool)
     if not len(at):
-        return out
+        return np.zeros(n, dtype=bool)
     again = np.ones(len(at), dtype=bool)
     again[np.unique(hashes, return_index=True)[1]] = False
     if later:
         again |= np.isin(hashes, np.fromiter(later, dtype=np.int64, count=len(later)))
-    for k in range(span):
-        out[at[again] + k] = True
-    return out
+    edges = np.bincount(at[again], minlength=n + 1) - np.bincount(ends[again], minlength=n + 1)
+    return np.cumsum(edges[:n]) > 0
 
 
 def later_runs(rows: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -127,7 +132,7 @@ def span_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) ->
             n, cut, text = [], [], []
             for t, later in zip(b.column("text").to_pylist(), b.column("later").to_pylist(), strict=True):
                 parts = sentences(t or "")
-                gone = covered(len(parts), *run_hashes(parts, span, min_words), set(later or ()), span)
+                gone = covered(len(parts), *run_hashes(parts, span, min_words), set(later or ()))
                 n.append(len(parts))
                 cut.append(int(gone.sum()))
                 text.append("".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else t or "")
