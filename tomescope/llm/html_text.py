@@ -5,8 +5,9 @@ and boilerplate containers (menus, page headers, footers, sidebars, notices, adv
 reader comments; known by element, role or class word) leave empty lines. A line's weight
 is its text length without link text. ``main_lines`` sums weights over sliding windows of
 lines; text begins where the sum rises to the threshold on a weighted line (surge) and ends
-before the first line with no weight (dive); the lines between are kept. Where a page marks its
-``article`` or ``main``, only lines in it carry weight, links count, and any weight is a surge.
+before the first line with no weight (dive); the lines between are kept. In an ``article`` or ``main``
+links count, and every line weighs ``SURGE`` more, which is a surge by itself; all other lines of the page are
+judged by the same windows.
 
 Cases: null or empty html gives the empty text; markup cut off at the end of a page is
 dropped; a page with no text gives the empty text; repeated pages are extracted each; null
@@ -142,19 +143,10 @@ def strip_markup(page: str) -> list[tuple[str, int, int]]:
 
 def main_lines(lines: list[tuple[str, int, int]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The lines between surge and dive points of the windowed weights."""
-    size: dict[int, int] = {}
-    for text, _, root in lines:
-        if root:
-            size[root] = size.get(root, 0) + len(text)
-    if size:
-        most = max(size.values())
-        roots = {r for r, s in size.items() if 3 * s >= most} if len(size) > 1 else set(size)
-        weight = [len(t) if r in roots else 0 for t, _, r in lines]
-        least = 1
-    else:
-        weight = [len(t) - k if 2 * k <= len(t) else 0 for t, k, _ in lines]
-        sums = [sum(weight[i : i + window]) for i in range(len(weight))]
-        least = max(1, min(surge, max(sums, default=0) // 4))
+    weight = [len(t) if root else len(t) - k if 2 * k <= len(t) else 0 for t, k, root in lines]
+    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    least = max(1, min(surge, max(sums, default=0) // 4))
+    weight = [w + surge if root and w else w for w, (_, _, root) in zip(weight, lines, strict=True)]
     kept: list[str] = []
     inside, total = False, sum(weight[:window])
     for i, (text, _, _) in enumerate(lines):
