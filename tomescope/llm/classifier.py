@@ -73,7 +73,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("h"), pa.array(sets, pa.binary())], names=["doc_id", "y", "h", "f"])
 
     rows = id_text(docs).join(F.broadcast(picked), "doc_id")  # 2 * fit_rows ids at most
-    got = rows.select("doc_id", "y", "h", "text").mapInArrow(run, "doc_id long, y int, h long, f binary").toArrow()
+    rows = rows.groupBy("doc_id", "y", "h").agg(F.max("text").alias("text"))  # an id that repeats counts once, with a text if it has one
+    got = rows.mapInArrow(run, "doc_id long, y int, h long, f binary").toArrow()
     order = np.lexsort((got.column("doc_id").to_numpy(), got.column("h").to_numpy()))
     sets, y = got.column("f").to_pylist(), got.column("y").to_numpy()
     return [np.frombuffer(sets[i], dtype=np.int32) for i in order], y[order]
