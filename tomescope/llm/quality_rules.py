@@ -7,6 +7,8 @@ smoothing s draws rare buckets, of which the counts say little, towards 0.
 A document's score is the mean of log(target / raw) over its n-grams, so length cancels; it is
 kept where the score is at least ``THRESHOLD`` and no base rule fails. The threshold is a constant,
 so the same document and the same counts always give the same verdict.
+On tables of a few hundred documents most ratios are drawn to 0 and the verdict is weak: of the unlabelled documents
+it rejects 0 of 113 (sf0.001), 34 of 601 (sf0.01) and 389 of 6,020 (sf0.1) that no base rule fails.
 
 Plan: documents are joined with the target's ids once to count (the ids are broadcast while their counted
 rows fit the broadcast budget, else both sides are shuffled; bucket sums are added up in each task
