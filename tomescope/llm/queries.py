@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomescope.llm import classifier, html_text, near_dups, packing, quality_rules, sentence_pieces, span_dups, suffix_dups, token_files, topk
+from tomescope.llm import (
+    centroids,
+    classifier,
+    fingerprints,
+    html_text,
+    near_dups,
+    packing,
+    quality_rules,
+    resample,
+    sentence_pieces,
+    span_dups,
+    suffix_dups,
+    token_files,
+    topk,
+)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +35,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_classifier": classifier.op9_classifier,
         "op10_suffix_dedup": suffix_dups.op10_suffix_dedup,
+        "op11_resample": resample.op11_resample,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_fingerprints": fingerprints.op13_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": topk.ORACLE}
+    return {"op5_topk": topk.ORACLE, "op11_resample": resample.ORACLE, "op12_centroids": centroids.ORACLE}
