@@ -45,6 +45,16 @@ def test_top_k_few_and_none(spark):
     assert topk.top_k(df.where("vec_id < 0"), df.where("vec_id < 0"), 5).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(50, [1e5] * 64, "a", 1), (1, [-3e6] * 64, "a", 1), (2, [1.0] * 64, "a", 1), (3, [2e6] * 63 + [1e6], "a", 1), (4, [2e6] * 64, "a", 1)]
+    df = spark.createDataFrame(rows, VEC)
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df.where("vec_id = 50"), df, 5).collect())
+    assert got == brute(rows, lambda q: q == 50, 5) and len(got) == 4
+    for big in (1e17, 1e30):  # no score, no component of 64 bits: an error, not a missing row
+        with pytest.raises(Exception, match="62 bits"):
+            topk.top_k(df.where("vec_id = 2"), df.union(spark.createDataFrame([(5, [big] * 64, "a", 1)], VEC)), 5).collect()
+
+
 def test_top_k_sql(spark):
     r = compare(spark, "op5_topk", topk.op5_topk, topk.ORACLE, SF_SMALL)
     assert r["cols_match"] and r["values_match"], r

@@ -12,8 +12,8 @@ Nothing grows on the driver, queries included: both sides are tables of blocks,
 shared folder by every round.
 
 Cases: a vector that is null, holds a null or non-finite component, or whose ``id`` is null takes
-no part; nor does one with a component so large that a score could leave 64 bits (beyond
-``2**31 / sqrt(dim)`` after scaling). Vectors of different length never meet. Rows that repeat an
+no part. Components are 64-bit; a component or a score beyond 62 bits stops the job with an error, no row is left
+out for its size. Vectors of different length never meet. Rows that repeat an
 id are candidates of their own for other ids; a query never meets rows of its own id. Fewer than k
 candidates: all of them. Empty tables give no rows. The input's other columns are not read.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomescope.llm.common import table
-from tomescope.session import cut_lineage
+from tomescope.session import cut_lineage, ship_package
 
 K = 5
 SCALE = 256
@@ -35,14 +35,15 @@ QUERY_ROWS, CORPUS_ROWS = 512, 4096
 BLOCK_SCHEMA = "block string, dim int, ids binary, vals binary"
 
 
+LIMIT = 2.0**62
+
+
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """``(id, q)`` with ``q = floor(scale * x)`` as longs, without the rows that take no part."""
+    """``(id, q)`` with ``q = scale * x`` as doubles, without the rows that take no part."""
+    ship_package(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    limit = F.lit(float(2**31)) / F.sqrt(F.greatest(F.size("v"), F.lit(1)))
-    fits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < limit))
-    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fits).select(
-        "id", F.transform("v", lambda x: F.floor(x * scale)).alias("q")
-    )
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).select("id", F.transform("v", lambda x: x * scale).alias("q"))
 
 
 def _blocks(most: int):
@@ -60,13 +61,17 @@ def _blocks(most: int):
             made += 1
             ids, vals = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{made}"]), pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([vals.astype("<i4").tobytes()])],
+                [pa.array([f"{task}-{made}"]), pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([vals.astype("<i8").tobytes()])],
                 names=["block", "dim", "ids", "vals"],
             )
 
         for b in batches:
             col = b.column("q")
             ids, flat, at = b.column("id").to_numpy(), col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+            flat = np.floor(flat)
+            if flat.size and np.abs(flat).max() >= LIMIT:
+                raise ValueError("a component beyond 62 bits after scaling")
+            flat = flat.astype(np.int64)
             sizes = np.diff(at)
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
@@ -83,11 +88,16 @@ def _blocks(most: int):
 
 def _scores(q_ids, q_vals, c_ids, c_vals, dim):
     """Integer scores of two blocks; a query's own id is marked in the second array."""
-    a = np.frombuffer(q_vals, "<i4").reshape(len(q_ids), dim)
-    b = np.frombuffer(c_vals, "<i4").reshape(len(c_ids), dim)
+    a = np.frombuffer(q_vals, "<i8").reshape(len(q_ids), dim)
+    b = np.frombuffer(c_vals, "<i8").reshape(len(c_ids), dim)
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(dim, 1)
-    kind = np.float64 if top < 2**52 else np.int64
-    s = (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+    rough = a.astype(np.float64) @ b.astype(np.float64).T
+    if top < 2**52:
+        s = rough.astype(np.int64)
+    elif rough.size and np.abs(rough).max() >= LIMIT:
+        raise ValueError("a score beyond 62 bits")
+    else:
+        s = a @ b.T  # exact: sums that leave 64 bits on the way come back
     return s, q_ids[:, None] == c_ids[None, :]
 
 
