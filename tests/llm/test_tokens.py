@@ -148,3 +148,9 @@ def test_sentence_piece_query(spark):
     assert all(r.same for r in rows)
     key = lambda x: (x[0] or -1, *x[1:])
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows), key=key) == sorted(((i, len(x), crc(x)) for i, x in want), key=key)
+
+
+def test_longer_pieces_than_the_suffix_order_compares(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "DEPTH", 12)
+    with pytest.raises(ValueError, match="16 characters"):
+        sentence_pieces.PieceEncoder(tokenize.tokenizer_path(sentence_pieces.MODEL))

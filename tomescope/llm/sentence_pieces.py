@@ -116,6 +116,8 @@ class PieceEncoder(BatchEncoder):
         m, n = self.model, self.model.get_piece_size()
         text = [m.id_to_piece(i) for i in range(n)]
         usual = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        if (longest := max((len(text[i]) for i in usual if text[i].strip(BLANK)), default=0)) > DEPTH:
+            raise ValueError(f"a piece of {longest} characters; the suffix order compares {DEPTH}")
         self.byte_id = {int(text[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.unknown = m.unk_id()
         if len(self.byte_id) != 256:
@@ -130,7 +132,7 @@ class PieceEncoder(BatchEncoder):
         table_size = max(map(ord, chars)) + 1
         self.code_of = np.zeros(table_size, dtype=np.uint16)
         self.code_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1, dtype=np.uint16)
-        merged = sorted((i for i in usual if 1 < len(text[i]) <= DEPTH and text[i].strip(BLANK)), key=lambda i: (-m.get_score(i), i))
+        merged = sorted((i for i in usual if len(text[i]) > 1 and text[i].strip(BLANK)), key=lambda i: (-m.get_score(i), i))
         self.rank = np.full(n, -1, dtype=np.int64)
         self.rank[merged] = np.arange(len(merged))
         pairs = {}
