@@ -20,7 +20,8 @@ sketch is off by more than ``MARGIN`` (about five standard deviations).
 
 Cases: null or empty text has an empty set, component_id = doc_id and links with nothing; a text of
 fewer words than a shingle is one shingle. A null doc_id gets a null component and is kept. Rows that
-repeat a doc_id are documents of their own that share a name. Empty tables give no rows.
+repeat a doc_id are documents of their own that share a name: what links one of them joins the name's
+component (give rows numbers of their own where that is not wanted). Empty tables give no rows.
 """
 
 from __future__ import annotations
