@@ -9,6 +9,7 @@ from conftest import SF_SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import documents, prose, split_words
+from test_span_runs import brute as span_brute
 
 from tomescope.llm import components, near_dups, span_dups, suffix_dups
 
@@ -32,28 +33,6 @@ def test_components_by_brute_force(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def span_brute(rows, span=3, least=10):
-    first, parts = {}, {}
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    runs = lambda p: [(i, tuple(" ".join(x.split()) for x in p[i : i + span])) for i in range(len(p) - span + 1) if sum(len(x.split()) for x in p[i : i + span]) >= least]
-    for i, t in order:
-        p = span_dups.sentences(t or "")
-        assert "".join(p) == (t or "")
-        for _, k in runs(p):
-            first.setdefault(k, i)
-    out = []
-    for i, t in rows:
-        p, seen = span_dups.sentences(t or ""), set()
-        gone = [False] * len(p)
-        for at, k in runs(p):
-            other = first[k] is not None and first[k] != i
-            if other or k in seen:
-                gone[at : at + span] = [True] * span
-            seen.add(k)
-        out.append((i, sum(gone), "".join(x for x, g in zip(p, gone, strict=True) if not g)))
-    return out
-
-
 def test_spans(spark):
     docs = documents(spark)
     out = span_dups.span_dedup(docs)

@@ -3,9 +3,10 @@
 import corpus_pipeline as P
 import numpy as np
 from conftest import SF_ORACLE
-from llm_cases import documents
-from test_dups import near_brute, span_brute
+from llm_cases import documents, prose
+from test_dups import near_brute
 from test_quality import base
+from test_span_runs import brute as span_brute
 
 import __spark_entry__ as E
 from tomescope.session import cut_lineage
@@ -13,8 +14,8 @@ from tomescope.session import cut_lineage
 
 def test_registered():
     q = E.queries()
-    assert q["pipeline"] is P.run and [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 11)] == [1] * 10
-    assert "pipeline" not in E.oracle_sql() and "op5_topk" in E.oracle_sql()
+    assert q["pipeline"] is P.run and [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 14)] == [1] * 13
+    assert "pipeline" not in E.oracle_sql() and {"op5_topk", "op11_resample", "op12_centroids"} <= set(E.oracle_sql())
 
 
 def test_stages(spark):
@@ -38,8 +39,35 @@ def test_stages(spark):
     assert {p.doc_id for p in pieces} == set(rows[4]) and all(len(p.ids) == p.length for p in pieces)
 
 
+def test_near_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = prose(120, 31), prose(120, 32), prose(120, 33)
+    near_a = a.replace(a.split()[60], "changed", 1)
+    rows = [(0, a), (1, near_a), (1, b), (2, b), (2, b), (3, c), (3, c), (3, c), (None, a), (None, a), (4, None), (4, None), (5, ""), (6, c + " end")]
+    docs = documents(spark, [(i, t, "en", "s", None) for i, t in rows], clash=False)
+    out = P.near(spark, docs, SF_ORACLE)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    # of the rows without words (4, 4, 5) none is a copy; without a doc_id all stay
+    assert got == sorted([(0, a), (1, b), (3, c), (None, a), (None, a), (4, None), (4, None), (5, "")], key=str)
+
+
+def test_identical_rows_leave_one(spark):
+    text = "\n".join(prose(90, k) for k in (41, 42))
+    docs = documents(spark, [(7, text, "en", "s", None)] * 5 + [(8, prose(200, 43), "en", "s", None)], clash=False)
+    kept = cut_lineage(P.near(spark, docs, SF_ORACLE), "test-near")
+    left = {r.doc_id: r.text for r in P.spans(spark, kept, SF_ORACLE).collect()}
+    assert kept.count() == 2 and left == {7: text, 8: prose(200, 43)}
+
+
 def test_stages_take_odd_rows(spark):
     docs = documents(spark, clash=False)
-    for _, stage in P.STAGES:
-        assert stage(spark, docs, SF_ORACLE).count() >= 0
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, SF_ORACLE)
+        if name in ("classify", "rules", "near"):
+            assert {(r.doc_id, r.text) for r in got.collect()} <= rows
+        elif name == "spans":
+            assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in docs.collect())
+        else:
+            assert {r.doc_id for r in got.collect()} == {i for i, _ in rows}
         assert stage(spark, docs.where("false"), SF_ORACLE).count() == 0
