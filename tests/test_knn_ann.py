@@ -130,10 +130,26 @@ def test_pq_search_scores_match_reconstruction(spark):
 
 
 def test_index_is_stored_by_list_and_pruned(spark):
+    """Files are bounded by partitions, hold neighbouring lists, and the scan pushes the list filter to their statistics."""
+    import glob
+
+    import pyarrow.parquet as pq
+
     idx = AQ.trained_index(AQ._vectors(spark, SF_SMALL))
+    files = glob.glob(f"{idx.path.removeprefix('file:')}/part-*.parquet")
+    assert 0 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        at = next(k for k in range(meta.num_columns) if meta.row_group(0).column(k).path_in_schema == "cluster")
+        stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        spans.append((min(x.min for x in stats), max(x.max for x in stats)))
+    spans.sort()
+    assert all(b[0] >= a[1] for a, b in zip(spans, spans[1:], strict=False)) and len(spans) > 1  # a list at a border may be in two
     some = ann.read_codes(spark, idx.path, [1, 3])
-    assert "PartitionFilters: [cluster" in some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(cluster, [1,3])]" in some._jdf.queryExecution().executedPlan().toString()
     assert {r.cluster for r in some.collect()} <= {1, 3} and idx.codes.schema["codes"].dataType.simpleString() == "binary"
+    assert idx.sizes.sum() == idx.codes.count()
 
 
 def test_more_training_lowers_the_error(spark):
@@ -173,3 +189,88 @@ def test_encoding_at_full_settings_needs_little_memory():
     k = rng.integers(0, 10_000, 20)
     want = ((x[k].reshape(20, 96, 1, 4) - cb[None]) ** 2).sum(axis=3).argmin(axis=2)
     assert (codes[k] == want).all()
+
+
+def test_codes_of_small_vectors_are_the_nearest(spark):
+    """Nothing is rounded before the choice: vectors of norm 0.001 get the nearest codes too."""
+    df, X = fixture(spark, n=150)
+    tiny = df.select("Id", F.transform("vec", lambda x: x * 0.001).alias("vec"))
+    idx = ann.compress_index(tiny, 4, 4, 5, 3, 1)
+    C, cb = ann.centroid_matrix(idx.centroids), ann.codebook_tensor(idx.codebooks)
+    x = np.stack([np.array(r["vec"], dtype=np.float64) for r in tiny.orderBy("Id").collect()])
+    stored = {r["Id"]: r for r in idx.codes.collect()}
+    for i, v in enumerate(x):
+        best = int(np.argmax(C @ v))
+        assert stored[i]["cluster"] == best
+        res = (v - C[best]).reshape(4, 1, -1)
+        d = ((res - cb) ** 2).sum(axis=2)
+        got = np.frombuffer(stored[i]["codes"], np.uint8)
+        assert np.allclose(d[np.arange(4), got], d.min(axis=1), rtol=1e-9, atol=0)
+
+
+def test_searches_are_joins_of_lists(spark):
+    """No product and no nested loop in the plans of the searches themselves; only probed lists are shuffled."""
+    v = AQ._vectors(spark, SF_SMALL)
+    cents = cut_lineage(ann.centroids_by_label(v, "label", "vec"), "cents")
+    lists = cut_lineage(ann.assign(v, cents, carry=True), "lists")
+    found = [ann.ivf_candidates(AQ._queries(v), lists, cents, 3, 10), ann.pq_candidates(AQ._queries(v), AQ.trained_index(v), 4, 10)]
+    for threshold in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            for df in found:
+                txt = df.select("*")._jdf.queryExecution().executedPlan().toString()
+                assert "CartesianProduct" not in txt and "NestedLoop" not in txt and "[cluster#" in txt
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    c = ann.centroid_matrix(cents)
+    salts = np.ones(len(c), dtype=np.int64)
+    for nprobe in (1, 3):
+        rows = ann.probe_rows(AQ._queries(v), "query_id", "qvec", c, nprobe, salts, 512, None).collect()
+        assert sum(len(r["q_ids"]) // 8 for r in rows) == nprobe * v.count()  # a vector per probed pair
+
+
+def test_hot_list_is_dealt_over_salts(spark, monkeypatch):
+    """Most vectors in one list: same hits, its blocks on many join keys, the bounds pass included."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    monkeypatch.setattr(ann, "CORPUS_BLOCK", 8)
+    df, X = fixture(spark, n=300)
+    hot = df.select("Id", "vec", F.when(F.col("Id") % 10 < 8, F.lit(0)).otherwise(F.col("label")).alias("cluster"))
+    cents = ann.centroids_by_label(df, "label", "vec")
+    lists = cut_lineage(hot, "hot")
+    q = df.where("Id % 7 = 0").select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
+    salts = ann.salts_of(ann.list_sizes(lists, 6))
+    assert salts[0] >= 12 and salts[1:].max() <= 2
+    blocks = ann.list_rows(lists, "Id", "vec", lambda c: K.vectors_of(c).astype("<f4"), salts)
+    assert blocks.where("cluster = 0").select("salt").distinct().count() > 6
+    exact = as_lists(knn_join(q, df.select("Id", "vec"), 9, exclude_self=True))
+    for limit in (K.ONE_PASS_BYTES, 0):
+        monkeypatch.setattr(ann, "ONE_PASS_BYTES", limit)
+        assert as_lists(ann.ivf_search(q, lists, cents, 6, 9, exclude_self=True)) == exact
+
+
+def test_refine_ranks_by_stored_vectors(spark):
+    df, X = fixture(spark, n=200)
+    idx = ann.compress_index(df, 4, 4, 3, 2, 1)
+    q = df.select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
+    exact = knn_join(q, df.select("Id", "vec"), 5, exclude_self=True)
+    rec = [ann.recall_at_k(exact, ann.pq_search(q, idx, 4, 5, exclude_self=True, vectors=v, refine=r), 5).first()["recall_at_k"] for v, r in ((None, 1), (df, 4), (df, 40))]
+    assert rec[0] < rec[1] < rec[2] == 1.0
+    got = as_lists(ann.pq_search(q, idx, 4, 5, exclude_self=True, vectors=df, refine=40))
+    assert got == as_lists(exact)
+
+
+def test_model_sums_shuffle_one_row_per_task_and_key(spark):
+    from tomescope.operators import sums
+
+    x = np.arange(600.0).reshape(100, 6)
+    df = spark.createDataFrame([(i % 7, [float(v) for v in r]) for i, r in enumerate(x)], "k long, v array<double>").repartition(5)
+
+    def add(b, n, s):
+        k = b.column("k").to_numpy()
+        n += np.bincount(k, minlength=7)
+        np.add.at(s, k, K.vectors_of(b.column("v")))
+
+    assert df.mapInArrow(sums.task_sums(7, 6, add), sums.PACKED).count() <= 5 * 7  # not x 6 dimensions
+    n, s = sums.sums_by_key(df, 7, 6, add)
+    assert n.tolist() == [sum(1 for i in range(100) if i % 7 == k) for k in range(7)]
+    assert np.allclose(s, [x[k::7].sum(axis=0) for k in range(7)])

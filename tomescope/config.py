@@ -36,6 +36,7 @@ class Params:
     pq_m: int = 96
     pq_bits: int = 8
     nprobe: int = 256
+    refine: int = 2  # code hits fetched per kept hit and ranked by exact score
     kmeans_iter: int = 20
     seed: int = 42
     # --- search path of recommend: "exact" or "ivfpq" ---

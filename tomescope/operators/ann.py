@@ -3,14 +3,21 @@
 Tables (all ordinary Parquet):
   ivf_centroids(cluster INT, centroid ARRAY<DOUBLE>)      nlist rows
   pq_codebooks(m INT, code INT, sub ARRAY<DOUBLE>)        m * 2^bits rows
-  ivfpq_codes(Id LONG, codes BINARY, cluster INT)         one row per vector, partitioned by cluster
+  ivfpq_codes(Id LONG, codes BINARY, cluster INT)         one row per vector, ranged and sorted by cluster
 
 Training runs over all vectors: Lloyd steps whose assignment is an Arrow pass with the current model broadcast
-(its size is a parameter and is checked) and whose means are sums per task, added up by ``groupBy``. The
-starting rows are those with the smallest md5(id | seed). Centroids and codebooks are bounded by the index
+(its size is a parameter and is checked) and whose means are sums per task, added up per key (``sums``): a step
+shuffles tasks x keys rows. Centroids and codebooks are bounded by the index
 parameters, never by the corpus, and are the only things that reach the driver. Encoding is one pass: list, residual and
 codes together, a sub-space at a time, so a batch needs rows x 2^bits floats.
-Search packs queries and codes into blocks like ``knn`` and builds a query block's look-up tables once.
+
+Search is a join of inverted lists. A query leaves one row per list it probes, packed with the other queries of its
+batch that probe the same list; vectors are packed into blocks of one list each; the two meet by an equi join on
+(cluster, salt). Only probed pairs of query and list are shuffled or scored. A list of more than ``LIST_ROWS`` vectors is dealt
+over several salts, and its queries go to each of them, so a hot list is spread over tasks. ``refine`` fetches the
+stored vectors of the best code hits by a join on the id and ranks them by exact score.
+
+Values are compared as they are; ``decimals`` rounds them first, which only the registered queries ask for (their SQL does so).
 """
 
 from __future__ import annotations
@@ -24,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
-from tomescope.operators.knn import CORPUS_BLOCK, bounded_scan, final_topk, pack_queries, query_block_rows, round_half_away, vectors_of
+from tomescope.operators.knn import BOUND_SHARE, CORPUS_BLOCK, MAX_QUERY_BLOCK, ONE_PASS_BYTES, best_of_block, final_topk, planned_bytes, round_half_away, vectors_of
+from tomescope.operators.sums import sums_by_key
 from tomescope.session import cut_lineage, new_table_path, ship_package
 
-DECIMALS = 6
+LIST_ROWS = 16 * CORPUS_BLOCK  # vectors of one list that one join key holds
+HELD_ROWS = 64 * CORPUS_BLOCK  # vectors a task holds while it packs them by list
+PROBE_BYTES = 8 * 1024 * 1024  # packed queries sent on at a time
 LUT_BYTES = 64 * 1024 * 1024  # look-up tables of one query block
 
 
@@ -35,11 +45,12 @@ LUT_BYTES = 64 * 1024 * 1024  # look-up tables of one query block
 class IvfPq:
     centroids: DataFrame  # (cluster, centroid)
     codebooks: DataFrame  # (m, code, sub)
-    codes: DataFrame  # (Id, codes, cluster), partitioned by cluster
+    codes: DataFrame  # (Id, codes, cluster), ranged by cluster
     m: int
     ksub: int
     dim: int
     path: str = ""
+    sizes: np.ndarray | None = None  # vectors per list
 
 
 # --- small tables to NumPy (bounded by index parameters) ---------------------------
@@ -51,21 +62,21 @@ def _checked(rows: int, dim: int, params: Params) -> None:
 
 
 def centroid_matrix(centroids: DataFrame, params: Params = DEFAULT) -> np.ndarray:
+    facts = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dim")).first()
+    _checked(facts["n"], facts["dim"] or 0, params)
     rows = centroids.select("cluster", "centroid").orderBy("cluster").collect()
     if [r["cluster"] for r in rows] != list(range(len(rows))):
         raise ValueError("clusters must be numbered 0..nlist-1")
-    out = np.array([r["centroid"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    _checked(*out.shape, params)
-    return out
+    return np.array([r["centroid"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
 
 
 def codebook_tensor(codebooks: DataFrame, params: Params = DEFAULT) -> np.ndarray:
     """(m, ksub, dsub) array from the codebook table."""
+    facts = codebooks.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("sub")).alias("dim")).first()
+    _checked(facts["n"], facts["dim"] or 0, params)
     rows = codebooks.select("m", "code", "sub").orderBy("m", "code").collect()
     m, ksub = rows[-1]["m"] + 1, rows[-1]["code"] + 1
-    out = np.array([r["sub"] for r in rows], dtype=np.float64).reshape(m, ksub, -1)
-    _checked(m * ksub, out.shape[2], params)
-    return out
+    return np.array([r["sub"] for r in rows], dtype=np.float64).reshape(m, ksub, -1)
 
 
 def _broadcast(df: DataFrame, value):
@@ -124,66 +135,51 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1.0, n)
 
 
-def nearest_list(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+def nearest_list(x: np.ndarray, c: np.ndarray, decimals: int | None = None) -> np.ndarray:
     """Centroid of largest inner product (ties: smallest cluster)."""
-    return np.argmax(round_half_away(x @ c.T, DECIMALS), axis=1)
-
+    return np.argmax(round_half_away(x @ c.T, decimals), axis=1)
 
-def _means(df: DataFrame, parts, keys: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and sums per key of ``parts`` (an Arrow function: key, n, s per task): at most ``keys`` rows are fetched."""
-    summed = df.mapInArrow(parts, "key long, n long, s array<double>")
-    flat = summed.select("key", "n", F.posexplode("s").alias("p", "x")).groupBy("key", "p").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    rows = flat.groupBy("key").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda z: z["x"]).alias("s")).collect()
-    n, s = np.zeros(keys, dtype=np.int64), np.zeros((keys, dim))
-    for r in rows:
-        n[r["key"]], s[r["key"]] = r["n"], r["s"]
-    return n, s
 
-
-def _per_task(keys: int, dim: int, add):
-    """An Arrow function that adds up (key, vector) pairs of all batches of a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s = np.zeros(keys, dtype=np.int64), np.zeros((keys, dim))
-        for b in batches:
-            add(b, n, s)
-        at = np.flatnonzero(n)
-        offsets = np.arange(0, (len(at) + 1) * dim, max(dim, 1))[: len(at) + 1].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[at].reshape(-1)))], names=["key", "n", "s"])
-
-    return run
-
-
-def train_kmeans(vectors: DataFrame, vec_col: str, k: int, iters: int, seed: int, id_col: str = "Id") -> DataFrame:
+def train_kmeans(vectors: DataFrame, vec_col: str, k: int, iters: int, seed: int, id_col: str = "Id", decimals: int | None = None) -> DataFrame:
     """Spherical k-means over all vectors: (cluster, centroid), unit centroids; a list left empty keeps its centroid."""
     c = unit_rows(_start_rows(vectors, k, seed, id_col, vec_col))
-    data = vectors.select(vec_col)
+    return _as_centroids(vectors, lloyd(vectors.select(vec_col), vec_col, c, iters, decimals))
+
+
+def lloyd(data: DataFrame, vec_col: str, c: np.ndarray, iters: int, decimals: int | None = None) -> np.ndarray:
+    """``iters`` spherical Lloyd steps from the centroids ``c``."""
     for _ in range(iters):
-        model = _broadcast(vectors, c)
+        model = _broadcast(data, c)
 
         def add(b, n, s, model=model):
             x = vectors_of(b.column(vec_col))
-            a = nearest_list(x, model.value)
+            a = nearest_list(x, model.value, decimals)
             n += np.bincount(a, minlength=len(n))
-            np.add.at(s, a, x)
+            for d in range(x.shape[1]):
+                s[:, d] += np.bincount(a, weights=x[:, d], minlength=len(n))
 
-        n, s = _means(data, _per_task(len(c), c.shape[1], add), len(c), c.shape[1])
-        mean = unit_rows(s / np.maximum(n, 1)[:, None])
-        c = np.where((n > 0)[:, None], mean, c)
+        n, s = sums_by_key(data, len(c), c.shape[1], add)
+        c = np.where((n > 0)[:, None], unit_rows(s / np.maximum(n, 1)[:, None]), c)
         model.unpersist()
+    return c
+
+
+def _as_centroids(vectors: DataFrame, c: np.ndarray) -> DataFrame:
     return vectors.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(c)], "cluster int, centroid array<double>")
 
 
 # --- E4: assignment and probing ------------------------------------------------------
 
 
-def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "Id", vec_col: str = "vec", carry: bool = False) -> DataFrame:
+def assign(
+    vectors: DataFrame, centroids: DataFrame, id_col: str = "Id", vec_col: str = "vec", carry: bool = False, decimals: int | None = None
+) -> DataFrame:
     """(Id, cluster): the centroid of largest inner product (ties: smallest cluster); ``carry`` keeps the vector."""
     model = _broadcast(vectors, centroid_matrix(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a = nearest_list(vectors_of(b.column(vec_col)), model.value).astype(np.int32) if b.num_rows else np.zeros(0, np.int32)
+            a = nearest_list(vectors_of(b.column(vec_col)), model.value, decimals).astype(np.int32) if b.num_rows else np.zeros(0, np.int32)
             cols = [b.column(id_col), pa.array(a)] + ([b.column(vec_col)] if carry else [])
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "cluster"] + ([vec_col] if carry else []))
 
@@ -191,58 +187,183 @@ def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "Id", vec_col
     return vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(run, f"`{id_col}` long, cluster int" + kind)
 
 
-def probe_matrix(q: np.ndarray, c: np.ndarray, nprobe: int) -> np.ndarray:
+def probe_matrix(q: np.ndarray, c: np.ndarray, nprobe: int, decimals: int | None = None) -> np.ndarray:
     """Boolean (nq, nlist): the nprobe centroids of largest inner product per query (ties: smaller cluster)."""
-    s = round_half_away(q @ c.T, DECIMALS)
+    s = round_half_away(q @ c.T, decimals)
     order = np.lexsort((np.broadcast_to(np.arange(c.shape[0]), s.shape), -s), axis=1)[:, :nprobe]
     p = np.zeros(s.shape, dtype=bool)
     np.put_along_axis(p, order, True, axis=1)
     return p
 
 
-def _probing_blocks(queries: DataFrame, q_id: str, q_vec: str, c: np.ndarray, nprobe: int, rows: int) -> DataFrame:
-    """Written query blocks with their probe matrix (``q_probe``, one byte per query and list)."""
-    model = _broadcast(queries, c)
-    extra = lambda part: {"q_probe": probe_matrix(part, model.value, nprobe).astype(np.uint8).tobytes()}
-    return cut_lineage(pack_queries(queries, q_id, q_vec, rows, extra, ", q_probe binary"), "query_blocks")
+# --- the join of inverted lists -------------------------------------------------------
 
+PROBE_SCHEMA = "cluster int, salt int, q_ids binary, q_vals binary, q_coarse binary, q_low binary, q_low_id binary"
+LIST_SCHEMA = "cluster int, salt int, c_ids binary, c_vals binary"
 
-def _probed(q_blocks: DataFrame, nlist: int) -> list[int]:
-    """Lists probed by any query; at most ``nlist`` bytes a block are combined in the tasks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(nlist, dtype=bool)
-        for b in batches:
-            for raw in b.column("q_probe").to_pylist():
-                hit |= np.frombuffer(raw, np.uint8).reshape(-1, nlist).any(axis=0)
-        yield pa.RecordBatch.from_pydict({"cluster": np.flatnonzero(hit).astype(np.int32)})
+def list_sizes(lists: DataFrame, nlist: int) -> np.ndarray:
+    """Vectors per list (``nlist`` numbers)."""
+    out = np.zeros(nlist, dtype=np.int64)
+    for r in lists.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["cluster"]] = r["n"]
+    return out
 
-    return sorted(r["cluster"] for r in q_blocks.select("q_probe").mapInArrow(run, "cluster int").distinct().collect())
 
+def salts_of(sizes: np.ndarray) -> np.ndarray:
+    """Join keys per list: one for every ``LIST_ROWS`` vectors."""
+    return np.maximum(1, -(-sizes // LIST_ROWS))
 
-def _by_list(clusters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(clusters, kind="stable")
-    for g in np.split(order, np.flatnonzero(np.diff(clusters[order])) + 1):
-        if len(g):
-            yield int(clusters[g[0]]), g
 
+def probe_rows(queries: DataFrame, q_id: str, q_vec: str, c: np.ndarray, nprobe: int, salts: np.ndarray, rows: int, decimals: int | None) -> DataFrame:
+    """One row per list and group of up to ``rows`` queries of a batch that probe it, repeated for every salt of the list.
+    ``low`` and ``low_id`` columns of the queries, if any, travel along."""
+    model, limited = _broadcast(queries, (c, salts)), "low" in queries.columns
 
-def _list_blocks(lists: DataFrame, c_id: str, payload: str, to_matrix) -> DataFrame:
-    """Blocks of (id, list, payload) rows: ``cblock, c_ids, c_lists, c_vals``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cc, split = model.value
+        names = [x.split()[0] for x in PROBE_SCHEMA.split(", ")]
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, MAX_QUERY_BLOCK):
+                b = whole.slice(at, MAX_QUERY_BLOCK)
+                ids, x = b.column(q_id).to_numpy().astype("<i8"), vectors_of(b.column(q_vec))
+                coarse = x @ cc.T
+                probed = probe_matrix(x, cc, nprobe, decimals)
+                low, low_id = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+                if limited:
+                    low = b.column("low").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    low_id = b.column("low_id").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+                for cl in np.flatnonzero(probed.any(axis=0)).tolist():
+                    mine = np.flatnonzero(probed[:, cl])
+                    for lo in range(0, len(mine), rows):
+                        r = mine[lo : lo + rows]
+                        packed = (ids[r].tobytes(), x[r].astype("<f8").tobytes(), coarse[r, cl].astype("<f8").tobytes(), low[r].astype("<f8").tobytes(), low_id[r].astype("<i8").tobytes())
+                        for salt in range(int(split[cl])):
+                            held.append((cl, salt, *packed))
+                            size += sum(map(len, packed))
+                            if size >= PROBE_BYTES:
+                                yield out()
+                                held, size = [], 0
+        if held:
+            yield out()
+
+    return queries.select(q_id, q_vec, *(["low", "low_id"] if limited else [])).mapInArrow(run, PROBE_SCHEMA)
+
+
+def list_rows(lists: DataFrame, c_id: str, payload: str, to_matrix, salts: np.ndarray) -> DataFrame:
+    """Blocks of up to ``CORPUS_BLOCK`` vectors of one list: ``cluster, salt, c_ids, c_vals``."""
+    model = _broadcast(lists, salts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, n = TaskContext.get().partitionId(), 0
+        task, held, size, made = TaskContext.get().partitionId(), {}, 0, {}
+
+        def out(cl: int, ids: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+            made[cl] = made.get(cl, task) + 1
+            cols = {"cluster": pa.array([cl], pa.int32()), "salt": pa.array([made[cl] % int(model.value[cl])], pa.int32()), "c_ids": [ids.tobytes()], "c_vals": [vals.tobytes()]}
+            return pa.RecordBatch.from_pydict(cols)
+
         for b in batches:
-            ids, cl, vals = b.column(c_id).to_numpy().astype("<i8"), b.column("cluster").to_numpy().astype("<i4"), to_matrix(b.column(payload))
-            for lo in range(0, len(ids), CORPUS_BLOCK):
-                at = slice(lo, lo + CORPUS_BLOCK)
-                cols = {"cblock": f"{task}-{n}", "c_ids": ids[at].tobytes(), "c_lists": cl[at].tobytes(), "c_vals": vals[at].tobytes()}
-                yield pa.RecordBatch.from_pydict({k: [v] for k, v in cols.items()})
-                n += 1
+            ids, cl, vals = b.column(c_id).to_numpy().astype("<i8"), b.column("cluster").to_numpy(), to_matrix(b.column(payload))
+            order = np.argsort(cl, kind="stable")
+            for g in np.split(order, np.flatnonzero(np.diff(cl[order])) + 1):
+                if not len(g):
+                    continue
+                key = int(cl[g[0]])
+                old = held.pop(key, None)
+                i, v = (ids[g], vals[g]) if old is None else (np.concatenate([old[0], ids[g]]), np.concatenate([old[1], vals[g]]))
+                whole = len(i) - len(i) % CORPUS_BLOCK
+                for lo in range(0, whole, CORPUS_BLOCK):
+                    yield out(key, i[lo : lo + CORPUS_BLOCK], v[lo : lo + CORPUS_BLOCK])
+                if whole < len(i):
+                    held[key] = (i[whole:], v[whole:])
+            size = sum(len(i) for i, _ in held.values())
+            if size >= HELD_ROWS:
+                for key in list(held):
+                    yield out(key, *held.pop(key))
+        for key in list(held):
+            yield out(key, *held.pop(key))
+
+    return lists.select(c_id, "cluster", payload).mapInArrow(run, LIST_SCHEMA)
+
+
+def join_lists(probes: DataFrame, blocks: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
+    """Candidates ``(q_id, c_id, score)``: probed lists meet their blocks on (cluster, salt); ``score(row, n, m)`` gives the
+    matrix of a group of n queries and a block of m vectors. A pair of rows emits at most ``k`` per query."""
 
-    return lists.select(c_id, "cluster", payload).mapInArrow(run, "cblock string, c_ids binary, c_lists binary, c_vals binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
+                s = round_half_away(score(r, len(q_ids), len(c_ids)), decimals)
+                low, low_id = np.frombuffer(r["q_low"], "<f8")[:, None], np.frombuffer(r["q_low_id"], "<i8")[:, None]
+                ok = (s > low) | ((s == low) & (c_ids[None, :] <= low_id))
+                if exclude_self:
+                    ok &= q_ids[:, None] != c_ids[None, :]
+                q, c, v = best_of_block(s, q_ids, c_ids, ok, k)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(v)], names=[q_id, c_id, "score"])
+
+    return probes.join(blocks, ["cluster", "salt"]).mapInArrow(run, f"`{q_id}` long, `{c_id}` long, score double")
+
+
+def probed_lists(queries: DataFrame, q_vec: str, c: np.ndarray, nprobe: int, decimals: int | None) -> list[int]:
+    """Lists that any query probes (at most ``nlist`` numbers a task)."""
+    if nprobe >= len(c):
+        return list(range(len(c)))
+    model = _broadcast(queries, c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = np.zeros(len(model.value), dtype=bool)
+        for b in batches:
+            for at in range(0, b.num_rows, MAX_QUERY_BLOCK):
+                hit |= probe_matrix(vectors_of(b.column(q_vec).slice(at, MAX_QUERY_BLOCK)), model.value, nprobe, decimals).any(axis=0)
+        yield pa.RecordBatch.from_pydict({"cluster": np.flatnonzero(hit).astype(np.int32)})
+
+    return sorted(r["cluster"] for r in queries.select(q_vec).mapInArrow(run, "cluster int").distinct().collect())
+
+
+def search_lists(
+    queries: DataFrame, lists: DataFrame, c: np.ndarray, nprobe: int, k: int, q_id: str, q_vec: str, c_id: str, payload: str, to_matrix, score,
+    rows: int, sizes: np.ndarray | None, exclude_self: bool, decimals: int | None,
+) -> DataFrame:
+    """Candidates of the top ``k`` per query in the probed lists. Above ``ONE_PASS_BYTES`` a share of the blocks is scored
+    first; a query's k-th best score there is its lower limit in the pass over all blocks."""
+    salts = salts_of(list_sizes(lists, len(c)) if sizes is None else sizes)
+    probed = probed_lists(queries, q_vec, c, nprobe, decimals)
+    scan = lists.where(F.col("cluster").isin(probed)) if len(probed) < len(c) else lists
+    blocks = list_rows(scan, c_id, payload, to_matrix, salts)
+    mine = queries.select(q_id, q_vec)
+    if planned_bytes(scan) >= ONE_PASS_BYTES:
+        share = blocks.where(F.pmod(F.xxhash64("c_ids"), F.lit(BOUND_SHARE)) == 0)
+        sampled = join_lists(probe_rows(mine, q_id, q_vec, c, nprobe, salts, rows, decimals), share, k, q_id, c_id, score, exclude_self, decimals)
+        lows = final_topk(sampled, k, q_id, c_id, "_r").where(F.col("_r") == k).select(q_id, F.col("score").alias("low"), F.col(c_id).alias("low_id"))
+        mine = cut_lineage(mine.join(lows, q_id, "left"), "query_limits")
+    return join_lists(probe_rows(mine, q_id, q_vec, c, nprobe, salts, rows, decimals), blocks, k, q_id, c_id, score, exclude_self, decimals)
+
+
+def ivf_candidates(
+    queries: DataFrame, lists: DataFrame, centroids: DataFrame, nprobe: int, k: int, q_id: str = "query_id", q_vec: str = "qvec",
+    c_id: str = "Id", c_vec: str = "vec", exclude_self: bool = False, decimals: int | None = None, sizes: np.ndarray | None = None,
+) -> DataFrame:
+    """What reaches the final cut of ``ivf_search``."""
+
+    def score(r: dict, n: int, m: int) -> np.ndarray:
+        return np.frombuffer(r["q_vals"], "<f8").reshape(n, -1) @ np.frombuffer(r["c_vals"], "<f4").reshape(m, -1).astype(np.float64).T
+
+    floats = lists.withColumn(c_vec, F.col(c_vec).cast("array<float>"))
+    to_matrix = lambda col: vectors_of(col).astype("<f4")
+    return search_lists(
+        queries, floats, centroid_matrix(centroids), nprobe, k, q_id, q_vec, c_id, c_vec, to_matrix, score, MAX_QUERY_BLOCK, sizes, exclude_self, decimals
+    )
 
 
 def ivf_search(
@@ -250,22 +371,7 @@ def ivf_search(
     c_id: str = "Id", c_vec: str = "vec", exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None,
 ) -> DataFrame:
     """Exact scores inside the probed lists only. ``lists`` = (Id, cluster, vec)."""
-    c = centroid_matrix(centroids)
-    q_blocks = _probing_blocks(queries, q_id, q_vec, c, nprobe, query_block_rows(c.shape[1], params))
-    probed, nlist = _probed(q_blocks, len(c)), len(c)
-    scan = lists.where(F.col("cluster").isin(probed)) if len(probed) < nlist else lists
-    blocks = _list_blocks(scan.withColumn(c_vec, F.col(c_vec).cast("array<float>")), c_id, c_vec, lambda col: vectors_of(col).astype("<f4"))
-
-    def score(r: dict):
-        n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
-        q, x = np.frombuffer(r["q_vals"], "<f8").reshape(n, -1), np.frombuffer(r["c_vals"], "<f4").reshape(m, -1)
-        probe = np.frombuffer(r["q_probe"], np.uint8).reshape(n, nlist).astype(bool)
-        for cl, cols in _by_list(np.frombuffer(r["c_lists"], "<i4")):
-            rows = np.flatnonzero(probe[:, cl])
-            if len(rows):
-                yield rows, cols, q[rows] @ x[cols].astype(np.float64).T
-
-    return final_topk(bounded_scan(q_blocks, blocks, k, q_id, c_id, score, exclude_self, decimals), k, q_id, c_id)
+    return final_topk(ivf_candidates(queries, lists, centroids, nprobe, k, q_id, q_vec, c_id, c_vec, exclude_self, decimals), k, q_id, c_id)
 
 
 # --- K3 / F9: product quantisation -------------------------------------------------------
@@ -277,24 +383,26 @@ def sub_size(dim: int, m: int) -> int:
     return dim // m
 
 
-def nearest_codes(res: np.ndarray, cb: np.ndarray) -> np.ndarray:
+def nearest_codes(res: np.ndarray, cb: np.ndarray, decimals: int | None = None) -> np.ndarray:
     """Nearest code per sub-space (ties: smallest code), a sub-space at a time. res (n, dim); cb (m, ksub, dsub)."""
     m, _, d = cb.shape
     out = np.empty((len(res), m), dtype=np.int64)
     for j in range(m):
         x, c = res[:, j * d : (j + 1) * d], cb[j]
         dist = (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
-        out[:, j] = np.argmin(round_half_away(dist, DECIMALS), axis=1)
+        out[:, j] = np.argmin(round_half_away(dist, decimals), axis=1)
     return out
 
 
-def train_pq(vectors: DataFrame, centroids: DataFrame, m: int, ksub: int, iters: int, seed: int, id_col: str = "Id", vec_col: str = "vec") -> DataFrame:
+def train_pq(
+    vectors: DataFrame, centroids: DataFrame, m: int, ksub: int, iters: int, seed: int, id_col: str = "Id", vec_col: str = "vec", decimals: int | None = None
+) -> DataFrame:
     """Codebooks (m, code, sub): Lloyd steps in every sub-space over the residuals of all vectors. They start at
     the residuals of the rows with the smallest md5(id | seed); a code left empty keeps its place."""
     c = centroid_matrix(centroids)
     d = sub_size(c.shape[1], m)
     first = _start_rows(vectors, ksub, seed, id_col, vec_col)
-    first = first - c[nearest_list(first, c)]
+    first = first - c[nearest_list(first, c, decimals)]
     if len(first) < ksub:  # fewer vectors than codes: the last code again
         first = np.vstack([first, np.repeat(first[-1:], ksub - len(first), axis=0)])
     cb = first.reshape(ksub, m, d).transpose(1, 0, 2).copy()
@@ -305,21 +413,22 @@ def train_pq(vectors: DataFrame, centroids: DataFrame, m: int, ksub: int, iters:
         def add(b, n, s, model=model):
             cc, books = model.value
             x = vectors_of(b.column(vec_col))
-            res = x - cc[nearest_list(x, cc)]
-            codes = nearest_codes(res, books)
+            res = x - cc[nearest_list(x, cc, decimals)]
+            codes = nearest_codes(res, books, decimals)
             for j in range(m):
-                key = j * ksub + codes[:, j]
-                n += np.bincount(key, minlength=len(n))
-                np.add.at(s, key, res[:, j * d : (j + 1) * d])
+                at = slice(j * ksub, (j + 1) * ksub)
+                n[at] += np.bincount(codes[:, j], minlength=ksub)
+                for t in range(d):
+                    s[at, t] += np.bincount(codes[:, j], weights=res[:, j * d + t], minlength=ksub)
 
-        n, s = _means(data, _per_task(m * ksub, d, add), m * ksub, d)
+        n, s = sums_by_key(data, m * ksub, d, add)
         cb = np.where((n > 0)[:, None], s / np.maximum(n, 1)[:, None], cb.reshape(m * ksub, d)).reshape(m, ksub, d)
         model.unpersist()
     rows = [(j, k, [float(x) for x in cb[j, k]]) for j in range(m) for k in range(ksub)]
     return vectors.sparkSession.createDataFrame(rows, "m int, code int, sub array<double>")
 
 
-def pq_encode(vectors: DataFrame, centroids: DataFrame, codebooks: DataFrame, id_col: str = "Id", vec_col: str = "vec") -> DataFrame:
+def pq_encode(vectors: DataFrame, centroids: DataFrame, codebooks: DataFrame, id_col: str = "Id", vec_col: str = "vec", decimals: int | None = None) -> DataFrame:
     """(Id, codes BINARY, cluster) in one pass: list, residual and codes. One byte a code up to 256 codes, else two."""
     c, cb = centroid_matrix(centroids), codebook_tensor(codebooks)
     sub_size(c.shape[1], cb.shape[0])
@@ -330,8 +439,8 @@ def pq_encode(vectors: DataFrame, centroids: DataFrame, codebooks: DataFrame, id
         cc, books = model.value
         for b in batches:
             x = vectors_of(b.column(vec_col))
-            a = nearest_list(x, cc) if len(x) else np.zeros(0, np.int64)
-            codes = nearest_codes(x - cc[a], books).astype(kind) if len(x) else np.zeros((0, 1), kind)
+            a = nearest_list(x, cc, decimals) if len(x) else np.zeros(0, np.int64)
+            codes = nearest_codes(x - cc[a], books, decimals).astype(kind) if len(x) else np.zeros((0, 1), kind)
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(a.astype(np.int32))], names=[id_col, "codes", "cluster"])
 
     return vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(run, f"`{id_col}` long, codes binary, cluster int")
@@ -341,19 +450,31 @@ def code_type(ksub: int) -> str:
     return "<u1" if ksub <= 256 else "<u2"
 
 
-def compress_index(vectors: DataFrame, nlist: int, m: int, bits: int, iters: int, seed: int, id_col: str = "Id", vec_col: str = "vec", centroids: DataFrame | None = None) -> IvfPq:
-    """Train on all vectors, encode and store: codes partitioned by ``cluster``, centroids and codebooks beside them."""
+def compress_index(
+    vectors: DataFrame, nlist: int, m: int, bits: int, iters: int, seed: int, id_col: str = "Id", vec_col: str = "vec",
+    centroids: DataFrame | None = None, decimals: int | None = None,
+) -> IvfPq:
+    """Train on all vectors, encode and store: codes ranged by ``cluster``, centroids and codebooks beside them."""
     spark = vectors.sparkSession
-    cents = cut_lineage(centroids if centroids is not None else train_kmeans(vectors, vec_col, nlist, iters, seed, id_col), "ivf_centroids")
-    books = cut_lineage(train_pq(vectors, cents, m, 1 << bits, iters, seed, id_col, vec_col), "pq_codebooks")
-    path = new_table_path(spark, "ivfpq_codes")
-    coded = pq_encode(vectors, cents, books, id_col, vec_col)
-    coded.write.mode("overwrite").option("compression", "zstd").partitionBy("cluster").parquet(path)
-    return IvfPq(cents, books, read_codes(spark, path), m, 1 << bits, len(cents.first()["centroid"]), path)
+    cents = cut_lineage(centroids if centroids is not None else train_kmeans(vectors, vec_col, nlist, iters, seed, id_col, decimals), "ivf_centroids")
+    books = cut_lineage(train_pq(vectors, cents, m, 1 << bits, iters, seed, id_col, vec_col, decimals), "pq_codebooks")
+    coded = cut_lineage(pq_encode(vectors, cents, books, id_col, vec_col, decimals), "ivfpq_unsorted")
+    path = write_codes(coded, new_table_path(spark, "ivfpq_codes"))
+    dim = len(cents.first()["centroid"])
+    return IvfPq(cents, books, read_codes(spark, path), m, 1 << bits, dim, path, list_sizes(coded, cents.count()))
+
+
+def write_codes(coded: DataFrame, path: str) -> str:
+    """Codes as files of neighbouring lists, sorted by list and id within, in small row groups. The range takes a hash of the id after the list, so
+    a large list fills several files. At most ``spark.sql.shuffle.partitions`` files, whatever the number of lists and tasks."""
+    parts = max(1, int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = coded.repartitionByRange(parts, F.col("cluster"), F.xxhash64("Id")).sortWithinPartitions("cluster", "Id")
+    dealt.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(4 * 1024 * 1024)).parquet(path)
+    return path
 
 
 def read_codes(spark, path: str, clusters: list[int] | None = None) -> DataFrame:
-    """Stored codes; only the folders of the named lists are read."""
+    """Stored codes; of named lists only the files and row groups whose statistics allow them are read."""
     df = spark.read.schema("Id long, codes binary, cluster int").parquet(path)
     return df if clusters is None else df.where(F.col("cluster").isin(clusters))
 
@@ -361,50 +482,69 @@ def read_codes(spark, path: str, clusters: list[int] | None = None) -> DataFrame
 # --- K4: IVF-PQ search -----------------------------------------------------------------
 
 
-def pq_search(
+def pq_candidates(
     queries: DataFrame, index: IvfPq, nprobe: int, k: int, q_id: str = "query_id", q_vec: str = "qvec", c_id: str = "Id",
-    exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None,
+    exclude_self: bool = False, decimals: int | None = None,
 ) -> DataFrame:
-    """score = q . centroid(list) + sum_m LUT_q[m, code_m], LUT_q[m, j] = q_m . codebook[m, j]."""
+    """What reaches the final cut of ``pq_search``: score = q . centroid(list) + sum_m LUT_q[m, code_m], LUT_q[m, j] = q_m . codebook[m, j]."""
     c, cb = centroid_matrix(index.centroids), codebook_tensor(index.codebooks)
     m, ksub, d = cb.shape
-    nlist = len(c)
-    rows_per = max(1, min(query_block_rows(c.shape[1], params), LUT_BYTES // (m * ksub * 8)))
-    q_blocks = _probing_blocks(queries, q_id, q_vec, c, nprobe, rows_per)
-    probed = _probed(q_blocks, nlist)
-    scan = index.codes.where(F.col("cluster").isin(probed)) if len(probed) < nlist else index.codes
-    kind, model = code_type(ksub), _broadcast(queries, (c, cb))
+    kind, model = code_type(ksub), _broadcast(queries, cb)
     to_matrix = lambda col: np.frombuffer(b"".join(col.to_pylist()), dtype=kind).reshape(len(col), m) if len(col) else np.zeros((0, m), kind)
-    blocks = _list_blocks(scan, c_id, "codes", to_matrix)
     held: dict = {}
 
-    def score(r: dict):
-        cc, books = model.value
-        n, size = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
-        if held.get("key") != (r["qblock"], r["q_ids"]):
+    def score(r: dict, n: int, size: int) -> np.ndarray:
+        if held.get("key") != r["q_vals"]:  # a group of queries meets the blocks of its list one after the other
             q = np.frombuffer(r["q_vals"], "<f8").reshape(n, -1)
-            lut = np.stack([q[:, j * d : (j + 1) * d] @ books[j].T for j in range(m)])  # (m, n, ksub)
-            held.update(key=(r["qblock"], r["q_ids"]), lut=lut, coarse=q @ cc.T, probe=np.frombuffer(r["q_probe"], np.uint8).reshape(n, nlist).astype(bool))
-        codes = np.frombuffer(r["c_vals"], kind).reshape(size, m).astype(np.int64)
-        for cl, cols in _by_list(np.frombuffer(r["c_lists"], "<i4")):
-            rows = np.flatnonzero(held["probe"][:, cl])
-            if len(rows):
-                s = np.repeat(held["coarse"][rows, cl][:, None], len(cols), axis=1)
-                for j in range(m):
-                    s += held["lut"][j][rows][:, codes[cols, j]]
-                yield rows, cols, s
+            held.update(key=r["q_vals"], lut=[q[:, j * d : (j + 1) * d] @ model.value[j].T for j in range(m)])
+        codes = np.frombuffer(r["c_vals"], kind).reshape(size, m)
+        s = np.repeat(np.frombuffer(r["q_coarse"], "<f8")[:, None], size, axis=1)
+        for j in range(m):
+            s += held["lut"][j][:, codes[:, j]]
+        return s
 
-    return final_topk(bounded_scan(q_blocks, blocks, k, q_id, c_id, score, exclude_self, decimals), k, q_id, c_id)
+    rows = max(1, min(MAX_QUERY_BLOCK, LUT_BYTES // (m * ksub * 8)))
+    return search_lists(queries, index.codes, c, nprobe, k, q_id, q_vec, c_id, "codes", to_matrix, score, rows, index.sizes, exclude_self, decimals)
+
+
+def pq_search(
+    queries: DataFrame, index: IvfPq, nprobe: int, k: int, q_id: str = "query_id", q_vec: str = "qvec", c_id: str = "Id",
+    exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None, vectors: DataFrame | None = None, refine: int = 1,
+) -> DataFrame:
+    """Top ``k`` by code score. With ``vectors`` (Id, vec), the best ``refine`` x ``k`` by code score are fetched and ranked by exact score."""
+    most = k * refine if vectors is not None else k
+    hits = final_topk(pq_candidates(queries, index, nprobe, most, q_id, q_vec, c_id, exclude_self, decimals), most, q_id, c_id)
+    return hits if vectors is None else refine_hits(hits, queries, vectors, k, q_id, q_vec, c_id, decimals=decimals)
+
+
+def refine_hits(
+    hits: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "qvec", c_id: str = "Id", c_vec: str = "vec", decimals: int | None = None
+) -> DataFrame:
+    """The hits' stored vectors, fetched by a join on the id, scored exactly: the best ``k`` per query."""
+    floats = vectors.select(c_id, F.col(c_vec).cast("array<float>").alias("_c"))
+    pairs = hits.select(q_id, c_id).join(floats, c_id).join(queries.select(q_id, F.col(q_vec).alias("_q")), q_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = (vectors_of(b.column("_q")) * vectors_of(b.column("_c"))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(q_id), b.column(c_id), pa.array(round_half_away(s, decimals))], names=[q_id, c_id, "score"])
+
+    return final_topk(pairs.select(q_id, c_id, "_q", "_c").mapInArrow(run, f"`{q_id}` long, `{c_id}` long, score double"), k, q_id, c_id)
 
 
 # --- F10 / J1 / A12: evaluation ------------------------------------------------------------
 
 
-def recall_at_k(exact: DataFrame, approx: DataFrame, k: int, q_id: str = "query_id", c_id: str = "Id") -> DataFrame:
-    """Mean overlap of the two top-k id sets per query, / k (semi join, then avg)."""
+def _recall_per_query(exact: DataFrame, approx: DataFrame, k: int, q_id: str, c_id: str) -> DataFrame:
     e = exact.select(q_id, c_id)
     hit = e.join(approx.select(q_id, c_id), [q_id, c_id], "left_semi").groupBy(q_id).agg(F.count(F.lit(1)).alias("h"))
-    per = e.select(q_id).distinct().join(hit, q_id, "left").select(q_id, (F.coalesce("h", F.lit(0)) / F.lit(k)).alias("r"))
+    return e.select(q_id).distinct().join(hit, q_id, "left").select(q_id, (F.coalesce("h", F.lit(0)) / F.lit(k)).alias("r"))
+
+
+def recall_at_k(exact: DataFrame, approx: DataFrame, k: int, q_id: str = "query_id", c_id: str = "Id") -> DataFrame:
+    """Mean overlap of the two top-k id sets per query, / k (semi join, then avg)."""
+    per = _recall_per_query(exact, approx, k, q_id, c_id)
     return per.agg(
         F.count(F.lit(1)).alias("n_queries"),
         F.round(F.avg("r"), 6).alias("recall_at_k"),
@@ -423,3 +563,10 @@ def index_report(index: IvfPq, id_bytes: int = 8) -> DataFrame:
         "n_vectors", F.lit(index.dim).alias("dim"), flat.cast("long").alias("flat_bytes"), "ivfpq_bytes",
         F.round((F.lit(1.0) - F.col("ivfpq_bytes") / flat) * 100, 1).alias("reduction_pct"),
     )
+
+
+def recall_interval(exact: DataFrame, approx: DataFrame, k: int, q_id: str = "query_id", c_id: str = "Id") -> DataFrame:
+    """Recall at ``k`` over a stated query set, with the half width of its 95 % confidence interval (normal approximation)."""
+    per = _recall_per_query(exact, approx, k, q_id, c_id)
+    half = F.lit(1.96) * F.sqrt(F.var_samp("r") / F.count(F.lit(1)))
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("r"), 6).alias("recall"), F.round(half, 6).alias("half_width"))

@@ -9,7 +9,7 @@ text serves the given embeddings and the encoded catalogue.
 from __future__ import annotations
 
 from tomescope.config import DEFAULT as P
-from tomescope.plans.ann_queries import FIXED_NPROBE, NLIST, NPROBE, PQ_BITS, PQ_KSUB, PQ_M, SAMPLE, TOP_K, TRAIN_STEPS
+from tomescope.plans.ann_queries import FIXED_NPROBE, NLIST, NPROBE, PQ_BITS, PQ_KSUB, PQ_M, REFINE, SAMPLE, TOP_K, TRAIN_STEPS
 
 EV = """ev AS (SELECT vec_id AS Id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 ev_rows AS (SELECT Id, label, unnest(range(len(vec))) AS p, unnest(vec) AS x FROM ev)"""
@@ -33,7 +33,7 @@ km0 AS (SELECT cluster, list(x / nrm ORDER BY p) AS centroid FROM km0_rows JOIN
 
 
 def _assign(name: str, v: str, cents: str) -> str:
-    return f"""{name} AS (SELECT Id, cluster FROM (
+    return f"""{name} AS MATERIALIZED (SELECT Id, cluster FROM (
   SELECT e.Id, c.cluster, row_number() OVER (PARTITION BY e.Id ORDER BY round(list_dot_product(e.vec, c.centroid), 6) DESC, c.cluster) AS r
   FROM {v} e CROSS JOIN {cents} c) WHERE r = 1)"""
 
@@ -47,7 +47,7 @@ def kmeans(v: str, rows: str, k: int, steps: int) -> str:
 km{i}_new AS (SELECT cluster, list(x / nrm ORDER BY p) AS centroid FROM km{i}_rows JOIN (
   SELECT cluster, CASE WHEN sqrt(sum(x * x)) = 0 THEN 1 ELSE sqrt(sum(x * x)) END AS nrm FROM km{i}_rows GROUP BY cluster) USING (cluster) GROUP BY cluster),
 km{i} AS MATERIALIZED (SELECT o.cluster, coalesce(n.centroid, o.centroid) AS centroid FROM km{i - 1} o LEFT JOIN km{i}_new n USING (cluster))""")
-    out.append(f"cent AS (SELECT * FROM km{steps}),\ncent_rows AS (SELECT cluster, unnest(range(len(centroid))) AS p, unnest(centroid) AS x FROM cent)")
+    out.append(f"cent AS MATERIALIZED (SELECT * FROM km{steps}),\ncent_rows AS (SELECT cluster, unnest(range(len(centroid))) AS p, unnest(centroid) AS x FROM cent)")
     return ",\n".join(out)
 
 
@@ -68,7 +68,7 @@ cb0 AS (SELECT x.s, k.n AS code, x.p, x.r AS c FROM res_rows x JOIN start_k k ON
         out.append(nearest(f"pa{i}", f"cb{i - 1}"))
         out.append(f"""cb{i}_new AS (SELECT a.s, a.code, r.p, avg(r.r) AS c FROM res_rows r JOIN pa{i} a ON a.Id = r.Id AND a.s = r.s GROUP BY a.s, a.code, r.p),
 cb{i} AS MATERIALIZED (SELECT o.s, o.code, o.p, coalesce(n.c, o.c) AS c FROM cb{i - 1} o LEFT JOIN cb{i}_new n ON n.s = o.s AND n.code = o.code AND n.p = o.p)""")
-    out.append(f"cb_rows AS (SELECT * FROM cb{steps})")
+    out.append(f"cb_rows AS MATERIALIZED (SELECT * FROM cb{steps})")
     out.append(nearest("codes", "cb_rows"))
     return ",\n".join(out)
 
@@ -78,18 +78,25 @@ def pq_scores(q: str, q_rows: str, nprobe: int, k: int, exclude_self: bool) -> s
     own = "WHERE a.Id <> p.query_id" if exclude_self else ""
     return f"""qc AS (SELECT e.Id AS query_id, c.cluster, round(list_dot_product(e.vec, c.centroid), 6) AS s, list_dot_product(e.vec, c.centroid) AS raw
   FROM {q} e CROSS JOIN cent c),
-prb AS (SELECT query_id, cluster, raw FROM (
+prb AS MATERIALIZED (SELECT query_id, cluster, raw FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cluster) AS r FROM qc) WHERE r <= {nprobe}),
-lut AS MATERIALIZED (SELECT q.Id AS query_id, b.s, b.code, sum(q.x * b.c) AS v FROM {q_rows} q JOIN cb_rows b ON b.p = q.p GROUP BY q.Id, b.s, b.code),
-approx AS (
+decoded AS MATERIALIZED (SELECT k.Id, list(b.c ORDER BY b.p) AS r FROM codes k JOIN cb_rows b ON b.s = k.s AND b.code = k.code GROUP BY k.Id),
+pairs AS MATERIALIZED (SELECT p.query_id, p.raw, a.Id FROM prb p JOIN asg a ON a.cluster = p.cluster {own}),
+approx AS MATERIALIZED (
   SELECT query_id, Id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, Id) AS rank FROM (
-      SELECT p.query_id, a.Id, round(min(p.raw) + sum(l.v), 6) AS score
-      FROM prb p JOIN asg a ON a.cluster = p.cluster
-      JOIN codes k ON k.Id = a.Id
-      JOIN lut l ON l.query_id = p.query_id AND l.s = k.s AND l.code = k.code
-      {own}
-      GROUP BY p.query_id, a.Id))
+      SELECT p.query_id, p.Id, round(p.raw + list_dot_product(q.vec, d.r), 6) AS score
+      FROM pairs p JOIN decoded d ON d.Id = p.Id JOIN {q} q ON q.Id = p.query_id))
+  WHERE rank <= {k})"""
+
+
+def refined(q: str, v: str, name: str, k: int) -> str:
+    """CTE ``name``: the hits of ``approx`` ranked by exact score."""
+    return f"""{name} AS (
+  SELECT query_id, Id, score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, Id) AS rank FROM (
+      SELECT a.query_id, a.Id, round(list_dot_product(q.vec, x.vec), 6) AS score
+      FROM approx a JOIN {q} q ON q.Id = a.query_id JOIN {v} x ON x.Id = a.Id))
   WHERE rank <= {k})"""
 
 
@@ -112,17 +119,20 @@ SELECT query_id, Id, score, rank FROM (
 WHERE rank <= {TOP_K}"""
     km = f"WITH {EV}, {kmeans('ev', 'ev_rows', NLIST, TRAIN_STEPS)}"
     pq = f"{km}, {product_quantiser('ev', 'ev_rows', PQ_M, PQ_KSUB, TRAIN_STEPS)}"
-    search = f"{pq}, {pq_scores('ev', 'ev_rows', NPROBE, TOP_K, True)}"
+    search = f"{pq}, {pq_scores('ev', 'ev_rows', NPROBE, TOP_K * REFINE, True)}, {refined('ev', 'ev', 'best', TOP_K)}"
     s["kmeans_train"] = km + "\nSELECT cluster, CAST(p AS INTEGER) AS p, round(x, 6) AS x FROM cent_rows"
     s["pq_train"] = pq + "\nSELECT s AS m, code, CAST(p % (SELECT d FROM dsub) AS INTEGER) AS p, round(c, 6) AS x FROM cb_rows"
     s["pq_encode"] = pq + "\nSELECT Id, cluster, string_agg(CAST(code AS VARCHAR), ',' ORDER BY s) AS codes FROM codes GROUP BY Id, cluster"
-    s["pq_search"] = search + "\nSELECT query_id, Id, score, rank FROM approx"
+    s["pq_search"] = search + "\nSELECT query_id, Id, score, rank FROM best"
     s["train_sample"] = f"SELECT vec_id AS Id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '|{P.seed}') LIMIT {SAMPLE}"
-    s["recall_at_10"] = f"""{search}, {EXACT},
-per_q AS (
+    per_q = f"""per_q AS (
   SELECT e.query_id, CAST(count(a.Id) AS DOUBLE) / {TOP_K} AS r
-  FROM exact e LEFT JOIN approx a ON a.query_id = e.query_id AND a.Id = e.Id
-  GROUP BY e.query_id)
+  FROM exact e LEFT JOIN best a ON a.query_id = e.query_id AND a.Id = e.Id
+  GROUP BY e.query_id)"""
+    s["recall_interval"] = f"""{search}, {EXACT}, {per_q}
+SELECT count(*) AS n_queries, round(avg(r), 6) AS recall, round(1.96 * sqrt(var_samp(r) / count(*)), 6) AS half_width
+FROM per_q WHERE query_id % 50 = 0"""
+    s["recall_at_10"] = f"""{search}, {EXACT}, {per_q}
 SELECT count(*) AS n_queries, round(avg(r), 6) AS recall_at_10, avg(r) >= 0.8 AS passed FROM per_q"""
     code_bytes = PQ_M * (1 if PQ_BITS <= 8 else 2)
     s["index_report"] = f"""WITH n AS (SELECT count(*) AS n, max(len(embedding)) AS dim FROM embeddings),

@@ -413,8 +413,9 @@ d AS (SELECT page_id, stripped, array_to_string(list_transform(range(1, len(part
         "eq AS (SELECT id AS Id, vec FROM qv_dense),\neq_rows AS MATERIALIZED (SELECT Id, unnest(range(len(vec))) AS p, unnest(vec) AS x FROM eq)",
         ann_oracle.kmeans("ev", "ev_rows", IVFPQ.nlist, IVFPQ.kmeans_iter),
         ann_oracle.product_quantiser("ev", "ev_rows", IVFPQ.pq_m, 1 << IVFPQ.pq_bits, IVFPQ.kmeans_iter),
-        ann_oracle.pq_scores("eq", "eq_rows", IVFPQ.nprobe, IVFPQ.k_retrieve, False),
-        "hits AS (SELECT query_id, Id, score AS retrieval_score, rank AS retrieval_rank FROM approx)",
+        ann_oracle.pq_scores("eq", "eq_rows", IVFPQ.nprobe, IVFPQ.k_retrieve * IVFPQ.refine, False),
+        ann_oracle.refined("eq", "ev", "best", IVFPQ.k_retrieve),
+        "hits AS (SELECT query_id, Id, score AS retrieval_score, rank AS retrieval_rank FROM best)",
         FILTERED,
         cut(IVFPQ.k_filtered),
     ]

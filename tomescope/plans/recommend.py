@@ -76,7 +76,7 @@ def build_index(books: DataFrame, params: Params = DEFAULT, encoder: Encoder | N
 
 def compress(index: Index, params: Params = DEFAULT) -> Index:
     """The index with its stitched vectors also as a trained and stored IVF-PQ index."""
-    coded = ann.compress_index(index.stitched, params.nlist, params.pq_m, params.pq_bits, params.kmeans_iter, params.seed)
+    coded = ann.compress_index(index.stitched, params.nlist, params.pq_m, params.pq_bits, params.kmeans_iter, params.seed, decimals=params.score_decimals)
     return replace(index, compressed=coded)
 
 
@@ -108,7 +108,9 @@ def retrieve(prepared: DataFrame, index: Index, params: Params = DEFAULT, encode
     if params.search == "ivfpq":
         if index.compressed is None:
             raise ValueError("the index was built without its compressed form")
-        hits = ann.pq_search(qvec, index.compressed, params.nprobe, params.k_retrieve, params=params, decimals=params.score_decimals)
+        hits = ann.pq_search(
+            qvec, index.compressed, params.nprobe, params.k_retrieve, decimals=params.score_decimals, vectors=index.stitched, refine=params.refine
+        )
     else:
         hits = knn_join(qvec, index.stitched, params.k_retrieve, "query_id", "qvec", "Id", "vec", params=params, decimals=params.score_decimals)
     return hits.withColumnRenamed("score", "retrieval_score").withColumnRenamed("rank", "retrieval_rank")
