@@ -274,3 +274,26 @@ def test_model_sums_shuffle_one_row_per_task_and_key(spark):
     n, s = sums.sums_by_key(df, 7, 6, add)
     assert n.tolist() == [sum(1 for i in range(100) if i % 7 == k) for k in range(7)]
     assert np.allclose(s, [x[k::7].sum(axis=0) for k in range(7)])
+
+
+def test_blocks_out_of_reach_are_skipped_without_loss(spark, monkeypatch):
+    """Clustered vectors: most pairs of a query and a block are never scored, and the result is that of brute force."""
+    monkeypatch.setattr(K, "CORPUS_BLOCK", 32)
+    monkeypatch.setattr(K, "ONE_PASS_BYTES", 0)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(24, 12)) * 4
+    X = (centres[np.arange(2400) % 24] + rng.normal(size=(2400, 12)) * 0.3).astype(np.float32)
+    X[17] = X[41]  # equal scores across blocks
+    df = spark.createDataFrame(pd.DataFrame({"Id": np.arange(2400, dtype=np.int64), "vec": list(X)}), "Id long, vec array<float>").repartition(4)
+    df = cut_lineage(df)
+    q = df.where("Id % 40 = 1").select(F.col("Id").alias("query_id"), F.col("vec").alias("qvec"))
+    for decimals in (None, 6):
+        got = knn_join(q, df, 6, exclude_self=True, decimals=decimals)
+        S = round_half_away(X.astype(np.float64) @ X.astype(np.float64).T, decimals)
+        for r_q, ids in as_lists(got).items():
+            assert ids == [j for _, j in sorted((-S[r_q, j], j) for j in range(2400) if j != r_q)[:6]]
+    r = K.skipped_pairs(q, df, 6, exclude_self=True).first()
+    assert r["block_pairs"] >= 75 and r["query_blocks"] == 60 * r["block_pairs"] / (r["block_pairs"] // 75)
+    assert r["queries_skipped"] > 0.5 * r["query_blocks"], r
+    flat = spark.createDataFrame([(i, [0.0] * 12) for i in range(100)], "Id long, vec array<float>")  # nothing to skip: all scores are equal
+    assert K.skipped_pairs(q, flat, 6).first()["queries_skipped"] == 0

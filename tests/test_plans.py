@@ -71,6 +71,21 @@ def test_written_tables_are_removed(spark):
     assert not os.path.exists(where)
 
 
+def test_searches_have_no_product_of_tables(spark):
+    """The exact search itself, before anything is written away: blocks meet by an equi join."""
+    from tomescope.operators import knn
+    from tomescope.plans import ann_queries as AQ
+
+    v = AQ._vectors(spark, SF_SMALL)
+    for threshold in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            txt = plan(knn.knn_join(AQ._queries(v), v.select("Id", "vec"), 10))
+            assert "CartesianProduct" not in txt and "NestedLoop" not in txt and "Join [_g#" in txt
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_recommend_plan_has_no_cartesian(spark):
     from tomescope.plans import recommend as R
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
-from tomescope.operators.knn import BOUND_SHARE, CORPUS_BLOCK, MAX_QUERY_BLOCK, ONE_PASS_BYTES, best_of_block, final_topk, planned_bytes, round_half_away, vectors_of
+from tomescope.operators.knn import CORPUS_BLOCK, MAX_QUERY_BLOCK, ONE_PASS_BYTES, best_of_block, final_topk, planned_bytes, round_half_away, thinned, vectors_of
 from tomescope.operators.sums import sums_by_key
 from tomescope.session import cut_lineage, new_table_path, ship_package
 
@@ -335,7 +335,7 @@ def search_lists(
     queries: DataFrame, lists: DataFrame, c: np.ndarray, nprobe: int, k: int, q_id: str, q_vec: str, c_id: str, payload: str, to_matrix, score,
     rows: int, sizes: np.ndarray | None, exclude_self: bool, decimals: int | None,
 ) -> DataFrame:
-    """Candidates of the top ``k`` per query in the probed lists. Above ``ONE_PASS_BYTES`` a share of the blocks is scored
+    """Candidates of the top ``k`` per query in the probed lists. Above ``ONE_PASS_BYTES`` a share of the vectors is scored
     first; a query's k-th best score there is its lower limit in the pass over all blocks."""
     salts = salts_of(list_sizes(lists, len(c)) if sizes is None else sizes)
     probed = probed_lists(queries, q_vec, c, nprobe, decimals)
@@ -343,7 +343,7 @@ def search_lists(
     blocks = list_rows(scan, c_id, payload, to_matrix, salts)
     mine = queries.select(q_id, q_vec)
     if planned_bytes(scan) >= ONE_PASS_BYTES:
-        share = blocks.where(F.pmod(F.xxhash64("c_ids"), F.lit(BOUND_SHARE)) == 0)
+        share = list_rows(thinned(scan, c_id), c_id, payload, to_matrix, salts)
         sampled = join_lists(probe_rows(mine, q_id, q_vec, c, nprobe, salts, rows, decimals), share, k, q_id, c_id, score, exclude_self, decimals)
         lows = final_topk(sampled, k, q_id, c_id, "_r").where(F.col("_r") == k).select(q_id, F.col("score").alias("low"), F.col(c_id).alias("low_id"))
         mine = cut_lineage(mine.join(lows, q_id, "left"), "query_limits")

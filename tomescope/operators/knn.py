@@ -1,16 +1,20 @@
-"""Nearest-neighbour joins (E3, I1, I6; the scan side of E4/K4).
+"""Nearest-neighbour joins.
 
 Plan shape, for a query table Q and a corpus C of vectors:
 
 1. Q is packed into blocks of a bounded number of vectors and written to the shared folder. Nothing of Q or C
    goes through the driver.
-2. C is packed into blocks on the fly. Blocks of the two sides meet (one row per pair of blocks, never per pair
-   of vectors) and each pair is scored by one matrix product in an Arrow batch.
-3. Bounds pass: a fixed share of the corpus blocks is scored first; the k-th best score of a query there is a
-   lower limit of its k-th best score overall. The limits travel as one more column of the query blocks.
-4. Main pass: a pair of blocks emits only scores at or above the limit, and at most k per query. With a share
-   of 1/8 about 8 k rows per query reach the final top-k, whatever the number of tasks.
-5. Final cut: a window on the query id, ranked by (score desc, id asc), partial and final WindowGroupLimit.
+2. C is packed once into blocks, each with its centre, the radius around it and the largest norm. A task gathers some
+   blocks' worth of rows and puts like vectors together first, so radii are small where the data has clusters.
+3. Blocks meet by fragment and replicate: every query block has a query group g and goes to all corpus groups h, every corpus
+   block has an h and goes to all g; the two are joined on (g, h). One row per pair of blocks, never per pair
+   of vectors, scored by one matrix product in an Arrow batch.
+4. Bounds pass: a fixed share of the corpus rows, by a hash of the id, is packed and scored first; the k-th best score of a query there
+   is a lower limit of its k-th best score overall. The limits travel as one more column of the query blocks.
+5. Main pass: q . x is at most q . centre + |q| radius and at most |q| times the largest norm, so the queries of a pair of blocks whose
+   limit is above that are left out without loss, and the pair is skipped when none is left. What is scored emits only scores at or
+   above the limit, and at most k per query. With a share of 1/8 about 8 k rows per query reach the final top-k.
+6. Final cut: a window on the query id, ranked by (score desc, id asc), partial and final WindowGroupLimit.
 
 Ids are any 64-bit numbers and scores any finite doubles. ``decimals`` rounds scores before they are ranked (the SQL
 comparison uses 6); by default they are not rounded.
@@ -33,6 +37,8 @@ BOUND_SHARE = 8  # one corpus block in so many is scored in the bounds pass
 ONE_PASS_BYTES = 32 * 1024 * 1024
 CORPUS_BLOCK = 2048
 MAX_QUERY_BLOCK = 512
+GATHERED_BLOCKS = 16  # blocks of rows a task puts in order at a time
+GROUP_BLOCKS = 8  # query blocks of one group
 QUERY_BLOCK = "qblock string, q_ids binary, q_vals binary"
 
 
@@ -71,21 +77,72 @@ def pack_queries(queries: DataFrame, q_id: str, q_vec: str, rows: int, extra: Ca
     return queries.select(q_id, q_vec).mapInArrow(run, QUERY_BLOCK + extra_schema)
 
 
+def _in_order(x: np.ndarray, block: int) -> np.ndarray:
+    """An order of the rows whose runs of ``block`` rows are close together: halved along the line between two far rows, again and again."""
+    if len(x) <= block:
+        return np.arange(len(x))
+    a = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+    b = x[((x - a) ** 2).sum(axis=1).argmax()]
+    order = np.argsort(x @ (b - a), kind="stable")
+    half = -(-len(x) // block) // 2 * block
+    left, right = order[:half], order[half:]
+    return np.concatenate([left[_in_order(x[left], block)], right[_in_order(x[right], block)]])
+
+
 def pack_corpus(corpus: DataFrame, c_id: str, c_vec: str) -> DataFrame:
-    """Corpus blocks: ``cblock, c_ids, c_vals``."""
+    """Corpus blocks: ``cblock, c_ids, c_vals``, and the ball that holds them: ``c_centre, c_radius, c_norm``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, vals = b.column(c_id).to_numpy().astype("<i8"), vectors_of(b.column(c_vec))
-            for lo in range(0, len(ids), CORPUS_BLOCK):
-                cols = {"cblock": f"{task}-{n}", "c_ids": ids[lo : lo + CORPUS_BLOCK].tobytes(), "c_vals": vals[lo : lo + CORPUS_BLOCK].astype("<f4").tobytes()}
+        task, made, held = TaskContext.get().partitionId(), 0, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            ids, vals = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+            order = _in_order(vals, CORPUS_BLOCK)
+            for lo in range(0, len(order), CORPUS_BLOCK):
+                x = vals[order[lo : lo + CORPUS_BLOCK]].astype("<f4").astype(np.float64)
+                centre = x.mean(axis=0)
+                cols = {
+                    "cblock": f"{task}-{made}", "c_ids": ids[order[lo : lo + CORPUS_BLOCK]].tobytes(), "c_vals": x.astype("<f4").tobytes(), "c_centre": centre.astype("<f8").tobytes(),
+                    "c_radius": float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())), "c_norm": float(np.sqrt((x * x).sum(axis=1).max())),
+                }
                 yield pa.RecordBatch.from_pydict({k: [v] for k, v in cols.items()})
-                n += 1
+                made += 1
 
-    return corpus.select(c_id, F.col(c_vec).cast("array<float>").alias(c_vec)).mapInArrow(run, "cblock string, c_ids binary, c_vals binary")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((b.column(c_id).to_numpy().astype("<i8"), vectors_of(b.column(c_vec))))
+            if sum(len(i) for i, _ in held) >= GATHERED_BLOCKS * CORPUS_BLOCK:
+                yield from out()
+                held = []
+        if held:
+            yield from out()
+
+    schema = "cblock string, c_ids binary, c_vals binary, c_centre binary, c_radius double, c_norm double"
+    return corpus.select(c_id, F.col(c_vec).cast("array<float>").alias(c_vec)).mapInArrow(run, schema)
+
+
+def within_reach(q: np.ndarray, r: dict, low: np.ndarray, decimals: int | None) -> np.ndarray:
+    """Rows of ``q`` that may have a score at or above their limit in the corpus block of ``r``. The slack covers rounding."""
+    norms = np.sqrt((q * q).sum(axis=1))
+    most = np.minimum(q @ np.frombuffer(r["c_centre"], "<f8") + norms * r["c_radius"], norms * r["c_norm"])
+    slack = 1e-9 * norms * r["c_norm"] + (0.0 if decimals is None else 10.0**-decimals)
+    return np.flatnonzero(most + slack >= low)
+
+
+def meet(q_blocks: DataFrame, c_blocks: DataFrame) -> DataFrame:
+    """Every pair of blocks once, by an equi join on (query group, corpus group)."""
+    spark = q_blocks.sparkSession
+    q_groups = max(1, -(-q_blocks.count() // GROUP_BLOCKS))
+    c_groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // q_groups)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    q = q_blocks.withColumn("_g", group("qblock", q_groups)).withColumn("_h", every(c_groups))
+    c = c_blocks.withColumn("_h", group("cblock", c_groups)).withColumn("_g", every(q_groups))
+    return q.join(c, ["_g", "_h"]).drop("_g", "_h")
 
 
 def best_of_block(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, allowed: np.ndarray, k: int):
@@ -104,9 +161,9 @@ def best_of_block(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, allo
 
 def scan_pairs(
     q_blocks: DataFrame, c_blocks: DataFrame, k: int, q_id: str, c_id: str,
-    score: Callable[[dict], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], exclude_self: bool, decimals: int | None,
+    score: Callable[[dict, int | None], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], exclude_self: bool, decimals: int | None,
 ) -> DataFrame:
-    """Candidates ``(q_id, c_id, score)`` of all pairs of blocks; ``score(row)`` yields (query rows, item
+    """Candidates ``(q_id, c_id, score)`` of all pairs of blocks; ``score(row, decimals)`` yields (query rows, item
     rows, score matrix) of a pair of blocks. A ``q_low`` column holds the queries' lower limits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +173,7 @@ def scan_pairs(
                 low, low_id = np.full(len(q_ids), -np.inf), np.full(len(q_ids), np.iinfo(np.int64).max)
                 if r.get("q_low") is not None:
                     low, low_id = np.frombuffer(r["q_low"], "<f8"), np.frombuffer(r["q_low_id"], "<i8")
-                for rows, cols, s in score(r):
+                for rows, cols, s in score(r, decimals):
                     s = round_half_away(s, decimals)
                     ok = (s > low[rows][:, None]) | ((s == low[rows][:, None]) & (c_ids[cols][None, :] <= low_id[rows][:, None]))
                     if exclude_self:
@@ -125,7 +182,7 @@ def scan_pairs(
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(v)], names=[q_id, c_id, "score"])
 
-    return q_blocks.crossJoin(c_blocks).mapInArrow(run, f"`{q_id}` long, `{c_id}` long, score double")
+    return meet(q_blocks, c_blocks).mapInArrow(run, f"`{q_id}` long, `{c_id}` long, score double")
 
 
 def with_bounds(q_blocks: DataFrame, sampled: DataFrame, k: int, q_id: str, c_id: str) -> DataFrame:
@@ -170,14 +227,23 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def bounded_scan(q_blocks: DataFrame, c_blocks: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
-    """Bounds pass over a share of the corpus blocks, then the scan of all blocks above the limits. A corpus that the
+    """Bounds pass over an eighth of the corpus blocks, then the scan of all blocks above the limits. A corpus that the
     plan's statistics put below ``ONE_PASS_BYTES`` is a handful of blocks and is scanned once without limits."""
-    if planned_bytes(c_blocks) < ONE_PASS_BYTES:
-        return scan_pairs(q_blocks, c_blocks, k, q_id, c_id, score, exclude_self, decimals)
-    share = c_blocks.where(F.pmod(F.xxhash64("cblock"), F.lit(BOUND_SHARE)) == 0)
+    if planned_bytes(c_blocks) >= ONE_PASS_BYTES:
+        share = c_blocks.where(F.pmod(F.xxhash64("cblock"), F.lit(BOUND_SHARE)) == 0)
+        q_blocks = limits(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals)
+    return scan_pairs(q_blocks, c_blocks, k, q_id, c_id, score, exclude_self, decimals)
+
+
+def limits(q_blocks: DataFrame, share: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
+    """Query blocks with the limits that ``share``, blocks of some of the corpus, gives; written."""
     sampled = scan_pairs(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals)
-    limited = cut_lineage(with_bounds(q_blocks, sampled, k, q_id, c_id), "query_limits")
-    return scan_pairs(limited, c_blocks, k, q_id, c_id, score, exclude_self, decimals)
+    return cut_lineage(with_bounds(q_blocks, sampled, k, q_id, c_id), "query_limits")
+
+
+def thinned(rows: DataFrame, id_col: str) -> DataFrame:
+    """One row in ``BOUND_SHARE`` by a hash of the id: a sample of every region."""
+    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(BOUND_SHARE)) == 0)
 
 
 def query_block_rows(dim: int, params: Params) -> int:
@@ -185,19 +251,50 @@ def query_block_rows(dim: int, params: Params) -> int:
     return max(1, min(MAX_QUERY_BLOCK, params.max_broadcast_bytes // max(dim * 8 + 8, 1)))
 
 
+def dense_scores(r: dict, decimals: int | None = None):
+    """Inner products of the queries of a pair of blocks that their limits leave."""
+    n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
+    q, c = np.frombuffer(r["q_vals"], "<f8").reshape(n, -1), np.frombuffer(r["c_vals"], "<f4").reshape(m, -1)
+    if q.shape[1] != c.shape[1]:
+        raise ValueError("queries and corpus have vectors of different length")
+    rows = np.arange(n)
+    if r.get("q_low") is not None:
+        rows = within_reach(q, r, np.frombuffer(r["q_low"], "<f8"), decimals)
+    if len(rows):
+        yield rows, np.arange(m), q[rows] @ c.astype(np.float64).T
+
+
 def knn_candidates(queries, corpus, k, q_id="query_id", q_vec="qvec", c_id="Id", c_vec="vec", exclude_self=False, params=DEFAULT, decimals=None) -> DataFrame:
     """What reaches the final cut of ``knn_join``: a superset of the top-k of every query."""
     ship_package(corpus.sparkSession)
     q_blocks = cut_lineage(pack_queries(queries, q_id, q_vec, query_block_rows(params.dim, params)), "query_blocks")
 
-    def score(r: dict):
-        n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
-        q, c = np.frombuffer(r["q_vals"], "<f8").reshape(n, -1), np.frombuffer(r["c_vals"], "<f4").reshape(m, -1)
-        if q.shape[1] != c.shape[1]:
-            raise ValueError("queries and corpus have vectors of different length")
-        yield np.arange(n), np.arange(m), q @ c.astype(np.float64).T
+    blocks = pack_corpus(corpus, c_id, c_vec)
+    if planned_bytes(blocks) < ONE_PASS_BYTES:
+        return scan_pairs(q_blocks, blocks, k, q_id, c_id, dense_scores, exclude_self, decimals)
+    limited = limits(q_blocks, pack_corpus(thinned(corpus, c_id), c_id, c_vec), k, q_id, c_id, dense_scores, exclude_self, decimals)
+    return scan_pairs(limited, blocks, k, q_id, c_id, dense_scores, exclude_self, decimals)
+
 
-    return bounded_scan(q_blocks, pack_corpus(corpus, c_id, c_vec), k, q_id, c_id, score, exclude_self, decimals)
+def skipped_pairs(queries, corpus, k, q_id="query_id", q_vec="qvec", c_id="Id", c_vec="vec", exclude_self=False, params=DEFAULT, decimals=None) -> DataFrame:
+    """One row on the main pass of ``knn_join``: ``block_pairs`` and ``blocks_skipped``, ``query_blocks`` (pairs of a query and a corpus block) and ``queries_skipped``."""
+    ship_package(corpus.sparkSession)
+    q_blocks = cut_lineage(pack_queries(queries, q_id, q_vec, query_block_rows(params.dim, params)), "query_blocks")
+    c_blocks = cut_lineage(pack_corpus(corpus, c_id, c_vec), "corpus_blocks")
+    limited = limits(q_blocks, pack_corpus(thinned(corpus, c_id), c_id, c_vec), k, q_id, c_id, dense_scores, exclude_self, decimals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                n = len(r["q_ids"]) // 8
+                left = len(within_reach(np.frombuffer(r["q_vals"], "<f8").reshape(n, -1), r, np.frombuffer(r["q_low"], "<f8"), decimals))
+                out.append((int(left == 0), n, n - left))
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["b", "n", "s"])
+
+    seen = meet(limited, c_blocks).mapInArrow(run, "b long, n long, s long")
+    return seen.agg(F.count(F.lit(1)).alias("block_pairs"), F.sum("b").alias("blocks_skipped"), F.sum("n").alias("query_blocks"), F.sum("s").alias("queries_skipped"))
 
 
 def knn_join(

@@ -141,7 +141,7 @@ def bm25_search(queries: DataFrame, index: Bm25Index, k: int, params: Params = D
     q_blocks = cut_lineage(_query_weight_blocks(query_term_weights(queries, index, text_col, inner=True), 256), "bm25_queries")
     k1, b, avgdl = params.bm25_k1, params.bm25_b, index.avgdl if index.avgdl > 0 else 1.0
 
-    def score(r: dict):
+    def score(r: dict, _):
         n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
         tok, row, idf = np.frombuffer(r["q_tok"], "<i8"), np.frombuffer(r["q_row"], "<i4"), np.frombuffer(r["q_idf"], "<f8")
         order = np.argsort(tok, kind="stable")
