@@ -50,15 +50,6 @@ def test_dedup_does_not_sort_texts(spark):
     assert "Description" not in txt
 
 
-def test_bm25_reads_no_postings_by_token(spark):
-    from tomescope.plans import recommend as R
-
-    idx = R.build_index(tables.books(spark, SF_SMALL), DEFAULT)
-    prep = R.prepare_queries(tables.queries(spark, SF_SMALL)).where("valid")
-    txt = plan(rank.bm25_search(prep.select("query_id", "query_text"), idx.bm25, 20))
-    assert "token" not in txt.split("MapInArrow")[0]
-
-
 def test_written_tables_are_removed(spark):
     import os
 

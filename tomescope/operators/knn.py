@@ -226,15 +226,6 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bounded_scan(q_blocks: DataFrame, c_blocks: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
-    """Bounds pass over an eighth of the corpus blocks, then the scan of all blocks above the limits. A corpus that the
-    plan's statistics put below ``ONE_PASS_BYTES`` is a handful of blocks and is scanned once without limits."""
-    if planned_bytes(c_blocks) >= ONE_PASS_BYTES:
-        share = c_blocks.where(F.pmod(F.xxhash64("cblock"), F.lit(BOUND_SHARE)) == 0)
-        q_blocks = limits(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals)
-    return scan_pairs(q_blocks, c_blocks, k, q_id, c_id, score, exclude_self, decimals)
-
-
 def limits(q_blocks: DataFrame, share: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
     """Query blocks with the limits that ``share``, blocks of some of the corpus, gives; written."""
     sampled = scan_pairs(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals)

@@ -11,15 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomescope.config import DEFAULT, Params
 from tomescope.operators.encode import term_counts
-from tomescope.operators.knn import CORPUS_BLOCK, bounded_scan, final_topk
-from tomescope.session import cut_lineage, ship_package
+from tomescope.operators.knn import final_topk
+from tomescope.session import cut_lineage
 
 # --- BM25 -------------------------------------------------------------------
 
@@ -82,85 +80,92 @@ def bm25_pairs(
     return pairs.join(sums, ["query_id", "Id"], "left").withColumn("bm25", F.coalesce(F.col("bm25"), F.lit(0.0)))
 
 
-def _query_weight_blocks(weights: DataFrame, rows: int) -> DataFrame:
-    """Blocks of query weights: ``qblock, q_ids, q_row, q_tok, q_idf`` (one entry per query and token)."""
-    per = weights.groupBy("query_id").agg(F.collect_list(F.struct(F.xxhash64("token").alias("t"), "idf")).alias("w"))
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        task, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, w = b.column("query_id").to_numpy().astype("<i8"), b.column("w")
-            for lo in range(0, len(ids), rows):
-                part = w.slice(lo, rows)
-                flat, size = part.flatten(), np.diff(part.offsets.to_numpy())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "qblock": [f"{task}-{n}"], "q_ids": [ids[lo : lo + rows].tobytes()], "q_row": [np.repeat(np.arange(len(size)), size).astype("<i4").tobytes()],
-                        "q_tok": [flat.field("t").to_numpy().astype("<i8").tobytes()], "q_idf": [flat.field("idf").to_numpy().astype("<f8").tobytes()],
-                    }
-                )
-                n += 1
-
-    return per.mapInArrow(run, "qblock string, q_ids binary, q_row binary, q_tok binary, q_idf binary")
-
-
-def _document_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: ``cblock, c_ids, c_dl, c_size, c_tok, c_tf``."""
-    hashed = docs.select("Id", "dl", F.transform("terms", lambda x: F.struct(F.xxhash64(x["token"]).alias("t"), x["tf"].alias("tf"))).alias("w"))
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        task, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo in range(0, b.num_rows, CORPUS_BLOCK):
-                part = b.slice(lo, CORPUS_BLOCK)
-                w = part.column("w")
-                flat = w.flatten()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "cblock": [f"{task}-{n}"], "c_ids": [part.column("Id").to_numpy().astype("<i8").tobytes()], "c_dl": [part.column("dl").to_numpy().astype("<f8").tobytes()],
-                        "c_size": [np.diff(w.offsets.to_numpy()).astype("<i8").tobytes()], "c_tok": [flat.field("t").to_numpy().astype("<i8").tobytes()],
-                        "c_tf": [flat.field("tf").to_numpy().astype("<f8").tobytes()],
-                    }
-                )
-                n += 1
-
-    return hashed.mapInArrow(run, "cblock string, c_ids binary, c_dl binary, c_size binary, c_tok binary, c_tf binary")
-
-
-def bm25_search(queries: DataFrame, index: Bm25Index, k: int, params: Params = DEFAULT, text_col: str = "query_text") -> DataFrame:
+# --- BM25 search: inverted lists with block maxima ------------------------------------
+
+POSTINGS = 256  # postings of one block
+SALT_ROWS = 1 << 16  # postings of a token that one window partition orders
+
+
+def build_postings(index: Bm25Index, params: Params = DEFAULT) -> DataFrame:
+    """Inverted lists as a written table: (token, salt, block, ids, impacts, top).
+
+    An impact is a posting's BM25 term without the idf. A token's postings are dealt over a salt for every ``SALT_ROWS`` of them (a
+    stop word goes to many tasks), ordered by impact within the salt, and cut into blocks whose largest impact is ``top``."""
+    spread = index.df.select("token", F.ceil(F.col("df") / F.lit(SALT_ROWS)).cast("int").alias("salts"))
+    terms = index.docs.select("Id", "dl", F.inline("terms")).join(spread, "token")
+    salted = terms.select(
+        "token", "Id", F.pmod(F.xxhash64("Id"), F.col("salts")).cast("int").alias("salt"), bm25_term(F.lit(1.0), F.col("tf"), F.col("dl"), index, params).alias("impact")
+    )
+    order = Window.partitionBy("token", "salt").orderBy(F.desc("impact"), "Id")
+    blocked = salted.withColumn("block", F.floor((F.row_number().over(order) - 1) / F.lit(POSTINGS)).cast("int"))
+    packed = blocked.groupBy("token", "salt", "block").agg(F.collect_list(F.struct("Id", "impact")).alias("p"), F.max("impact").alias("top"))
+    return cut_lineage(packed.select("token", "salt", "block", F.col("p.Id").alias("ids"), F.col("p.impact").alias("impacts"), "top"), "bm25_postings")
+
+
+def _opened(weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, token, Id, part, most): the postings of blocks joined to query tokens. ``weights`` has a row per token, salt and query."""
+    both = weights.join(postings, ["token", "salt"])
+    return both.select("query_id", "token", F.col("idf"), "most", F.inline(F.arrays_zip(F.col("ids").alias("Id"), F.col("impacts").alias("impact")))).select(
+        "query_id", "token", "Id", (F.col("idf") * F.col("impact")).alias("part"), "most"
+    )
+
+
+@dataclass
+class Bm25Plan:
+    """A search over inverted lists, before its postings are opened."""
+
+    weights: DataFrame  # written: (query_id, token, idf, most, salts, others, least, essential)
+    wanted: DataFrame  # (query_id, token, salt, block, ids, impacts, idf, most): blocks that may hold a result
+
+
+def bm25_plan(queries: DataFrame, index: Bm25Index, postings: DataFrame, k: int, params: Params = DEFAULT, text_col: str = "query_text") -> Bm25Plan:
+    """Which blocks of which lists a search has to open.
+
+    1. ``most`` is what a token can add to a score at most (idf x largest impact).
+    2. The first blocks of one salt of each list give partial scores; the k-th best of a query is ``least``, a lower limit of its k-th best score.
+    3. Tokens in order of ``most``: as long as their sum stays below ``least`` they are not essential, a document with only such tokens
+       is no result. Stop words are mostly among them, and their lists stay closed.
+    4. Of an essential list a block is opened if its ``top``, with all other tokens at their most, reaches ``least``."""
+    tops = postings.groupBy("token").agg(F.max("top").alias("top"), (F.max("salt") + 1).alias("salts"))
+    raw = query_term_weights(queries, index, text_col, inner=True).join(tops, "token")
+    raw = cut_lineage(raw.select("query_id", "token", "idf", (F.col("idf") * F.col("top")).alias("most"), "salts"), "bm25_weights")
+    few = postings.where((F.col("salt") == 0) & (F.col("block") <= k // POSTINGS))
+    seen = _opened(raw.withColumn("salt", F.lit(0)), few).groupBy("query_id", "Id").agg(F.sum("part").alias("score"))
+    kth = final_topk(seen, k, "query_id", "Id", "_r").where(F.col("_r") == k).select("query_id", F.col("score").alias("least"))
+    # what rounding of the scores, or the order of their sums, may change
+    slack = 1e-9 if params.score_decimals is None else 10.0**-params.score_decimals
+    by = Window.partitionBy("query_id").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = raw.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-1.0)) - F.lit(slack))
+    w = w.withColumn("others", F.sum("most").over(Window.partitionBy("query_id")) - F.col("most")).withColumn("essential", F.sum("most").over(by) >= F.col("least"))
+    weights = cut_lineage(w, "bm25_plan")
+    mine = weights.where("essential").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    joined = mine.join(postings, ["token", "salt"]).where(F.col("idf") * F.col("top") + F.col("others") >= F.col("least"))
+    return Bm25Plan(weights, joined.select("query_id", "token", "salt", "block", "ids", "impacts", "idf", "most"))
+
+
+def bm25_search(
+    queries: DataFrame, index: Bm25Index, k: int, params: Params = DEFAULT, text_col: str = "query_text", postings: DataFrame | None = None
+) -> DataFrame:
     """Top-k documents per query by BM25 over the whole corpus: (query_id, Id, bm25, bm25_rank).
 
-    Documents and query weights meet in blocks (see ``knn``): the contributions of a pair of blocks are added up inside the
-    task and only each query's best k leave it, so a stop word costs arithmetic, not rows. Tokens are compared by
-    64-bit hashes. Documents without a token of the query are no results."""
-    ship_package(queries.sparkSession)
-    q_blocks = cut_lineage(_query_weight_blocks(query_term_weights(queries, index, text_col, inner=True), 256), "bm25_queries")
-    k1, b, avgdl = params.bm25_k1, params.bm25_b, index.avgdl if index.avgdl > 0 else 1.0
-
-    def score(r: dict, _):
-        n, m = len(r["q_ids"]) // 8, len(r["c_ids"]) // 8
-        tok, row, idf = np.frombuffer(r["q_tok"], "<i8"), np.frombuffer(r["q_row"], "<i4"), np.frombuffer(r["q_idf"], "<f8")
-        order = np.argsort(tok, kind="stable")
-        tok, row, idf = tok[order], row[order], idf[order]
-        doc = np.repeat(np.arange(m), np.frombuffer(r["c_size"], "<i8"))
-        have, tf, dl = np.frombuffer(r["c_tok"], "<i8"), np.frombuffer(r["c_tf"], "<f8"), np.frombuffer(r["c_dl"], "<f8")
-        lo, hi = np.searchsorted(tok, have), np.searchsorted(tok, have, side="right")
-        hit = np.flatnonzero(hi > lo)
-        reps = (hi - lo)[hit]
-        at = np.arange(int(reps.sum())) + np.repeat(lo[hit] - (np.cumsum(reps) - reps), reps)
-        d, t = np.repeat(doc[hit], reps), np.repeat(tf[hit], reps)
-        part = idf[at] * t * (k1 + 1) / (t + k1 * (1 - b + b * dl[d] / avgdl))
-        cell = row[at].astype(np.int64) * m + d
-        s = np.bincount(cell, weights=part, minlength=n * m).reshape(n, m)
-        s[np.bincount(cell, minlength=n * m).reshape(n, m) == 0] = np.nan
-        yield np.arange(n), np.arange(m), s
-
-    found = bounded_scan(q_blocks, _document_blocks(index.docs), k, "query_id", "Id", score, False, params.score_decimals)
-    return final_topk(found, k, "query_id", "Id", "bm25_rank").withColumnRenamed("score", "bm25")
+    Blocks chosen by ``bm25_plan`` are opened; a document found in them whose parts, with the tokens not seen at their most, stay below the query's
+    limit is dropped; the others are scored exactly from their own terms. Documents without a token of the query are no results."""
+    plan = bm25_plan(queries, index, build_postings(index, params) if postings is None else postings, k, params, text_col)
+    opened = plan.wanted.select("query_id", "idf", "most", F.inline(F.arrays_zip(F.col("ids").alias("Id"), F.col("impacts").alias("impact"))))
+    found = opened.groupBy("query_id", "Id").agg(F.sum(F.col("idf") * F.col("impact")).alias("part"), F.sum("most").alias("seen"))
+    limit = plan.weights.groupBy("query_id").agg(F.sum("most").alias("all_most"), F.max("least").alias("least"))
+    able = found.join(limit, "query_id").where(F.col("part") + F.col("all_most") - F.col("seen") >= F.col("least")).select("query_id", "Id")
+    scored = bm25_pairs(cut_lineage(able, "bm25_candidates"), queries, index, params, text_col)
+    ranked = scored.select("query_id", "Id", rounded(F.col("bm25"), params).alias("score"))
+    return final_topk(ranked, k, "query_id", "Id", "bm25_rank").withColumnRenamed("score", "bm25")
+
+
+def postings_opened(plan: Bm25Plan, postings: DataFrame) -> DataFrame:
+    """Per query the postings that a plan opens and those that its tokens have: (query_id, opened, listed)."""
+    size = postings.groupBy("token").agg(F.sum(F.size("ids")).alias("n"))
+    listed = plan.weights.join(size, "token").groupBy("query_id").agg(F.sum("n").alias("listed"))
+    opened = plan.wanted.groupBy("query_id").agg(F.sum(F.size("ids")).alias("opened"))
+    return listed.join(opened, "query_id", "left").select("query_id", F.coalesce("opened", F.lit(0)).alias("opened"), "listed")
 
 
 # --- scaling, blend, cuts ---------------------------------------------------
