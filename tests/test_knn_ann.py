@@ -297,3 +297,47 @@ def test_blocks_out_of_reach_are_skipped_without_loss(spark, monkeypatch):
     assert r["queries_skipped"] > 0.5 * r["query_blocks"], r
     flat = spark.createDataFrame([(i, [0.0] * 12) for i in range(100)], "Id long, vec array<float>")  # nothing to skip: all scores are equal
     assert K.skipped_pairs(q, flat, 6).first()["queries_skipped"] == 0
+
+
+def _chances(ids, seed, step):
+    import hashlib
+
+    return np.array([int(hashlib.md5(f"{i}|{seed}|{step}".encode()).hexdigest()[:13], 16) / 2**52 for i in ids])
+
+
+def test_parallel_seeding_by_brute_force(spark):
+    """Every round takes exactly the rows whose chance lies below their share of the squared distances."""
+    df, X = fixture(spark, n=400)
+    X = ann.unit_rows(X)
+    k, seed, rounds = 6, 5, 3
+    first = df.withColumn("k", ann.sample_key("Id", seed)).orderBy("k").first()["Id"]
+    seeds = X[[first]]
+    for step in range(rounds):
+        gap = np.maximum(0, 2 - 2 * (X @ seeds.T).max(axis=1))
+        take = _chances(range(len(X)), seed, step) < gap * 2 * k / gap.sum()
+        seeds = np.concatenate([seeds, X[take]])
+    seeds = np.unique(seeds, axis=0)
+    weight = np.bincount((X @ seeds.T).argmax(axis=1), minlength=len(seeds)).astype(float)
+    want = ann._plus_plus(seeds, weight, k, np.random.Generator(np.random.PCG64(seed)))
+    got = ann.parallel_seeds(df, "vec", k, seed, rounds=rounds)
+    assert got.shape == (k, X.shape[1]) and np.allclose(got, want)
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "Id long, vec array<float>")
+    assert ann.parallel_seeds(same, "vec", 3, 1).shape == (3, 2)  # one distinct row: repeated
+
+
+def test_empty_lists_are_filled_and_lists_are_even(spark):
+    """Most vectors close together: starting rows by hash leave lists empty or uneven, oversampled seeds and splits do not."""
+    rng = np.random.default_rng(8)
+    far = rng.normal(size=(20, 8)) * 5
+    X = np.concatenate([far[0] + rng.normal(size=(500, 8)) * 0.01, np.repeat(far[:1], 80, axis=0), far[rng.integers(1, 20, 300)] + rng.normal(size=(300, 8)) * 0.2]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"Id": np.arange(len(X), dtype=np.int64), "vec": list(X)}), "Id long, vec array<float>")
+    spread = {}
+    for seeding in ("hash", "parallel"):
+        cents = ann.train_kmeans(df, "vec", 20, 6, 3, seeding=seeding)
+        spread[seeding] = ann.list_spread(ann.assign(df, cents), 20).first()
+        c = ann.centroid_matrix(cents)
+        spread[seeding, "cost"] = float((2 - 2 * (ann.unit_rows(X.astype(float)) @ c.T).max(axis=1)).sum())
+    assert spread["parallel"]["empty"] <= spread["hash"]["empty"] and spread["parallel", "cost"] < spread["hash", "cost"]
+    c, n = np.eye(4), np.array([10, 0, 3, 0])
+    out = ann.split_into_empty(c, n, 1)
+    assert np.allclose(np.linalg.norm(out, axis=1), 1) and all(out[e] @ c[0] > 0.99 for e in (1, 3)) and (out[2] == c[2]).all()

@@ -120,3 +120,36 @@ def test_zero_vector_stays_zero(spark):
     df = spark.createDataFrame([([0.0, 0.0, 0.0],)], "v array<double>")
     r = df.select(l2_normalize("v").alias("n"), dot("v", "v").alias("d")).first()
     assert r["n"] == [0.0, 0.0, 0.0] and r["d"] == 0.0 and not any(math.isnan(x) for x in r["n"])
+
+
+def test_expansion_table_equals_the_dictionary(spark):
+    """The fixed keywords as a table give what the expressions give; keywords inside one another are all found, in order of ord."""
+    from pyspark.sql import functions as F
+
+    from tomescope.functions import text as T
+
+    rows = [(1, "sad romance"), (2, "necromancer tale"), (3, "Sci-Fi"), (4, "none"), (5, None), (6, ""), (7, "FUNNY mystery funny")]
+    q = spark.createDataFrame(rows, "id long, t string")
+    table = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(T.QUERY_EXPANSIONS)], "ord long, keyword string, terms string")
+    got = T.expand_by_table(q, table, "t", T.EXPANSION_MAX_WORDS).withColumn("want", T.expand_query("t")).collect()
+    assert all(r["expanded"] == r["want"] for r in got) and sum(r["expanded"] != r["t"] for r in got if r["t"]) == 4
+    odd = spark.createDataFrame([(9, "ance", "late"), (2, "romance", "love"), (2, "man", "male"), (5, "", "x"), (6, None, "x"), (7, "sad", None), (1, "romance", "first")], table.schema)
+    by = {r["id"]: r["terms_found"] for r in T.expand_by_table(q, odd, "t").collect()}
+    assert by[1] == by[2] == "first male love late" and by[4] == by[6] == by[5] == ""
+    none = T.expand_by_table(q, table.where("false"), "t").where(F.col("expanded") != F.col("t"))
+    assert none.count() == 0
+
+
+def test_quartile_bounds_per_group(spark):
+    from tomescope.operators.clean import iqr_filter
+
+    rows = [(i, "a", i) for i in range(100)] + [(200, "a", 10_000), (201, None, 5), (202, None, 6), (203, "b", None), (204, "c", 7)]
+    got = {r["Id"] for r in iqr_filter(spark.createDataFrame(rows, "Id long, g string, Pages int"), "Pages", ["g"]).collect()}
+    assert got == {*range(100), 201, 202, 204}
+
+
+def test_pages_are_decoded_once(spark):
+    from tomescope.operators.clean import strip_html
+
+    txt = strip_html(spark.createDataFrame([(1, "<p>a &amp; b")], "page_id long, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert txt.count("ArrowEvalPython [") == 1 and txt.count("decode(") == 1

@@ -38,6 +38,7 @@ class Params:
     nprobe: int = 256
     refine: int = 2  # code hits fetched per kept hit and ranked by exact score
     kmeans_iter: int = 20
+    seeding: str = "parallel"  # start of k-means: "parallel" (k-means||, empty lists refilled) or "hash" (rows of smallest md5)
     seed: int = 42
     # --- search path of recommend: "exact" or "ivfpq" ---
     search: str = "exact"

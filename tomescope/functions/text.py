@@ -11,7 +11,7 @@ import re
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -92,6 +92,44 @@ def expand_query(stripped: Column | str, table=QUERY_EXPANSIONS) -> Column:
     ).otherwise(s)
 
 
+EXPANSION_ROWS = 1_000_000  # keywords an expansion table may have
+
+
+def expand_by_table(queries: DataFrame, terms: DataFrame, text_col: str, max_words: int | None = None) -> DataFrame:
+    """``expand_query`` with its keywords in a table (ord, keyword, terms): adds ``terms_found`` and ``expanded``.
+
+    The table becomes one automaton of all keywords, shipped once (its rows are counted and checked first); a text is read once, whatever their
+    number. Terms follow ``ord``, then the keyword. Keywords are lower case; empty or null ones never match. ``max_words``: only texts of fewer words."""
+    import ahocorasick
+
+    rows = terms.where(F.col("keyword").isNotNull() & (F.col("keyword") != "")).select("ord", "keyword", "terms")
+    if (n := rows.count()) > EXPANSION_ROWS:
+        raise ValueError(f"{n} expansion keywords, more than {EXPANSION_ROWS}")
+    words = ahocorasick.Automaton()
+    found_terms = []
+    for r in sorted(rows.collect(), key=lambda r: (r["ord"], r["keyword"])):
+        words.add_word(r["keyword"], [*words.get(r["keyword"], []), len(found_terms)])
+        found_terms.append(r["terms"])
+    if n:
+        words.make_automaton()
+    model = queries.sparkSession.sparkContext.broadcast((words, found_terms))
+
+    @F.pandas_udf("string")
+    def find(texts: pd.Series) -> pd.Series:
+        automaton, all_terms = model.value
+
+        def one(text: str | None) -> str:
+            hits = sorted({i for _, at in automaton.iter(text) for i in at}) if text and len(automaton) else []
+            return " ".join(all_terms[i] for i in hits if all_terms[i] is not None)
+
+        return texts.map(one)
+
+    s = F.col(text_col)
+    short = F.lit(True) if max_words is None else word_count(s) < max_words
+    out = queries.withColumn("terms_found", find(F.lower(s)))
+    return out.withColumn("expanded", F.when(short & (F.col("terms_found") != ""), F.concat(s, F.lit(EXPANSION_SEPARATOR), "terms_found")).otherwise(s))
+
+
 # --- catalogue text (C2-C4) -------------------------------------------------
 
 

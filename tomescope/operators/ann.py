@@ -140,15 +140,107 @@ def nearest_list(x: np.ndarray, c: np.ndarray, decimals: int | None = None) -> n
     return np.argmax(round_half_away(x @ c.T, decimals), axis=1)
 
 
-def train_kmeans(vectors: DataFrame, vec_col: str, k: int, iters: int, seed: int, id_col: str = "Id", decimals: int | None = None) -> DataFrame:
-    """Spherical k-means over all vectors: (cluster, centroid), unit centroids; a list left empty keeps its centroid."""
-    c = unit_rows(_start_rows(vectors, k, seed, id_col, vec_col))
-    return _as_centroids(vectors, lloyd(vectors.select(vec_col), vec_col, c, iters, decimals))
+def train_kmeans(
+    vectors: DataFrame, vec_col: str, k: int, iters: int, seed: int, id_col: str = "Id", decimals: int | None = None, seeding: str = "hash"
+) -> DataFrame:
+    """Spherical k-means over all vectors: (cluster, centroid), unit centroids.
 
+    ``seeding="hash"`` starts at the rows of smallest md5(id | seed) and leaves an empty list where it is. ``"parallel"`` starts at
+    oversampled seeds (``parallel_seeds``) and moves empty lists to halves of the largest ones."""
+    start = parallel_seeds(vectors, vec_col, k, seed, id_col) if seeding == "parallel" else unit_rows(_start_rows(vectors, k, seed, id_col, vec_col))
+    return _as_centroids(vectors, lloyd(vectors.select(vec_col), vec_col, start, iters, decimals, seed if seeding == "parallel" else None))
 
-def lloyd(data: DataFrame, vec_col: str, c: np.ndarray, iters: int, decimals: int | None = None) -> np.ndarray:
-    """``iters`` spherical Lloyd steps from the centroids ``c``."""
-    for _ in range(iters):
+
+SEED_ROUNDS, OVERSAMPLE = 4, 2
+
+
+def _gap(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest of the unit rows ``c`` and the squared distance to it, of unit rows ``x``."""
+    s = x @ c.T
+    at = s.argmax(axis=1)
+    return at, np.maximum(0.0, 2.0 - 2.0 * s[np.arange(len(x)), at])
+
+
+def seed_chance(id_col: str, seed: int, step: int) -> F.Column:
+    """A number in [0, 1) for a row and round, from 52 bits of md5(id | seed | round)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit(str(step)))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def parallel_seeds(vectors: DataFrame, vec_col: str, k: int, seed: int, id_col: str = "Id", rounds: int = SEED_ROUNDS, oversample: int = OVERSAMPLE) -> np.ndarray:
+    """``k`` unit centroids by k-means|| oversampling.
+
+    From the row of smallest md5, each round adds up all squared distances to the seeds so far, then takes every row with chance
+    ``oversample * k`` x its share of that sum: expected ``oversample * k`` rows, so the driver holds some ``rounds * oversample * k`` seeds, whatever the
+    corpus (checked before they are fetched). Seeds are weighted by the rows nearest to them and reduced to ``k`` by weighted k-means++."""
+    seeds = unit_rows(_start_rows(vectors, 1, seed, id_col, vec_col))
+    if not len(seeds):
+        return seeds
+    expected = oversample * k
+    for step in range(rounds):
+        model = _broadcast(vectors, seeds)
+
+        def cost(b, n, s, model=model):
+            n += 1
+            s[0, 0] += _gap(unit_rows(vectors_of(b.column(vec_col))), model.value)[1].sum()
+
+        total = float(sums_by_key(vectors.select(vec_col), 1, 1, cost)[1][0, 0])
+        if total <= 1e-12:
+            break  # every row equals a seed
+
+        def take(batches: Iterator[pa.RecordBatch], model=model, total=total) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    gap = _gap(unit_rows(vectors_of(b.column("v"))), model.value)[1]
+                    yield b.filter(pa.array(b.column("chance").to_numpy() < gap * (expected / total)))
+
+        rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), seed_chance(id_col, seed, step).alias("chance"))
+        taken = cut_lineage(rows.mapInArrow(take, "id long, v array<double>, chance double").select("id", "v"), "kmeans_seeds")
+        _checked(taken.count(), seeds.shape[1], DEFAULT)
+        found = sorted((r["id"], r["v"]) for r in taken.collect())
+        model.unpersist()
+        if found:
+            seeds = np.concatenate([seeds, unit_rows(np.array([v for _, v in found], dtype=np.float64))])
+    seeds = np.unique(seeds, axis=0)
+    if len(seeds) <= k:
+        return np.concatenate([seeds, unit_rows(_start_rows(vectors, k, seed, id_col, vec_col))])[:k]
+    model = _broadcast(vectors, seeds)
+
+    def weigh(b, n, s):
+        n += np.bincount(_gap(unit_rows(vectors_of(b.column(vec_col))), model.value)[0], minlength=len(n))
+
+    weight, _ = sums_by_key(vectors.select(vec_col), len(seeds), 1, weigh)
+    return _plus_plus(seeds, weight.astype(np.float64), k, np.random.Generator(np.random.PCG64(seed)))
+
+
+def _plus_plus(seeds: np.ndarray, weight: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    """Weighted k-means++ over the seeds."""
+    chosen = [int(weight.argmax())]
+    gap = _gap(seeds, seeds[chosen])[1]
+    while len(chosen) < k:
+        share = np.cumsum(weight * gap)
+        at = int(np.searchsorted(share, draw.random() * share[-1], side="right")) if share[-1] > 0 else int(np.setdiff1d(np.arange(len(seeds)), chosen)[0])
+        chosen.append(min(at, len(seeds) - 1))
+        gap = np.minimum(gap, _gap(seeds, seeds[chosen[-1:]])[1])
+    return seeds[chosen]
+
+
+def split_into_empty(c: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """Each empty list moves beside the centroid of the largest list, which moves the other way; the next step parts their vectors."""
+    c, n = c.copy(), n.astype(np.float64)
+    for e in np.flatnonzero(n == 0).tolist():
+        big = int(n.argmax())
+        if n[big] < 2:
+            break
+        step = np.random.Generator(np.random.PCG64([seed, e])).normal(size=c.shape[1])
+        step *= 0.05 / np.linalg.norm(step)
+        c[e], c[big] = unit_rows((c[big] + step)[None])[0], unit_rows((c[big] - step)[None])[0]
+        n[e] = n[big] = n[big] / 2
+    return c
+
+
+def lloyd(data: DataFrame, vec_col: str, c: np.ndarray, iters: int, decimals: int | None = None, split_seed: int | None = None) -> np.ndarray:
+    """``iters`` spherical Lloyd steps from the centroids ``c``; with ``split_seed``, all but the last also fill empty lists."""
+    for step in range(iters):
         model = _broadcast(data, c)
 
         def add(b, n, s, model=model):
@@ -160,6 +252,8 @@ def lloyd(data: DataFrame, vec_col: str, c: np.ndarray, iters: int, decimals: in
 
         n, s = sums_by_key(data, len(c), c.shape[1], add)
         c = np.where((n > 0)[:, None], unit_rows(s / np.maximum(n, 1)[:, None]), c)
+        if split_seed is not None and step + 1 < iters and (n == 0).any():
+            c = split_into_empty(c, n, split_seed + step)
         model.unpersist()
     return c
 
@@ -452,11 +546,11 @@ def code_type(ksub: int) -> str:
 
 def compress_index(
     vectors: DataFrame, nlist: int, m: int, bits: int, iters: int, seed: int, id_col: str = "Id", vec_col: str = "vec",
-    centroids: DataFrame | None = None, decimals: int | None = None,
+    centroids: DataFrame | None = None, decimals: int | None = None, seeding: str = "hash",
 ) -> IvfPq:
     """Train on all vectors, encode and store: codes ranged by ``cluster``, centroids and codebooks beside them."""
     spark = vectors.sparkSession
-    cents = cut_lineage(centroids if centroids is not None else train_kmeans(vectors, vec_col, nlist, iters, seed, id_col, decimals), "ivf_centroids")
+    cents = cut_lineage(centroids if centroids is not None else train_kmeans(vectors, vec_col, nlist, iters, seed, id_col, decimals, seeding), "ivf_centroids")
     books = cut_lineage(train_pq(vectors, cents, m, 1 << bits, iters, seed, id_col, vec_col, decimals), "pq_codebooks")
     coded = cut_lineage(pq_encode(vectors, cents, books, id_col, vec_col, decimals), "ivfpq_unsorted")
     path = write_codes(coded, new_table_path(spark, "ivfpq_codes"))
@@ -570,3 +664,12 @@ def recall_interval(exact: DataFrame, approx: DataFrame, k: int, q_id: str = "qu
     per = _recall_per_query(exact, approx, k, q_id, c_id)
     half = F.lit(1.96) * F.sqrt(F.var_samp("r") / F.count(F.lit(1)))
     return per.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("r"), 6).alias("recall"), F.round(half, 6).alias("half_width"))
+
+
+def list_spread(lists: DataFrame, nlist: int) -> DataFrame:
+    """How evenly vectors lie in their lists: (lists, empty, largest, imbalance); imbalance = lists x sum of squared shares (1: even)."""
+    per = lists.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    square = F.sum(F.col("n").cast("double") * F.col("n")) / (F.sum("n").cast("double") * F.sum("n"))
+    return per.agg(
+        F.lit(nlist).alias("lists"), (F.lit(nlist) - F.count(F.lit(1))).cast("int").alias("empty"), F.max("n").alias("largest"), F.round(square * nlist, 6).alias("imbalance")
+    )

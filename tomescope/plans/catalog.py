@@ -22,7 +22,7 @@ from tomescope.sources import store, tables
 
 P = DEFAULT.with_(score_decimals=SCORE_DECIMALS)  # the SQL comparison rounds scores before it ranks them
 SMALL = P.with_(k_retrieve=200, k_filtered=100)  # cuts that cut at every table size
-IVFPQ = SMALL.with_(search="ivfpq", nlist=16, pq_m=64, pq_bits=6, kmeans_iter=2, nprobe=4)
+IVFPQ = SMALL.with_(search="ivfpq", nlist=16, pq_m=64, pq_bits=6, kmeans_iter=2, nprobe=4, seeding="hash")
 
 
 def _books(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +94,12 @@ def outlier_filter(spark, sf):
     return clean.outlier_filter(_books(spark, sf))
 
 
+def iqr_filter(spark, sf):
+    """B2 with bounds from the data: page counts within 1.5 interquartile ranges of the quartiles of their source."""
+    books = _books(spark, sf).withColumn("shelf", F.substring_index("Authors", "-", 1))
+    return clean.iqr_filter(books, "Pages", ["shelf"]).select("Id", "shelf", "Pages", "low", "high")
+
+
 def dedup_books(spark, sf):
     return clean.dedup_books(_books(spark, sf)).select("Id", "Name", "Authors", "Rating")
 
@@ -113,6 +119,16 @@ def expand_queries(spark, sf):
     return _prepared(spark, sf).select("query_id", "stripped", "n_words", "expanded", "was_expanded")
 
 
+def expand_by_table(spark, sf):
+    """C9 with the terms in a table: (ord, keyword, terms), here the first words of the documents."""
+    word = lambda n: F.lower(F.regexp_extract("text", r"^\W*([A-Za-z]+)\W+([A-Za-z]+)", n))
+    rows = tables.read_table(spark, sf, "documents").select("doc_id", word(1).alias("keyword"), word(2).alias("terms"))
+    first = rows.where(F.length("keyword") >= 4).groupBy("keyword").agg(F.min(F.struct("doc_id", "terms")).alias("f"))
+    terms = first.select(F.col("f.doc_id").alias("ord"), "keyword", F.col("f.terms").alias("terms"))
+    prepared = _prepared(spark, sf).select("query_id", "stripped")
+    return T.expand_by_table(prepared, terms, "stripped").select("query_id", "terms_found", "expanded")
+
+
 def valid_queries(spark, sf):
     return _prepared(spark, sf).where("valid").select("query_id", "stripped")
 
@@ -307,6 +323,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_zstd_roundtrip": csv_zstd_roundtrip,
         "strip_html": strip_html,
         "outlier_filter": outlier_filter,
+        "iqr_filter": iqr_filter,
+        "expand_by_table": expand_by_table,
         "dedup_books": dedup_books,
         "rating_text": rating_text,
         "stitch_text": stitch_text,

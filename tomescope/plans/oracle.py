@@ -337,6 +337,18 @@ d AS (SELECT page_id, stripped, array_to_string(list_transform(range(1, len(part
     decoded = "decoded"
     clean_text = strip(f"regexp_replace({decoded}, '{PY_WS}+', ' ', 'g')")
     s["strip_html"] = decoded_cte + f"SELECT page_id, stripped, decoded, {clean_text} AS clean_text FROM d"
+    s["iqr_filter"] = with_(BOOKS) + """SELECT b.Id, b.shelf, b.Pages, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high
+FROM (SELECT *, CASE WHEN instr(Authors, '-') = 0 THEN Authors ELSE split_part(Authors, '-', 1) END AS shelf FROM books_v) b
+JOIN (SELECT CASE WHEN instr(Authors, '-') = 0 THEN Authors ELSE split_part(Authors, '-', 1) END AS shelf,
+  CAST(quantile_disc(Pages, 0.25) AS DOUBLE) AS q1, CAST(quantile_disc(Pages, 0.75) AS DOUBLE) AS q3 FROM books_v WHERE Pages IS NOT NULL GROUP BY 1) g
+ON b.shelf IS NOT DISTINCT FROM g.shelf WHERE b.Pages BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"""
+    s["expand_by_table"] = with_(QUERIES, """w AS (SELECT doc_id, lower(regexp_extract(text, '^\\W*([A-Za-z]+)\\W+([A-Za-z]+)', 1)) AS keyword,
+  lower(regexp_extract(text, '^\\W*([A-Za-z]+)\\W+([A-Za-z]+)', 2)) AS terms FROM documents),
+terms AS (SELECT keyword, min(doc_id) AS ord, arg_min(terms, doc_id) AS terms FROM w WHERE length(keyword) >= 4 GROUP BY keyword)""") + (
+        f"SELECT query_id, terms_found, CASE WHEN terms_found <> '' THEN stripped || {q(EXPANSION_SEPARATOR)} || terms_found ELSE stripped END AS expanded FROM ("
+        "SELECT q.query_id, any_value(q.stripped) AS stripped, coalesce(string_agg(t.terms, ' ' ORDER BY t.ord), '') AS terms_found "
+        "FROM qprep q LEFT JOIN terms t ON contains(lower(q.stripped), t.keyword) GROUP BY q.query_id)"
+    )
     s["outlier_filter"] = with_(BOOKS) + "SELECT * FROM books_v WHERE Pages BETWEEN 1 AND 2000"
     s["dedup_books"] = with_(BOOKS) + (
         "SELECT Id, Name, Authors, Rating FROM ("

@@ -76,7 +76,9 @@ def build_index(books: DataFrame, params: Params = DEFAULT, encoder: Encoder | N
 
 def compress(index: Index, params: Params = DEFAULT) -> Index:
     """The index with its stitched vectors also as a trained and stored IVF-PQ index."""
-    coded = ann.compress_index(index.stitched, params.nlist, params.pq_m, params.pq_bits, params.kmeans_iter, params.seed, decimals=params.score_decimals)
+    coded = ann.compress_index(
+        index.stitched, params.nlist, params.pq_m, params.pq_bits, params.kmeans_iter, params.seed, decimals=params.score_decimals, seeding=params.seeding
+    )
     return replace(index, compressed=coded)
 
 
