@@ -36,7 +36,7 @@ class Params:
     pq_m: int = 96
     pq_bits: int = 8
     nprobe: int = 256
-    refine: int = 2  # code hits fetched per kept hit and ranked by exact score
+    refine: int = 1  # code hits per kept hit that are fetched and ranked by exact score (1: code scores as they are)
     kmeans_iter: int = 20
     seeding: str = "parallel"  # start of k-means: "parallel" (k-means||, empty lists refilled) or "hash" (rows of smallest md5)
     seed: int = 42

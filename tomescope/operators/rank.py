@@ -83,6 +83,7 @@ def bm25_pairs(
 # --- BM25 search: inverted lists with block maxima ------------------------------------
 
 POSTINGS = 256  # postings of one block
+FIRST_GUESSES = 4  # documents scored in full for the limit, times k
 SALT_ROWS = 1 << 16  # postings of a token that one window partition orders
 
 
@@ -122,7 +123,8 @@ def bm25_plan(queries: DataFrame, index: Bm25Index, postings: DataFrame, k: int,
     """Which blocks of which lists a search has to open.
 
     1. ``most`` is what a token can add to a score at most (idf x largest impact).
-    2. The first blocks of one salt of each list give partial scores; the k-th best of a query is ``least``, a lower limit of its k-th best score.
+    2. The first blocks of one salt of each list give partial scores; the best few documents by them are scored in full, and the k-th best of
+       these is ``least``, a lower limit of the query's k-th best score.
     3. Tokens in order of ``most``: as long as their sum stays below ``least`` they are not essential, a document with only such tokens
        is no result. Stop words are mostly among them, and their lists stay closed.
     4. Of an essential list a block is opened if its ``top``, with all other tokens at their most, reaches ``least``."""
@@ -131,7 +133,9 @@ def bm25_plan(queries: DataFrame, index: Bm25Index, postings: DataFrame, k: int,
     raw = cut_lineage(raw.select("query_id", "token", "idf", (F.col("idf") * F.col("top")).alias("most"), "salts"), "bm25_weights")
     few = postings.where((F.col("salt") == 0) & (F.col("block") <= k // POSTINGS))
     seen = _opened(raw.withColumn("salt", F.lit(0)), few).groupBy("query_id", "Id").agg(F.sum("part").alias("score"))
-    kth = final_topk(seen, k, "query_id", "Id", "_r").where(F.col("_r") == k).select("query_id", F.col("score").alias("least"))
+    best = cut_lineage(final_topk(seen, FIRST_GUESSES * k, "query_id", "Id", "_r").select("query_id", "Id"), "bm25_first")
+    whole = bm25_pairs(best, queries, index, params, text_col).withColumnRenamed("bm25", "score")
+    kth = final_topk(whole, k, "query_id", "Id", "_r").where(F.col("_r") == k).select("query_id", F.col("score").alias("least"))
     # what rounding of the scores, or the order of their sums, may change
     slack = 1e-9 if params.score_decimals is None else 10.0**-params.score_decimals
     by = Window.partitionBy("query_id").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -22,7 +22,7 @@ from tomescope.sources import store, tables
 
 P = DEFAULT.with_(score_decimals=SCORE_DECIMALS)  # the SQL comparison rounds scores before it ranks them
 SMALL = P.with_(k_retrieve=200, k_filtered=100)  # cuts that cut at every table size
-IVFPQ = SMALL.with_(search="ivfpq", nlist=16, pq_m=64, pq_bits=6, kmeans_iter=2, nprobe=4, seeding="hash")
+IVFPQ = SMALL.with_(search="ivfpq", nlist=16, pq_m=64, pq_bits=6, kmeans_iter=2, nprobe=4, refine=2, seeding="hash")
 
 
 def _books(spark: SparkSession, sf: str) -> DataFrame:

@@ -110,9 +110,8 @@ def retrieve(prepared: DataFrame, index: Index, params: Params = DEFAULT, encode
     if params.search == "ivfpq":
         if index.compressed is None:
             raise ValueError("the index was built without its compressed form")
-        hits = ann.pq_search(
-            qvec, index.compressed, params.nprobe, params.k_retrieve, decimals=params.score_decimals, vectors=index.stitched, refine=params.refine
-        )
+        fetched = index.stitched if params.refine > 1 else None
+        hits = ann.pq_search(qvec, index.compressed, params.nprobe, params.k_retrieve, decimals=params.score_decimals, vectors=fetched, refine=params.refine)
     else:
         hits = knn_join(qvec, index.stitched, params.k_retrieve, "query_id", "qvec", "Id", "vec", params=params, decimals=params.score_decimals)
     return hits.withColumnRenamed("score", "retrieval_score").withColumnRenamed("rank", "retrieval_rank")
