@@ -16,6 +16,7 @@ KEYS = [
     "minmax_blend", "author_dedup", "mmr_top5", "result_cards", "ivf_search", "pq_encode", "pq_search",
     "recall_at_10", "index_report", "kmeans_train", "pq_train", "train_sample", "rejected_queries", "no_match_queries", "stars",
     "result_cards_small", "result_cards_ivfpq", "rejected_results", "encode_model", "model_recommend",
+    "iqr_filter", "expand_by_table", "recall_interval",
 ]
 
 
