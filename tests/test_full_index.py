@@ -31,3 +31,24 @@ def test_full_search_by_brute_force(spark, monkeypatch):
         mine = [got[q["Id"]][k] for k in range(1, A.TOP_K + 1)]
         assert np.allclose([s for _, s in mine], [-s for s, _ in scores], atol=2e-6)
         assert all(abs(float(stored[i][1] @ x) - s) < 2e-6 for i, s in mine)
+
+
+def test_recall_of_the_compressed_funnel(spark):
+    """A quarter of the lists and four dimensions a code, refined: what ``result_cards_ivfpq`` retrieves."""
+    from pyspark.sql import functions as F
+
+    from tomescope.operators import ann
+    from tomescope.plans import catalog as C
+    from tomescope.plans import recommend as R
+    from tomescope.session import cut_lineage
+
+    idx, prep = C._index(spark, SF_ORACLE, C.IVFPQ), C._prepared(spark, SF_ORACLE, C.IVFPQ)
+    exact = cut_lineage(R.retrieve(prep, idx, C.IVFPQ.with_(search="exact")), "exact")
+    found = cut_lineage(R.retrieve(prep, idx, C.IVFPQ), "found")
+    for k, least in ((10, 0.9), (200, 0.85)):
+        cut = F.col("retrieval_rank") <= k
+        assert ann.recall_at_k(exact.where(cut), found.where(cut), k).first()["recall_at_k"] >= least
+
+
+def test_registered_recall(spark):
+    assert E.queries()["recall_at_10"](spark, SF_ORACLE).first()["recall_at_10"] >= 0.9
