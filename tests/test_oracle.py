@@ -17,6 +17,7 @@ KEYS = [
     "recall_at_10", "index_report", "kmeans_train", "pq_train", "train_sample", "rejected_queries", "no_match_queries", "stars",
     "result_cards_small", "result_cards_ivfpq", "rejected_results", "encode_model", "model_recommend",
     "iqr_filter", "expand_by_table", "recall_interval",
+    "encode_chunks", "knn_chunks_top10", "chunk_retrieval",
 ]
 
 

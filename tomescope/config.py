@@ -28,6 +28,7 @@ class Params:
     max_pages_default: int = 800
     # --- encoder ---
     dim: int = 256
+    chunk_tokens: int = 0  # retrieval vectors are of chunks of so many tokens, a book counts by its best one (0: of whole texts)
     # --- BM25 ---
     bm25_k1: float = 1.2
     bm25_b: float = 0.75

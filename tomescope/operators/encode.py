@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tomescope.functions.vectors import ZERO_NORM_GUARD
 
 TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
+CHUNK_TOKENS = 64
 
 
 def tokens(text: Column | str) -> Column:
@@ -46,6 +47,44 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, keep_empty: bool =
     )
 
 
+def chunk_texts(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_TOKENS) -> DataFrame:
+    """(id, chunk, text): every text cut after each ``size`` tokens, numbered from 0. The chunks of a text with tokens joined again give
+    the whole text; a text without a token, or null, is one empty chunk. One scan of the text, no shuffle."""
+    if size < 1:
+        raise ValueError("a chunk has at least one token")
+    pattern = r"((?:\A[^\p{L}\p{N}]*)?(?:[\p{L}\p{N}]+[^\p{L}\p{N}]*){1,%d})" % size
+    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 1)
+    cut = docs.select(F.col(id_col), F.posexplode_outer(parts).alias("chunk", "_part"))
+    return cut.select(id_col, F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("_part", F.lit("")).alias("text"))
+
+
+def chunk_counts(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_TOKENS) -> DataFrame:
+    """Term counts of chunks, made with ``keep_empty``; ``_id`` is a struct of the id and ``chunk``."""
+    keyed = chunk_texts(docs, id_col, text_col, size).select(F.struct(id_col, "chunk").alias("_key"), "text")
+    return term_counts(keyed, "_key", "text", keep_empty=True)
+
+
+def stats_of_chunks(counts: DataFrame, id_col: str, n_docs: int) -> TokenStats:
+    """Document statistics, those of the whole texts, from ``chunk_counts``."""
+    tokens_of = counts.where(F.col("token").isNotNull()).select(F.col("_id")[id_col].alias("_doc"), "token").distinct()
+    return TokenStats(tokens_of.groupBy("token").agg(F.count(F.lit(1)).alias("df")), n_docs)
+
+
+def dense_chunks(counts: DataFrame, id_col: str, dim: int, stats: TokenStats | None = None, out_col: str = "vec") -> DataFrame:
+    """(id, chunk, vec): a unit vector per chunk from ``chunk_counts``."""
+    return unkeyed(dense_from_counts(counts, "_key", dim, stats, out_col), id_col, out_col)
+
+
+def unkeyed(vectors: DataFrame, id_col: str, out_col: str) -> DataFrame:
+    return vectors.select(F.col("_key")[id_col].alias(id_col), F.col("_key")["chunk"].alias("chunk"), out_col)
+
+
+def encode_chunks(docs: DataFrame, id_col: str, text_col: str, encoder: Callable, size: int = CHUNK_TOKENS, out_col: str = "vec") -> DataFrame:
+    """(id, chunk, vec) by any encoder ``(docs, id column, text column, vector column)``, such as that of ``model_encoder``."""
+    keyed = chunk_texts(docs, id_col, text_col, size).select(F.struct(id_col, "chunk").alias("_key"), "text")
+    return unkeyed(encoder(keyed, "_key", "text", out_col), id_col, out_col)
+
+
 @dataclass
 class TokenStats:
     """Corpus statistics the IDF weights come from: ``df`` per token and ``n_docs``."""

@@ -159,12 +159,21 @@ def best_of_block(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, allo
     return q_ids[row], c_ids[col], scores[row, col]
 
 
+def best_of_items(scores: np.ndarray, c_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score matrix and ids with one column per id: the best of the columns that share it."""
+    order = np.argsort(c_ids, kind="stable")
+    ids, first = np.unique(c_ids[order], return_index=True)
+    return np.maximum.reduceat(scores[:, order], first, axis=1), ids
+
+
 def scan_pairs(
     q_blocks: DataFrame, c_blocks: DataFrame, k: int, q_id: str, c_id: str,
     score: Callable[[dict, int | None], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], exclude_self: bool, decimals: int | None,
+    repeated: bool = False,
 ) -> DataFrame:
     """Candidates ``(q_id, c_id, score)`` of all pairs of blocks; ``score(row, decimals)`` yields (query rows, item
-    rows, score matrix) of a pair of blocks. A ``q_low`` column holds the queries' lower limits."""
+    rows, score matrix) of a pair of blocks. A ``q_low`` column holds the queries' lower limits. With ``repeated`` an id
+    may have several vectors and counts by its best one: within a block here, over all blocks by ``best_per_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,11 +183,13 @@ def scan_pairs(
                 if r.get("q_low") is not None:
                     low, low_id = np.frombuffer(r["q_low"], "<f8"), np.frombuffer(r["q_low_id"], "<i8")
                 for rows, cols, s in score(r, decimals):
-                    s = round_half_away(s, decimals)
-                    ok = (s > low[rows][:, None]) | ((s == low[rows][:, None]) & (c_ids[cols][None, :] <= low_id[rows][:, None]))
+                    s, items = round_half_away(s, decimals), c_ids[cols]
+                    if repeated and len(items):
+                        s, items = best_of_items(s, items)
+                    ok = (s > low[rows][:, None]) | ((s == low[rows][:, None]) & (items[None, :] <= low_id[rows][:, None]))
                     if exclude_self:
-                        ok &= q_ids[rows][:, None] != c_ids[cols][None, :]
-                    q, c, v = best_of_block(s, q_ids[rows], c_ids[cols], ok, k)
+                        ok &= q_ids[rows][:, None] != items[None, :]
+                    q, c, v = best_of_block(s, q_ids[rows], items, ok, k)
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(v)], names=[q_id, c_id, "score"])
 
@@ -221,14 +232,21 @@ def final_topk(partial: DataFrame, k: int, q_id: str, c_id: str, rank_col: str =
     return partial.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def best_per_id(partial: DataFrame, q_id: str, c_id: str) -> DataFrame:
+    """One row per query and item, its best score. Partitioned by query alone, as the final cut needs it: one exchange for both."""
+    return partial.repartition(q_id).groupBy(q_id, c_id).agg(F.max("score").alias("score"))
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Size of ``df`` by the optimizer's statistics; no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def limits(q_blocks: DataFrame, share: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None) -> DataFrame:
-    """Query blocks with the limits that ``share``, blocks of some of the corpus, gives; written."""
-    sampled = scan_pairs(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals)
+def limits(q_blocks: DataFrame, share: DataFrame, k: int, q_id: str, c_id: str, score, exclude_self: bool, decimals: int | None, repeated: bool = False) -> DataFrame:
+    """Query blocks with the limits that ``share``, blocks of some of the corpus, gives; written. With ``repeated`` the share
+    has all or none of the vectors of an id."""
+    sampled = scan_pairs(q_blocks, share, k, q_id, c_id, score, exclude_self, decimals, repeated)
+    sampled = best_per_id(sampled, q_id, c_id) if repeated else sampled
     return cut_lineage(with_bounds(q_blocks, sampled, k, q_id, c_id), "query_limits")
 
 
@@ -255,16 +273,16 @@ def dense_scores(r: dict, decimals: int | None = None):
         yield rows, np.arange(m), q[rows] @ c.astype(np.float64).T
 
 
-def knn_candidates(queries, corpus, k, q_id="query_id", q_vec="qvec", c_id="Id", c_vec="vec", exclude_self=False, params=DEFAULT, decimals=None) -> DataFrame:
+def knn_candidates(queries, corpus, k, q_id="query_id", q_vec="qvec", c_id="Id", c_vec="vec", exclude_self=False, params=DEFAULT, decimals=None, repeated=False) -> DataFrame:
     """What reaches the final cut of ``knn_join``: a superset of the top-k of every query."""
     ship_package(corpus.sparkSession)
     q_blocks = cut_lineage(pack_queries(queries, q_id, q_vec, query_block_rows(params.dim, params)), "query_blocks")
 
     blocks = pack_corpus(corpus, c_id, c_vec)
     if planned_bytes(blocks) < ONE_PASS_BYTES:
-        return scan_pairs(q_blocks, blocks, k, q_id, c_id, dense_scores, exclude_self, decimals)
-    limited = limits(q_blocks, pack_corpus(thinned(corpus, c_id), c_id, c_vec), k, q_id, c_id, dense_scores, exclude_self, decimals)
-    return scan_pairs(limited, blocks, k, q_id, c_id, dense_scores, exclude_self, decimals)
+        return scan_pairs(q_blocks, blocks, k, q_id, c_id, dense_scores, exclude_self, decimals, repeated)
+    limited = limits(q_blocks, pack_corpus(thinned(corpus, c_id), c_id, c_vec), k, q_id, c_id, dense_scores, exclude_self, decimals, repeated)
+    return scan_pairs(limited, blocks, k, q_id, c_id, dense_scores, exclude_self, decimals, repeated)
 
 
 def skipped_pairs(queries, corpus, k, q_id="query_id", q_vec="qvec", c_id="Id", c_vec="vec", exclude_self=False, params=DEFAULT, decimals=None) -> DataFrame:
@@ -290,8 +308,9 @@ def skipped_pairs(queries, corpus, k, q_id="query_id", q_vec="qvec", c_id="Id",
 
 def knn_join(
     queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "qvec", c_id: str = "Id", c_vec: str = "vec",
-    exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None,
+    exclude_self: bool = False, params: Params = DEFAULT, decimals: int | None = None, repeated: bool = False,
 ) -> DataFrame:
-    """Exact top-k by inner product: (q_id, c_id, score, rank)."""
-    found = knn_candidates(queries, corpus, k, q_id, q_vec, c_id, c_vec, exclude_self, params, decimals)
-    return final_topk(found, k, q_id, c_id)
+    """Exact top-k by inner product: (q_id, c_id, score, rank). With ``repeated`` an id of the corpus may have several
+    vectors (chunks of a text); its best one counts, and the k are k different ids."""
+    found = knn_candidates(queries, corpus, k, q_id, q_vec, c_id, c_vec, exclude_self, params, decimals, repeated)
+    return final_topk(best_per_id(found, q_id, c_id) if repeated else found, k, q_id, c_id)

@@ -22,6 +22,7 @@ from tomescope.sources import store, tables
 
 P = DEFAULT.with_(score_decimals=SCORE_DECIMALS)  # the SQL comparison rounds scores before it ranks them
 SMALL = P.with_(k_retrieve=200, k_filtered=100)  # cuts that cut at every table size
+CHUNKS = P.with_(chunk_tokens=encode.CHUNK_TOKENS)
 IVFPQ = SMALL.with_(search="ivfpq", nlist=16, pq_m=64, pq_bits=6, kmeans_iter=2, nprobe=4, refine=2, seeding="hash")
 
 
@@ -212,6 +213,42 @@ def knn_books_top10(spark, sf):
     return knn_join(qvec, idx.stitched, 10, "query_id", "qvec", "Id", "vec", decimals=SCORE_DECIMALS)
 
 
+def encode_chunks(spark, sf):
+    """K1, several vectors a text: cells of the chunk vectors of the catalogue."""
+    counts = encode.chunk_counts(R.stitched_texts(_books(spark, sf)), "Id", "text")
+    vecs = encode.dense_chunks(counts, "Id", P.dim, encode.stats_of_chunks(counts, "Id", _books(spark, sf).count()))
+    cells = vecs.select("Id", "chunk", F.posexplode("vec").alias("bucket", "value")).where(F.col("value") != 0)
+    return cells.select("Id", "chunk", "bucket", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def knn_chunks_top10(spark, sf):
+    """Expanded queries against the chunks of the stitched texts: the ten books with the best chunks."""
+    idx = _index(spark, sf, CHUNKS)
+    hits = R.retrieve(_prepared(spark, sf), idx, CHUNKS.with_(k_retrieve=10))
+    return hits.select("query_id", "Id", F.col("retrieval_score").alias("score"), F.col("retrieval_rank").alias("rank"))
+
+
+def chunk_retrieval(spark, sf):
+    """Benchmark passages as searches over documents: for each that stands word for word in some (``holders``), the best rank
+    among the first ten that one of those gets, by whole-text vectors and by chunk vectors (null: none)."""
+    apply_session_conf(spark)
+    docs = tables.read_table(spark, sf, "documents").select(F.col("doc_id").alias("Id"), "text")
+    asked = tables.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    held = cut_lineage(rank.holders(asked, docs, "query_id", "Id"), "holders")
+    counts = cut_lineage(encode.chunk_counts(docs, "Id", "text"), "tf_chunks")
+    stats = encode.stats_of_chunks(counts, "Id", docs.count())
+    stats.df = cut_lineage(stats.df, "df_chunks")
+    whole = counts.groupBy(F.col("_id")["Id"].alias("_id"), "token").agg(F.sum(F.when(F.col("token").isNotNull(), F.col("tf"))).alias("tf"))
+    qvec = cut_lineage(encode.encode_dense(asked, "query_id", "text", P.dim, stats, out_col="qvec"), "query_vectors")
+    spaces = {"whole_rank": encode.dense_from_counts(whole, "Id", P.dim, stats), "chunk_rank": encode.dense_chunks(counts, "Id", P.dim, stats)}
+    out = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("holders"))
+    for name, vecs in spaces.items():
+        hits = knn_join(qvec, cut_lineage(vecs, name), 10, decimals=SCORE_DECIMALS, repeated=name == "chunk_rank")
+        best = hits.join(held, ["query_id", "Id"]).groupBy("query_id").agg(F.min("rank").alias(name))
+        out = out.join(best, "query_id", "left")
+    return out
+
+
 # --- D / E2 / I: candidates -----------------------------------------------------------
 
 
@@ -335,6 +372,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "encode_hashed_idf": encode_hashed_idf,
         "knn_exact_top10": knn_exact_top10,
         "knn_books_top10": knn_books_top10,
+        "encode_chunks": encode_chunks,
+        "knn_chunks_top10": knn_chunks_top10,
+        "chunk_retrieval": chunk_retrieval,
         "candidates_filtered": candidates_filtered,
         "candidates_cut300": candidates_cut300,
         "no_match_queries": no_match_queries,

@@ -23,7 +23,8 @@ from tomescope.functions.text import (
     STAR_FULL,
 )
 from tomescope.operators.encode import LetterModel
-from tomescope.plans.catalog import IVFPQ, SMALL, P
+from tomescope.operators.rank import RUN_TOKENS
+from tomescope.plans.catalog import CHUNKS, IVFPQ, SMALL, P
 from tomescope.sources.tables import CONV_QUERY_BASE, ERAS
 
 DIM = P.dim
@@ -131,6 +132,22 @@ def dense(name: str, ids_sql: str, dim: int = DIM) -> str:
   GROUP BY i.id)"""
 
 
+def chunked(name: str, src: str, id_col: str, text_col: str, size: int) -> str:
+    """Chunks of ``size`` tokens as texts (cid, text); cid is a struct of the id and the chunk's number."""
+    return f"""{name}_words AS (SELECT {id_col} AS id, regexp_extract_all(coalesce({text_col}, ''), '([\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*)', 1) AS w FROM {src}),
+{name} AS (SELECT struct_pack(Id := id, chunk := CAST(k AS INTEGER)) AS cid, array_to_string(list_slice(w, k * {size} + 1, k * {size} + {size}), '') AS text
+  FROM (SELECT id, w, unnest(range(greatest(CAST(ceil(len(w) / {size}.0) AS BIGINT), 1))) AS k FROM {name}_words))"""
+
+
+def best_rows(name: str, scores: str, k: int) -> str:
+    return f"""{name} AS (SELECT query_id, Id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, Id) AS rank FROM ({scores})) WHERE rank <= {k})"""
+
+
+def dots(queries: str, items: str, item_id: str) -> str:
+    return f"SELECT a.id AS query_id, {item_id} AS Id, max(round(list_dot_product(a.vec, b.vec), 6)) AS score FROM {queries}_dense a CROSS JOIN {items}_dense b GROUP BY ALL"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -393,6 +410,22 @@ terms AS (SELECT keyword, min(doc_id) AS ord, arg_min(terms, doc_id) AS terms FR
         "SELECT query_id, Id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, Id) AS rank FROM scores) "
         "WHERE rank <= 10"
     )
+    size = CHUNKS.chunk_tokens
+    pieces = [chunked("c_text", "s_text", "Id", "text", size), term_freq("c", "c_text", "cid", "text"), cells("cv", "c", "s"), dense("cv", "SELECT cid AS id FROM c_text")]
+    s["encode_chunks"] = with_(*enc_base, *pieces) + "SELECT id.Id AS Id, id.chunk AS chunk, bucket, round(value, 6) AS value FROM cv_unit WHERE value <> 0"
+    s["knn_chunks_top10"] = with_(*RETRIEVAL, *pieces, best_rows("found", dots("qv", "cv", "b.id.Id"), 10)) + "SELECT query_id, Id, score, rank FROM found"
+    s["chunk_retrieval"] = with_(
+        term_freq("w", "documents", "doc_id", "text"), doc_freq("w", "documents"), cells("wv", "w", "w"), dense("wv", "SELECT doc_id AS id FROM documents"),
+        term_freq("p", "benchmark", "item_id", "text"), cells("pv", "p", "w"), dense("pv", "SELECT item_id AS id FROM benchmark"),
+        chunked("c_text", "documents", "doc_id", "text", size), term_freq("c", "c_text", "cid", "text"), cells("cv", "c", "w"), dense("cv", "SELECT cid AS id FROM c_text"),
+        best_rows("by_text", dots("pv", "wv", "b.id"), 10), best_rows("by_chunk", dots("pv", "cv", "b.id.Id"), 10),
+        f"dn AS (SELECT doc_id AS id, ' ' || array_to_string({tokens('text')}, ' ') || ' ' AS words FROM documents)",
+        f"pn AS (SELECT item_id AS id, ' ' || array_to_string({tokens('text')}, ' ') || ' ' AS words FROM benchmark WHERE len({tokens('text')}) >= {RUN_TOKENS})",
+        "held AS (SELECT p.id AS query_id, d.id AS Id FROM pn p JOIN dn d ON contains(d.words, p.words))",
+    ) + (
+        "SELECT h.query_id, count(*) AS holders, min(t.rank) AS whole_rank, min(c.rank) AS chunk_rank FROM held h "
+        "LEFT JOIN by_text t ON t.query_id = h.query_id AND t.Id = h.Id LEFT JOIN by_chunk c ON c.query_id = h.query_id AND c.Id = h.Id GROUP BY h.query_id"
+    )
     chain = RETRIEVAL + [hits(P.k_retrieve), FILTERED, cut(P.k_filtered)]
     small = RETRIEVAL + [hits(SMALL.k_retrieve), FILTERED, cut(SMALL.k_filtered)]
     s["candidates_filtered"] = with_(*chain) + "SELECT query_id, Id, retrieval_score, retrieval_rank FROM filtered"

@@ -18,7 +18,7 @@ from tomescope.config import DEFAULT, Params
 from tomescope.functions import text as T
 from tomescope.operators import ann, filters, rank
 from tomescope.operators.diversify import mmr
-from tomescope.operators.encode import TokenStats, dense_from_counts, encode_dense, term_counts
+from tomescope.operators.encode import TokenStats, chunk_counts, dense_chunks, dense_from_counts, encode_chunks, encode_dense, stats_of_chunks, term_counts
 from tomescope.operators.joins import bounded_broadcast
 from tomescope.operators.knn import knn_join
 from tomescope.operators.present import attach_covers, cards
@@ -31,7 +31,7 @@ PairScorer = Callable[[DataFrame], DataFrame]  # pairs with query_text and Descr
 @dataclass
 class Index:
     books: DataFrame  # written: Id, Name, Authors, Pages, PublishYear, Rating, Description
-    stitched: DataFrame  # Id, vec : retrieval space (title + author + rating words + summary)
+    stitched: DataFrame  # Id, vec : retrieval space (title + author + rating words + summary); with chunk_tokens a row per chunk
     described: DataFrame  # Id, vec : diversity space (description only)
     stitched_stats: TokenStats | None  # IDF statistics the queries are encoded with (None: a model encodes)
     bm25: rank.Bm25Index  # pair scorer statistics over descriptions
@@ -51,7 +51,10 @@ def build_index(books: DataFrame, params: Params = DEFAULT, encoder: Encoder | N
     compressed index. Every part is a written table in the shared folder.
 
     The default encoder tokenises each text column once into written term counts; document frequencies, BM25
-    documents and both vector tables come from those. ``encoder`` replaces the vectors (see ``encode.model_encoder``)."""
+    documents and both vector tables come from those. ``encoder`` replaces the vectors (see ``encode.model_encoder``).
+    With ``chunk_tokens`` the retrieval vectors are one per chunk; they are searched exactly."""
+    if params.chunk_tokens and params.search == "ivfpq":
+        raise ValueError("chunk vectors are searched exactly; the compressed index holds one vector per book")
     books = cut_lineage(books, "books")
     n_docs = books.count()
     tc_d = cut_lineage(term_counts(books, "Id", "Description", keep_empty=True), "tf_description")
@@ -60,7 +63,13 @@ def build_index(books: DataFrame, params: Params = DEFAULT, encoder: Encoder | N
     df_d = cut_lineage(terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "bm25_df")
     total = docs.agg(F.sum("dl").alias("t")).first()["t"] or 0
     bm = rank.Bm25Index(docs, df_d, n_docs, float(total) / n_docs if n_docs else 0.0)
-    if encoder is None:
+    if encoder is None and params.chunk_tokens:
+        tc_s = cut_lineage(chunk_counts(stitched_texts(books), "Id", "text", params.chunk_tokens), "tf_stitched")
+        stats = stats_of_chunks(tc_s, "Id", n_docs)
+        stats = replace(stats, df=cut_lineage(stats.df, "df_stitched"))
+        svec = cut_lineage(dense_chunks(tc_s, "Id", params.dim, stats), "vec_stitched")
+        dvec = cut_lineage(dense_from_counts(tc_d, "Id", params.dim, TokenStats(df_d, n_docs)), "vec_description")
+    elif encoder is None:
         tc_s = cut_lineage(term_counts(stitched_texts(books), "Id", "text", keep_empty=True), "tf_stitched")
         df_s = cut_lineage(tc_s.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df_stitched")
         stats = TokenStats(df_s, n_docs)
@@ -68,7 +77,9 @@ def build_index(books: DataFrame, params: Params = DEFAULT, encoder: Encoder | N
         dvec = cut_lineage(dense_from_counts(tc_d, "Id", params.dim, TokenStats(df_d, n_docs)), "vec_description")
     else:
         stats = None
-        svec = cut_lineage(encoder(stitched_texts(books), "Id", "text", "vec"), "vec_stitched")
+        texts = stitched_texts(books)
+        made = encode_chunks(texts, "Id", "text", encoder, params.chunk_tokens) if params.chunk_tokens else encoder(texts, "Id", "text", "vec")
+        svec = cut_lineage(made, "vec_stitched")
         dvec = cut_lineage(encoder(description_texts(books), "Id", "text", "vec"), "vec_description")
     index = Index(books, svec, dvec, stats, bm)
     return compress(index, params) if params.search == "ivfpq" else index
@@ -113,7 +124,7 @@ def retrieve(prepared: DataFrame, index: Index, params: Params = DEFAULT, encode
         fetched = index.stitched if params.refine > 1 else None
         hits = ann.pq_search(qvec, index.compressed, params.nprobe, params.k_retrieve, decimals=params.score_decimals, vectors=fetched, refine=params.refine)
     else:
-        hits = knn_join(qvec, index.stitched, params.k_retrieve, "query_id", "qvec", "Id", "vec", params=params, decimals=params.score_decimals)
+        hits = knn_join(qvec, index.stitched, params.k_retrieve, "query_id", "qvec", "Id", "vec", params=params, decimals=params.score_decimals, repeated="chunk" in index.stitched.columns)
     return hits.withColumnRenamed("score", "retrieval_score").withColumnRenamed("rank", "retrieval_rank")
 
 
