@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tomescope.config import DEFAULT
 from tomescope.operators import encode, knn
 from tomescope.operators.rank import holders
 from tomescope.plans import recommend as R
@@ -33,8 +34,38 @@ def test_chunks_of_no_token_are_refused(spark):
 
 def test_statistics_are_those_of_whole_texts(spark):
     docs = spark.createDataFrame([(1, "a b c a b d"), (2, "a a a a"), (3, None)], "Id long, text string")
-    got = encode.stats_of_chunks(encode.chunk_counts(docs, "Id", "text", 2), "Id", 3)
-    assert {r.token: r.df for r in got.df.collect()} == {"a": 2, "b": 1, "c": 1, "d": 1}
+    got = encode.chunk_stats(docs, "text", 2)
+    assert got.n_docs == 3 and {r.token: r.df for r in got.df.collect()} == {"a": 2, "b": 1, "c": 1, "d": 1}
+
+
+def test_vectors_of_one_scan_equal_those_of_the_token_join(spark):
+    """Texts of no, few and many chunks, spread over Arrow batches of three rows; also beyond the broadcast budget."""
+    texts = [None, "", "one two", "a b c d e f g h i", "x " * 41, "--", "ΑΣ.Β ΑΣ. b ΣΑΣ"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "Id long, text string").repartition(2)
+    stats = encode.chunk_stats(docs, "text", 4)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for make, key, shuffled in (
+            (encode.chunk_vectors, ["Id", "chunk"], encode.dense_chunks(encode.chunk_counts(docs, "Id", "text", 4), "Id", 16, stats)),
+            (encode.text_vectors, ["Id"], encode.encode_dense(docs.where(~F.coalesce(F.col("text"), F.lit("")).contains("Σ")), "Id", "text", 16, stats)),
+        ):
+            want = {tuple(r[k] for k in key): r.vec for r in shuffled.collect()}
+            for params in (DEFAULT, DEFAULT.with_(max_broadcast_bytes=0)):
+                got = make(docs, "Id", "text", 16, stats, 4, params)
+                assert ("PythonMapInArrow" in got._jdf.queryExecution().toString() or "MapInArrow" in got._jdf.queryExecution().toString()) == (params is DEFAULT)
+                rows = {tuple(r[k] for k in key): r.vec for r in got.collect()}
+                assert len(rows) == got.count() and rows.keys() >= want.keys() and len({k[0] for k in rows}) == len(texts)
+                assert all(np.allclose(rows[k], v, atol=1e-6) for k, v in want.items())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert encode.chunk_vectors(docs.where("false"), "Id", "text", 16, encode.chunk_stats(docs.where("false"), "text")).count() == 0
+
+
+def test_foreign_statistics_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "Id long, text string")
+    with pytest.raises(Exception, match="without statistics"):
+        encode.chunk_vectors(docs, "Id", "text", 16, encode.chunk_stats(docs.where("false"), "text")).collect()
 
 
 @pytest.mark.parametrize("one_pass", [True, False])

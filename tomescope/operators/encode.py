@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomescope.config import DEFAULT, Params
 from tomescope.functions.vectors import ZERO_NORM_GUARD
 
 TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
@@ -47,14 +49,17 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, keep_empty: bool =
     )
 
 
-def chunk_texts(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_TOKENS) -> DataFrame:
-    """(id, chunk, text): every text cut after each ``size`` tokens, numbered from 0. The chunks of a text with tokens joined again give
-    the whole text; a text without a token, or null, is one empty chunk. One scan of the text, no shuffle."""
+def _parts(text: Column, size: int) -> Column:
     if size < 1:
         raise ValueError("a chunk has at least one token")
     pattern = r"((?:\A[^\p{L}\p{N}]*)?(?:[\p{L}\p{N}]+[^\p{L}\p{N}]*){1,%d})" % size
-    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 1)
-    cut = docs.select(F.col(id_col), F.posexplode_outer(parts).alias("chunk", "_part"))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1)
+
+
+def chunk_texts(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_TOKENS) -> DataFrame:
+    """(id, chunk, text): every text cut after each ``size`` tokens, numbered from 0. The chunks of a text with tokens joined again give
+    the whole text; a text without a token, or null, is one empty chunk. One scan of the text, no shuffle."""
+    cut = docs.select(F.col(id_col), F.posexplode_outer(_parts(F.col(text_col), size)).alias("chunk", "_part"))
     return cut.select(id_col, F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("_part", F.lit("")).alias("text"))
 
 
@@ -64,10 +69,12 @@ def chunk_counts(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_
     return term_counts(keyed, "_key", "text", keep_empty=True)
 
 
-def stats_of_chunks(counts: DataFrame, id_col: str, n_docs: int) -> TokenStats:
-    """Document statistics, those of the whole texts, from ``chunk_counts``."""
-    tokens_of = counts.where(F.col("token").isNotNull()).select(F.col("_id")[id_col].alias("_doc"), "token").distinct()
-    return TokenStats(tokens_of.groupBy("token").agg(F.count(F.lit(1)).alias("df")), n_docs)
+def chunk_stats(docs: DataFrame, text_col: str, size: int = CHUNK_TOKENS) -> TokenStats:
+    """Document statistics of texts whose chunks are encoded; a row is a text. A text's tokens are made distinct in its row, so
+    the exchange holds one row a task and token."""
+    parts = F.transform(_parts(F.col(text_col), size), tokens)
+    df = docs.select(F.explode(F.array_distinct(F.flatten(parts))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return TokenStats(df, docs.count())
 
 
 def dense_chunks(counts: DataFrame, id_col: str, dim: int, stats: TokenStats | None = None, out_col: str = "vec") -> DataFrame:
@@ -85,6 +92,87 @@ def encode_chunks(docs: DataFrame, id_col: str, text_col: str, encoder: Callable
     return unkeyed(encoder(keyed, "_key", "text", out_col), id_col, out_col)
 
 
+TABLE_ROW_BYTES = 20
+
+
+def token_table(stats: TokenStats, dim: int, params: Params):
+    """Token hashes in order with their buckets and IDF weights as arrays, while they fit the broadcast budget and
+    no two tokens share a hash; else None."""
+    if stats.df.count() * TABLE_ROW_BYTES > params.max_broadcast_bytes:
+        return None
+    got = stats.df.select(F.xxhash64("token").alias("h"), token_bucket(F.col("token"), dim).alias("b"), stats.idf(F.col("df")).alias("w")).toArrow()
+    h, b, w = (got.column(c).to_numpy() for c in ("h", "b", "w"))
+    order = np.argsort(h)
+    h = h[order]
+    return None if (h[1:] == h[:-1]).any() else (h, b[order].astype(np.int32), w[order])
+
+
+def chunk_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int, stats: TokenStats, size: int = CHUNK_TOKENS, params: Params = DEFAULT) -> DataFrame:
+    """(id, chunk, vec) with ``chunk_stats`` of the same texts: one scan and no shuffle while the token table fits the broadcast budget, beyond it
+    a join on the token."""
+    if table := token_table(stats, dim, params):
+        return _scan_vectors(chunk_texts(docs, id_col, text_col, size), id_col, dim, table, whole=False)
+    return dense_chunks(chunk_counts(docs, id_col, text_col, size), id_col, dim, stats)
+
+
+def text_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int, stats: TokenStats, size: int = CHUNK_TOKENS, params: Params = DEFAULT) -> DataFrame:
+    """(id, vec), one vector a text, as ``chunk_vectors`` makes them: the chunks of a text follow each other in its task and are summed there."""
+    if table := token_table(stats, dim, params):
+        return _scan_vectors(chunk_texts(docs, id_col, text_col, size), id_col, dim, table, whole=True)
+    return encode_dense(docs, id_col, text_col, dim, stats)
+
+
+def _scan_vectors(chunks: DataFrame, id_col: str, dim: int, table, whole: bool) -> DataFrame:
+    from tomescope.session import ship_package
+
+    ship_package(chunks.sparkSession)
+    shared = chunks.sparkSession.sparkContext.broadcast(table)
+    names = [id_col, "vec"] if whole else [id_col, "chunk", "vec"]
+
+    def batch(cols: list[pa.Array], sums: np.ndarray) -> pa.RecordBatch:
+        norm = np.sqrt((sums * sums).sum(axis=1))
+        unit = (sums / np.where(norm == 0, ZERO_NORM_GUARD, norm)[:, None]).astype(np.float32)
+        ends = np.arange(len(unit) + 1, dtype=np.int32) * dim
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()))], names=names)
+
+    def sums_of(b: pa.RecordBatch) -> np.ndarray:
+        hashes, buckets, weights = shared.value
+        col = b.column("_h")
+        seen = col.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(hashes, seen), max(len(hashes) - 1, 0))
+        if len(seen) and not (len(hashes) and (hashes[at] == seen).all()):
+            raise ValueError("a token without statistics: chunk_stats must be of the same texts and chunk size")
+        cell = np.repeat(np.arange(b.num_rows) * dim, col.value_lengths().to_numpy())
+        return np.bincount(cell + buckets[at], weights=weights[at], minlength=b.num_rows * dim).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_id, open_sum = None, None  # the text whose chunks may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, sums = b.column(id_col), sums_of(b)
+            if not whole:
+                yield batch([ids, b.column("chunk")], sums)
+                continue
+            first = np.flatnonzero(b.column("chunk").to_numpy() == 0)
+            lead = first[0] if len(first) else b.num_rows
+            if lead:
+                open_sum = open_sum + sums[:lead].sum(axis=0)
+            if len(first):
+                if open_sum is not None:
+                    yield batch([open_id], open_sum[None, :])
+                texts = np.add.reduceat(sums, first, axis=0)
+                if len(first) > 1:
+                    yield batch([ids.take(pa.array(first[:-1]))], texts[:-1])
+                open_id, open_sum = ids.slice(int(first[-1]), 1), texts[-1]
+        if open_sum is not None:
+            yield batch([open_id], open_sum[None, :])
+
+    hashed = chunks.select(id_col, "chunk", F.transform(tokens("text"), lambda t: F.xxhash64(t)).alias("_h"))
+    kind = chunks.schema[id_col].dataType.simpleString()
+    return hashed.mapInArrow(run, f"`{id_col}` {kind}, {'' if whole else 'chunk int, '}vec array<float>")
+
+
 @dataclass
 class TokenStats:
     """Corpus statistics the IDF weights come from: ``df`` per token and ``n_docs``."""

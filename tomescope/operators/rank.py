@@ -24,16 +24,17 @@ RUN_TOKENS = 5  # a passage is looked up by its first run of so many tokens
 
 
 def holders(passages: DataFrame, docs: DataFrame, q_id: str, c_id: str, params: Params = DEFAULT) -> DataFrame:
-    """(q_id, c_id): the documents that hold all tokens of a passage in a row. An equi join on the passage's first ``RUN_TOKENS`` tokens finds
+    """(q_id, c_id): the documents that hold all tokens of a passage in a row. An equi join on the hash of the passage's first ``RUN_TOKENS`` tokens finds
     the candidates, the token sequences decide. Passages with fewer tokens or null have no holders."""
     joined = lambda toks: F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
-    asked = passages.select(q_id, tokens("text").alias("_t")).where(F.size("_t") >= RUN_TOKENS)
-    asked = cut_lineage(asked.select(q_id, F.array_join(F.slice("_t", 1, RUN_TOKENS), " ").alias("_run"), joined(F.col("_t")).alias("_passage")), "passages")
-    split = docs.select(c_id, tokens("text").alias("_t")).where(F.size("_t") >= RUN_TOKENS)
-    starts = F.sequence(F.lit(1), F.size("_t") - RUN_TOKENS + 1)
-    runs = split.select(c_id, F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_t", i, RUN_TOKENS), " ")))).alias("_run"))
-    keys = bounded_broadcast(asked.select(q_id, "_run"), asked.count(), 128, params)
-    pairs = runs.join(keys, "_run").select(q_id, c_id).join(asked.select(q_id, "_passage"), q_id)
+    hashes = lambda text: F.transform(tokens(text), lambda t: F.xxhash64(t)).alias("_h")
+    run = lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(RUN_TOKENS)])
+    asked = passages.select(q_id, hashes("text"), joined(tokens("text")).alias("_passage"))
+    asked = cut_lineage(asked.where(F.size("_h") >= RUN_TOKENS).select(q_id, run(F.lit(0)).alias("_run"), "_passage"), "passages")
+    starts = F.when(F.size("_h") >= RUN_TOKENS, F.sequence(F.lit(0), F.size("_h") - RUN_TOKENS))
+    runs = docs.select(c_id, hashes("text")).select(c_id, F.explode(F.transform(starts, run)).alias("_run"))
+    keys = bounded_broadcast(asked.select(q_id, "_run"), asked.count(), 32, params)
+    pairs = runs.join(keys, "_run").select(q_id, c_id).distinct().join(asked.select(q_id, "_passage"), q_id)
     return pairs.join(docs.select(c_id, joined(tokens("text")).alias("_words")), c_id).where(F.contains("_words", "_passage")).select(q_id, c_id)
 
 

@@ -215,8 +215,10 @@ def knn_books_top10(spark, sf):
 
 def encode_chunks(spark, sf):
     """K1, several vectors a text: cells of the chunk vectors of the catalogue."""
-    counts = encode.chunk_counts(R.stitched_texts(_books(spark, sf)), "Id", "text")
-    vecs = encode.dense_chunks(counts, "Id", P.dim, encode.stats_of_chunks(counts, "Id", _books(spark, sf).count()))
+    texts = R.stitched_texts(_books(spark, sf))
+    stats = encode.chunk_stats(texts, "text")
+    stats.df = cut_lineage(stats.df, "df_chunks")
+    vecs = encode.chunk_vectors(texts, "Id", "text", P.dim, stats)
     cells = vecs.select("Id", "chunk", F.posexplode("vec").alias("bucket", "value")).where(F.col("value") != 0)
     return cells.select("Id", "chunk", "bucket", F.round(F.col("value").cast("double"), 6).alias("value"))
 
@@ -235,12 +237,10 @@ def chunk_retrieval(spark, sf):
     docs = tables.read_table(spark, sf, "documents").select(F.col("doc_id").alias("Id"), "text")
     asked = tables.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     held = cut_lineage(rank.holders(asked, docs, "query_id", "Id"), "holders")
-    counts = cut_lineage(encode.chunk_counts(docs, "Id", "text"), "tf_chunks")
-    stats = encode.stats_of_chunks(counts, "Id", docs.count())
+    stats = encode.chunk_stats(docs, "text")
     stats.df = cut_lineage(stats.df, "df_chunks")
-    whole = counts.groupBy(F.col("_id")["Id"].alias("_id"), "token").agg(F.sum(F.when(F.col("token").isNotNull(), F.col("tf"))).alias("tf"))
     qvec = cut_lineage(encode.encode_dense(asked, "query_id", "text", P.dim, stats, out_col="qvec"), "query_vectors")
-    spaces = {"whole_rank": encode.dense_from_counts(whole, "Id", P.dim, stats), "chunk_rank": encode.dense_chunks(counts, "Id", P.dim, stats)}
+    spaces = {"whole_rank": encode.text_vectors(docs, "Id", "text", P.dim, stats), "chunk_rank": encode.chunk_vectors(docs, "Id", "text", P.dim, stats)}
     out = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("holders"))
     for name, vecs in spaces.items():
         hits = knn_join(qvec, cut_lineage(vecs, name), 10, decimals=SCORE_DECIMALS, repeated=name == "chunk_rank")

@@ -18,7 +18,7 @@ from tomescope.config import DEFAULT, Params
 from tomescope.functions import text as T
 from tomescope.operators import ann, filters, rank
 from tomescope.operators.diversify import mmr
-from tomescope.operators.encode import TokenStats, chunk_counts, dense_chunks, dense_from_counts, encode_chunks, encode_dense, stats_of_chunks, term_counts
+from tomescope.operators.encode import TokenStats, chunk_stats, chunk_vectors, dense_from_counts, encode_chunks, encode_dense, term_counts
 from tomescope.operators.joins import bounded_broadcast
 from tomescope.operators.knn import knn_join
 from tomescope.operators.present import attach_covers, cards
@@ -64,10 +64,10 @@ def build_index(books: DataFrame, params: Params = DEFAULT, encoder: Encoder | N
     total = docs.agg(F.sum("dl").alias("t")).first()["t"] or 0
     bm = rank.Bm25Index(docs, df_d, n_docs, float(total) / n_docs if n_docs else 0.0)
     if encoder is None and params.chunk_tokens:
-        tc_s = cut_lineage(chunk_counts(stitched_texts(books), "Id", "text", params.chunk_tokens), "tf_stitched")
-        stats = stats_of_chunks(tc_s, "Id", n_docs)
+        texts = stitched_texts(books)
+        stats = chunk_stats(texts, "text", params.chunk_tokens)
         stats = replace(stats, df=cut_lineage(stats.df, "df_stitched"))
-        svec = cut_lineage(dense_chunks(tc_s, "Id", params.dim, stats), "vec_stitched")
+        svec = cut_lineage(chunk_vectors(texts, "Id", "text", params.dim, stats, params.chunk_tokens, params), "vec_stitched")
         dvec = cut_lineage(dense_from_counts(tc_d, "Id", params.dim, TokenStats(df_d, n_docs)), "vec_description")
     elif encoder is None:
         tc_s = cut_lineage(term_counts(stitched_texts(books), "Id", "text", keep_empty=True), "tf_stitched")
