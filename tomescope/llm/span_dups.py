@@ -9,10 +9,12 @@ white space apart: among short sentences (lists, verse, tables) runs are longer,
 run that comes more than once, the first is the one in the smallest doc_id, and there the one
 furthest to the front; sentences covered by any other are removed. What is left keeps its characters.
 
-Plan: the runs of each document are written once (16 bytes a run); counts and smallest doc_id are aggregated before and after the
+Plan: texts are cut and hashed once; per row the lengths of its sentences, the reach of its runs and their hashes are
+written (about 10 bytes a run). Counts and smallest doc_id are aggregated before and after the
 shuffle, so a passage in a third of all rows is one row a task. Runs seen in two documents or more are
-joined back (skewed keys are split by the adaptive join) and each document gets the list of its
-runs that are not first. Repeats inside a document need no shuffle.
+joined back (skewed keys are split by the adaptive join) and each row gets the list of its
+runs that are not first. Rows' lists meet the written lengths, which gives the characters to cut; only these go to the
+texts. Repeats inside a document need no shuffle.
 
 Cases: null or empty text has no sentences and becomes or stays the empty text; a document may lose all
 its text and stays as an empty one. Null doc_id comes after all others; runs shared only by rows
@@ -27,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,16 +84,18 @@ def run_hashes(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -
     return at, ends, out.view(np.int64)
 
 
-def _runs(span: int, min_words: int):
+def _cut_texts(span: int, min_words: int):
     def run(batches):
         for b in batches:
-            docs, hashes = [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                h = np.unique(run_hashes(sentences(text), span, min_words)[2])
+            sizes, reach, hashes = [], [], []
+            for text in b.column("text").to_pylist():
+                parts = sentences(text)
+                at, ends, h = run_hashes(parts, span, min_words)
+                sizes.append(np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)))
+                reach.append((ends - at).astype(np.int32))
                 hashes.append(h)
-                docs.append(np.full(len(h), i, dtype=np.int64))
-            ids = b.column("doc_id").take(pa.array(np.concatenate(docs)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(hashes))], names=["doc_id", "h"])
+            lists = [pa.array(c, pa.list_(t)) for c, t in ((sizes, pa.int32()), (reach, pa.int32()), (hashes, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("span_id"), b.column("doc_id"), *lists], names=["span_id", "doc_id", "sizes", "reach", "hashes"])
 
     return run
 
@@ -107,37 +112,71 @@ def covered(n: int, at: np.ndarray, ends: np.ndarray, hashes: np.ndarray, later:
     return np.cumsum(edges[:n]) > 0
 
 
-def later_runs(rows: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, later``: per document the hashes of its runs that come first in another document."""
-    runs = cut_lineage(rows.mapInArrow(_runs(span, min_words), "doc_id long, h long"), "span-runs")
+def _spans_to_cut(batches):
+    """Written cuts with ``later`` to the number of sentences, that of removed ones, and the removed runs of characters."""
+    names = ["span_id", "doc_id", "n", "cut", "lo", "hi"]
+    for b in batches:
+        n, cut, los, his = [], [], [], []
+        for sizes, reach, hashes, later in zip(*(b.column(c) for c in ("sizes", "reach", "hashes", "later")), strict=True):
+            ends = np.cumsum(np.asarray(sizes.values), dtype=np.int64)
+            at = np.arange(len(reach.values))  # runs start at the first sentences, one each
+            gone = covered(len(ends), at, at + np.asarray(reach.values), np.asarray(hashes.values), set(later.as_py() or ()))
+            edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
+            place = np.concatenate(([0], ends))
+            n.append(len(ends))
+            cut.append(int(gone.sum()))
+            los.append(place[np.flatnonzero(edge == 1)])
+            his.append(place[np.flatnonzero(edge == -1)])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        lists = [pa.array(c, t) for c, t in zip((n, cut, los, his), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("span_id"), b.column("doc_id"), *lists], names=names)
+
+
+def _without(text: str, lo: list[int], hi: list[int]) -> str:
+    return "".join(text[a:z] for a, z in zip([0, *hi], [*lo, len(text)], strict=True))
+
+
+def cut_spans(rows: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+    """``span_id, doc_id, n, cut, lo, hi`` per row: sentences, removed ones, and the characters [lo, hi) to cut out."""
+    cuts = rows.select("span_id", "doc_id", "text").mapInArrow(
+        _cut_texts(span, min_words), "span_id long, doc_id long, sizes array<int>, reach array<int>, hashes array<long>"
+    )
+    cuts = cut_lineage(cuts, "span-cuts")
+    runs = cuts.select("span_id", "doc_id", F.explode(F.array_distinct("hashes")).alias("h"))
     seen = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     seen = cut_lineage(seen.where((F.col("n") > 1) & F.col("first").isNotNull()).select("h", "first"), "span-repeats")
     hits = runs.join(seen, "h").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first")))
-    return hits.groupBy("doc_id").agg(F.collect_set("h").alias("later"))
+    later = hits.groupBy("span_id").agg(F.collect_set("h").alias("later"))
+    # the lists grow with the input: merge joins at all sizes
+    found = cuts.join(later.hint("merge"), "span_id", "left").select("span_id", "doc_id", "sizes", "reach", "hashes", "later")
+    spans = found.mapInArrow(_spans_to_cut, "span_id long, doc_id long, n long, cut long, lo array<long>, hi array<long>")
+    return spans.dropDuplicates(["span_id", "doc_id"])  # identical rows have one list
 
 
 def span_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its own columns; ``text`` without the removed sentences, and in front of them
     ``span_sentences`` and ``span_removed``, the sentences of the text and those removed."""
-    later = later_runs(id_text(docs), span, min_words).select(F.col("doc_id").alias("span_id"), "later")
+    key = F.xxhash64("doc_id", "text").alias("span_id")
+    spans = cut_spans(id_text(docs).select(key, "doc_id", "text"), span, min_words)
+    spans = spans.select("span_id", F.struct("doc_id", "n", "cut", "lo", "hi").alias("later"))
     kept = docs.drop("span_id", "later", "span_sentences", "span_removed")
-    # the lists grow with the input: a merge join at all sizes
-    rows = kept.join(later.hint("merge"), kept["doc_id"].cast("long").eqNullSafe(later["span_id"]), "left").drop("span_id")
     names = kept.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = kept.withColumn("text", text).withColumn("span_id", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    same = (kept["span_id"] == spans["span_id"]) & kept["doc_id"].cast("long").eqNullSafe(spans["later"]["doc_id"])
+    rows = kept.join(spans.hint("merge"), same, "left").select(*(kept[c] for c in names), "later")
     counts = [T.StructField(c, T.LongType()) for c in ("span_sentences", "span_removed")]
-    schema = T.StructType([*counts, *kept.schema.fields])
+    schema = T.StructType([*counts, *rows.drop("later").schema.fields])
 
     def run(batches):
         for b in batches:
-            n, cut, text = [], [], []
-            for t, later in zip(b.column("text").to_pylist(), b.column("later").to_pylist(), strict=True):
-                parts = sentences(t or "")
-                gone = covered(len(parts), *run_hashes(parts, span, min_words), set(later or ()))
-                n.append(len(parts))
-                cut.append(int(gone.sum()))
-                text.append("".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else t or "")
-            cols = [pa.array(text, pa.string()) if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(cut, pa.int64()), *cols], names=["span_sentences", "span_removed", *names])
+            n, cut, lo, hi = (pc.struct_field(b.column("later"), [k]) for k in (1, 2, 3, 4))
+            col = b.column("text")
+            if pc.any(pc.greater(cut, 0)).as_py():
+                text = [_without(t, a, z) if a else t for t, a, z in zip(col.to_pylist(), lo.to_pylist(), hi.to_pylist(), strict=True)]
+                col = pa.array(text, pa.string())
+            cols = [col if c == "text" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([n, cut, *cols], names=["span_sentences", "span_removed", *names])
 
     return rows.mapInArrow(run, schema)
 
