@@ -15,7 +15,7 @@ def runs(p, span, least):
                 break
 
 
-def brute(rows, span=3, least=10):
+def brute(rows, span=3, least=20):
     first, found = {}, [list(runs(span_dups.sentences(t or ""), span, least)) for _, t in rows]
     for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
         for *_, run in found[k]:
@@ -34,7 +34,7 @@ def brute(rows, span=3, least=10):
 
 def test_short_sentences(spark):
     words = prose(60, 70).replace(".", "").lower().split()
-    listing = ", ".join(words)  # a word a sentence: three of them never have ten words
+    listing = ", ".join(words)  # a word a sentence: three of them never have words enough
     verse = "\n".join(" ".join(words[k : k + 3]) for k in range(0, 60, 3))
     rows = [
         (1, prose(70, 71) + "\n" + listing + ".\n" + prose(70, 72)), (2, prose(70, 73) + "\n" + listing + ".\n" + prose(70, 74)),
@@ -47,7 +47,7 @@ def test_short_sentences(spark):
     by = {i: t for i, _, t in got}
     assert by[1] == rows[0][1] and sum(w in by[2].split() for w in listing.split()) < 10
     assert by[3] == verse and by[4] == "" and by[5].startswith("Some words before it\n") and len(by[5].split()) < 14
-    assert by[7] == by[8] == "a, b, c"  # fewer than ten words in all
+    assert by[7] == by[8] == "a, b, c"  # fewer than twenty words in all
 
 
 def test_cases_and_query(spark):
@@ -70,3 +70,14 @@ def test_windows_kept(spark):
     windows = {tuple(words[k : k + 50]) for k in range(351)}
     assert left[1] == words
     assert not any(tuple(left[2][k : k + 50]) in windows for k in range(len(left[2]) - 49))
+
+
+def test_chance_repeats_stay(spark):
+    """Fifteen words in common, as two documents may share by chance, are left; a passage of fifty goes."""
+    few, passage = " ".join(prose(60, 90).split()[:15]), " ".join(prose(80, 91).split()[:55])
+    own = [prose(60, k) for k in range(92, 98)]
+    rows = [(1, f"{own[0]}\n{few}.\n{own[1]}"), (2, f"{own[2]}\n{few}.\n{own[3]}"), (3, f"{own[4]}\n{passage}.\n{own[0]}"), (4, f"{own[5]}\n{passage}.\n")]
+    left = {r.doc_id: (r.span_removed, r.text) for r in span_dups.span_dedup(documents(spark, [(i, t, "en", "src", None) for i, t in rows])).collect()}
+    assert left[1] == (0, rows[0][1]) and left[2] == (0, rows[1][1])
+    assert left[4][0] > 0 and len(left[4][1].split()) < len(own[5].split()) + 15
+    assert own[4] in left[3][1] and passage in left[3][1] and own[0] not in left[3][1]

@@ -5,7 +5,8 @@ capital letter follows a word in small letters (a passage pasted into a sentence
 than ``LONG`` words is cut further, behind words whose hash is a multiple of ``EVERY``: the same words are
 cut alike wherever they stand, so a passage within a long sentence is found as well. From every
 sentence the shortest run of at least ``SPAN`` consecutive sentences that reaches ``MIN_WORDS`` words is hashed,
-white space apart: among short sentences (lists, verse, tables) runs are longer, none is skipped. Of a
+white space apart: among short sentences (lists, verse, tables) runs are longer, none is skipped. Runs of ten words
+already repeat by chance between documents that share no passage; at twenty, repeated passages of 50 words are found as before. Of a
 run that comes more than once, the first is the one in the smallest doc_id, and there the one
 furthest to the front; sentences covered by any other are removed. What is left keeps its characters.
 
@@ -40,7 +41,7 @@ from tomescope.llm.words import mixed
 from tomescope.session import cut_lineage
 
 SPAN = 3
-MIN_WORDS = 10
+MIN_WORDS = 20
 LONG, EVERY = 12, 6
 _CUT = re.compile(r"(?<=[.!?;:,])\s+|\s*\n\s*|(?<=[a-zß-öø-ÿ])\s+(?=[A-ZÀ-ÖØ-Þ])")
 
