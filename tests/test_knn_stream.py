@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tomescope.operators import ann
 from tomescope.operators import knn as K
 from tomescope.session import cut_lineage
 
@@ -52,3 +53,32 @@ def test_a_repeated_query_id_is_one_query(spark):
     per = [sorted((r["rank"], r["Id"]) for r in got if r["query_id"] == i) for i in (0, 50)]
     assert [i for _, i in per[0]] == [i for i, _ in brute(x, 0, 6)]
     assert [i for _, i in per[1]] == [i for i, _ in brute(x, 50, 3) for _ in range(2)]
+
+
+def test_small_query_tasks_do_not_multiply_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(K, "CORPUS_BLOCK", 64)
+    monkeypatch.setattr(K, "ONE_PASS_BYTES", 0)
+    df, x = vectors(spark)
+    q = cut_lineage(df.where("Id % 10 = 0").selectExpr("Id as query_id", "vec as qvec").repartition(20))
+    r = K.skipped_pairs(q, df, 5).first()
+    assert r["query_blocks"] == (N // 10) * r["block_pairs"]  # all queries are one block
+    got = {}
+    for r in K.knn_join(q, df, 5, exclude_self=True).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["Id"], r["score"])
+    assert all([ranks[j] for j in range(1, 6)] == brute(x, i, 5) for i, ranks in got.items()) and len(got) == N // 10
+
+
+def test_blocks_meet_without_a_broadcast(spark):
+    df, _ = vectors(spark)
+    q = df.where("Id % 50 = 0").selectExpr("Id as query_id", "vec as qvec")
+    txt = K.knn_candidates(q, df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in txt and "Broadcast" not in txt
+
+
+def test_a_list_gives_at_most_k_per_query(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CORPUS_BLOCK", 8)
+    df, _ = vectors(spark)
+    lists = cut_lineage(df.selectExpr("Id", "vec", "cast(Id % 3 as int) as cluster"))
+    cents = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(3)], "cluster int, centroid array<double>")
+    q = df.where("Id % 50 = 0").selectExpr("Id as query_id", "vec as qvec")
+    assert ann.ivf_candidates(q, lists, cents, 3, 4).count() == N // 50 * 3 * 4
