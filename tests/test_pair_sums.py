@@ -39,3 +39,19 @@ def test_reranking_queries_search_once(spark, name, monkeypatch):
     monkeypatch.setattr(catalog, "cut_lineage", lambda df, n="stage": written.append(n) or cut(df, n))
     txt = getattr(catalog, name)(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert written.count("candidates_cut") == 1 and "c_vals" not in txt
+
+
+def test_pairs_keep_their_columns_without_a_join_of_scores(spark, monkeypatch):
+    """The pairs of a document meet it with their columns: no table of scores is joined to them, and no exchange is by query and document."""
+    docs = spark.createDataFrame(DOCS, "Id long, text string")
+    terms = encode.packed_terms(docs, "Id", "text").where(F.col("dl") > 0)
+    index = rank.Bm25Index(terms, encode.frequencies(terms), len(DOCS), 2.5)
+    queries, pairs = spark.createDataFrame(QUERIES, "query_id long, query_text string"), spark.createDataFrame(PAIRS, "query_id long, Id long")
+    pairs = pairs.selectExpr("query_id", "Id", "if(Id = 2, null, concat('a', Id)) as Authors", "Id / 2.0D as `lambda`")
+    monkeypatch.setattr(rank, "pair_sums", None)
+    got = rank.bm25_pairs(pairs, queries, index)
+    txt = got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == [*pairs.columns, "bm25"] and "hashpartitioning(query_id" not in txt
+    assert sorted(map(tuple, got.drop("bm25").collect()), key=str) == sorted(map(tuple, pairs.collect()), key=str)
+    nobody = spark.createDataFrame([(10, "zzz"), (11, None)], "query_id long, query_text string")
+    assert [r["bm25"] for r in rank.bm25_pairs(pairs, nobody, index).collect()] == [0.0] * len(PAIRS)

@@ -91,7 +91,7 @@ def test_hits_of_a_search_are_no_rows(spark, monkeypatch):
     columns = ["query_id", "cut_rank", "Id", "retrieval_score", "Authors", "Rating", "lambda"]
     want = sorted(map(tuple, joined.select(columns).collect()), key=str)
     monkeypatch.setattr(R, "retrieve", None)
-    assert sorted(map(tuple, R.cut_candidates(prep, idx, p).select(columns).collect()), key=str) == want and len(want) > 100
+    assert sorted(map(tuple, R.detailed(R.cut_candidates(prep, idx, p), prep, idx, p).select(columns).collect()), key=str) == want and len(want) > 100
 
 
 def test_repeated_ids_count_twice_as_before(spark):
