@@ -74,8 +74,8 @@ def test_a_task_sends_few_of_the_nearest(spark, tables, monkeypatch):
     corpus = P.named(vec, "Id").join(filters.item_values(meta.withColumns({"PublishYear": F.lit(1950), "Pages": F.lit(1), "Rating": F.lit(5.0)})), "Id")
     queries = P.named(qvec, "query_id").select("query_id", "qvec", *[F.lit(float(v)).alias(c) for c, v in zip(P.TESTS, (0, 3000, 800, 3), strict=True)])
     blocks = P._guessed(P._query_blocks(queries), corpus, N, 400, KEEP, 3.5)
-    dealt = blocks.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1))))
-    sent = P._held(P._met(dealt, P._corpus_blocks(corpus, 2)), 2, lambda items, r: items.sent(P.Queries(r), 400, 6), P.SENT_SCHEMA)
+    keys = P.spread(spark, 2)
+    sent = P._held(P._met(blocks.withColumn("_part", P._each(keys)), P._corpus_blocks(corpus, keys)), 2, lambda items, r: items.sent(P.Queries(r), 400, 6), P.SENT_SCHEMA)
     rows = sent.collect()
     per = np.concatenate([sum(P.unpacked(r["_per"], "<i8") for r in rows if r["_block"] == b) for b in {r["_block"] for r in rows}])
     assert len(per) == 40 and max(per) < 200
@@ -103,3 +103,16 @@ def test_repeated_ids_count_twice_as_before(spark):
     want = R.filtered_candidates(prep, R.retrieve(prep, idx, p), idx, p)
     rows = lambda df: sorted(map(tuple, df.select("query_id", "cut_rank", "Id", "retrieval_score").collect()))
     assert rows(R.cut_candidates(prep, idx, p)) == rows(want)
+
+
+@pytest.mark.parametrize("k", [1, 10, 150, 2 * N])
+def test_nearest_equals_brute_force(tables, k):
+    vec, qvec, _, _, by_score = tables
+    got = sorted((r["query_id"], r["rank"], r["Id"], r["score"]) for r in P.nearest(qvec, vec, k, DEFAULT, 6).collect())
+    assert got == [(n, j % N + 1, i, s) for j, (n, i, s) in enumerate(by_score) if j % N < k]
+
+
+def test_each_part_has_a_partition_of_its_own(spark):
+    for parts in (1, 5, 12):
+        keys = spark.createDataFrame([(k,) for k in P.spread(spark, parts)], "_part int")
+        assert keys.repartition(parts, "_part").select(F.spark_partition_id().alias("p")).distinct().count() == parts
